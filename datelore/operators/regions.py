@@ -83,8 +83,7 @@ def _cluster_small(points: DataFrame, radius_km: float, keys: list[str]) -> Data
         return ranked.assign(seed=ranked["location"].to_numpy()[_leader_clusters(ranked, radius_km)])
 
     schema = T.StructType([*points.schema.fields, T.StructField("seed", T.StringType())])
-    grouped = points.groupBy(*keys) if keys else points.groupBy(F.lit(0))
-    return grouped.applyInPandas(cluster, schema)
+    return points.groupBy(*keys).applyInPandas(cluster, schema)
 
 
 def _cells_around(radius_km: float, cell_degrees: float) -> Column:
