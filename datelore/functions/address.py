@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from datelore.functions.text import none_if_empty, strip
+from datelore.functions.text import bind, strip
 
 # --- Fixed values: words and patterns of postal addresses ---
 STREET_SUFFIXES = (
@@ -69,17 +69,21 @@ def clean_address(location: Column) -> Column:
     return insert_missing_commas(normalize_whitespace(location))
 
 
+def _before_tail(text: Column) -> Column:
+    return F.regexp_extract(text, rf"(?isU)^(.*?){ADDRESS_TAIL}$", 1)
+
+
 def strip_business_name(text: Column) -> Column:
     """Address from its house number on: the last bare number, not at the very start,
     that a street suffix still follows before the city, state and country."""
-    # The greedy prefix leaves the last number for the group.
-    pattern = rf"(?isU)^.+\b(\d+\b.*\b(?:{STREET_SUFFIXES})\b.*{ADDRESS_TAIL})$"
-    found = F.regexp_extract(text, pattern, 1)
-    return F.when(text.rlike(rf"(?isU){ADDRESS_TAIL}$"), none_if_empty(found))
+    # The greedy prefix leaves the last such number for the group.
+    numbered = rf"(?isU)^.+\b(\d+\b.*\b(?:{STREET_SUFFIXES})\b.*)$"
 
+    def join_tail(head: Column) -> Column:
+        street = F.regexp_extract(head, numbered, 1)
+        return F.when(street != "", F.concat(street, F.substr(text, F.length(head) + 1)))
 
-def _before_tail(text: Column) -> Column:
-    return F.regexp_extract(text, rf"(?isU)^(.*?){ADDRESS_TAIL}$", 1)
+    return bind(_before_tail(text), join_tail)
 
 
 def business_name_and_city(text: Column) -> Column:

@@ -56,12 +56,16 @@ def strip_with_suffix(title: Column) -> Column:
     return F.when(F.size(people_from_title(title)) > 0, bare).otherwise(title)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_note_tags(notes: Column) -> Column:
     """``Key: a, b`` lines of a note as map<string, array<string>>.
 
     Keys are trimmed and lower-cased; repeated keys append their values.
     """
-    lines = F.transform(F.split(F.coalesce(notes, F.lit("")), LINE_BREAKS), strip)
 
     def tag(line: Column) -> Column:
         values = F.filter(
@@ -70,22 +74,20 @@ def parse_note_tags(notes: Column) -> Column:
         key = F.lower(strip(F.regexp_extract(line, NOTE_LINE, 1)))
         return F.struct(key.alias("key"), values.alias("values"))
 
+    def as_map(tagged: Column) -> Column:
+        keys = F.array_distinct(F.transform(tagged, lambda entry: entry["key"]))
+        return F.map_from_entries(F.transform(keys, lambda key: F.struct(key, F.flatten(_values_of(tagged, key)))))
+
+    lines = F.transform(F.split(F.coalesce(notes, F.lit("")), LINE_BREAKS), strip)
     tagged = F.filter(
         F.transform(F.filter(lines, lambda line: line.rlike(NOTE_LINE)), tag),
         lambda entry: (entry["key"] != "") & (F.size(entry["values"]) > 0),
     )
-    keys = F.array_distinct(F.transform(tagged, lambda entry: entry["key"]))
-    return F.map_from_entries(
-        F.transform(
-            keys,
-            lambda key: F.struct(
-                key,
-                F.flatten(
-                    F.transform(F.filter(tagged, lambda entry: entry["key"] == key), lambda entry: entry["values"])
-                ),
-            ),
-        )
-    )
+    return bind(tagged, as_map)
+
+
+def _values_of(tagged: Column, key: Column) -> Column:
+    return F.transform(F.filter(tagged, lambda entry: entry["key"] == key), lambda entry: entry["values"])
 
 
 def tag_values(note_tags: Column, key: str) -> Column:

@@ -36,7 +36,24 @@ def _by_limit(value: Column, limits, otherwise: str) -> Column:
 
 
 def micros_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """Microseconds from one naive timestamp to another.
+
+    Taken from the fields of their difference, which needs no time zone.
+    """
+    gap = end - start
+    parts = [("DAY", 86_400_000_000), ("HOUR", 3_600_000_000), ("MINUTE", 60_000_000)]
+    whole = [F.extract(F.lit(name), gap).cast("bigint") * F.lit(size) for name, size in parts]
+    seconds = (F.extract(F.lit("SECOND"), gap) * F.lit(1_000_000)).cast("bigint")
+    return whole[0] + whole[1] + whole[2] + seconds
+
+
+def epoch() -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz")
+
+
+def instant(ts: Column) -> Column:
+    """The moment a naive UTC timestamp stands for, for operators that need one."""
+    return F.timestamp_micros(micros_between(epoch(), ts))
 
 
 def hours_between(start: Column, end: Column) -> Column:

@@ -52,7 +52,7 @@ def fill_grid(
     """
     keys, rows = list(keys), list(rows)
     axes = (axis_source if axis_source is not None else counted).groupBy(*keys).agg(
-        F.array_sort(F.collect_set(axis)).alias("_axis")
+        F.sort_array(F.collect_set(axis)).alias("_axis")
     )
     cells = counted.groupBy(*keys, *rows).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(axis), F.struct(*values)))).alias("_cells")

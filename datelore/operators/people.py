@@ -81,7 +81,7 @@ def fading_or_growing(df: DataFrame, min_total_events: int = 5, keys: Sequence[s
     keys = list(keys)
     yearly = exploded_people(df).groupBy(*keys, "person", "year").agg(F.count("*").alias("_n"))
     observed = timed_events(df).filter(F.size("people") > 0)
-    axis = observed.groupBy(*keys).agg(F.array_sort(F.collect_set("year")).alias("_axis"))
+    axis = observed.groupBy(*keys).agg(F.sort_array(F.collect_set("year")).alias("_axis"))
     per_person = yearly.groupBy(*keys, "person").agg(
         F.sum("_n").alias("total_events"),
         F.min("year").alias("first_year"),
@@ -119,10 +119,10 @@ def friend_network_edges(df: DataFrame, keys: Sequence[str] = (), within: DataFr
     people) limits the pairs to the people of one list per calendar.
     """
     keys = list(keys)
-    lists = timed_events(df).filter(F.size("people") > 1).select(*keys, F.array_sort(F.array_distinct("people")).alias("_p"))
+    lists = timed_events(df).filter(F.size("people") > 1).select(*keys, F.sort_array(F.array_distinct("people")).alias("_p"))
     if within is not None:
         lists = attach_per_key(lists, within.withColumnRenamed("people", "_within"), keys)
-        lists = lists.select(*keys, F.array_sort(F.array_intersect("_p", "_within")).alias("_p"))
+        lists = lists.select(*keys, F.sort_array(F.array_intersect("_p", "_within")).alias("_p"))
     lists = lists.filter(F.size("_p") > 1).groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
     # Two generators in a row stream the pairs of a list instead of building them as one array.
     first = lists.select(*keys, "_n", "_p", F.posexplode("_p").alias("_i", "person_a"))
@@ -152,8 +152,7 @@ def shared_categories(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def last_event_with(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Title, time and place of the latest event with each person; ties go to the smaller id."""
     entry = F.struct("title", "start", "location")
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    rows = exploded_people(df).withColumn("_age", timebins.micros_between(F.col("start"), epoch))
+    rows = exploded_people(df).withColumn("_age", timebins.micros_between(F.col("start"), timebins.epoch()))
     latest = rows.groupBy(*keys, "person").agg(F.min_by(entry, F.struct("_age", "id")).alias("_last"))
     return latest.select(
         *keys,

@@ -33,7 +33,7 @@ def place_frequency(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.min("_first").alias("first_seen"),
         F.max("_last").alias("last_seen"),
         F.sum("_hours").alias("total_hours"),
-        F.array_sort(F.collect_set("category")).alias("categories"),
+        F.sort_array(F.collect_set("category")).alias("categories"),
     )
 
 
@@ -133,7 +133,7 @@ def location_titles(df: DataFrame, top_n: int = 6, keys: Sequence[str] = ()) ->
     counted = counted.groupBy(*keys, "location", "title").agg(F.count("*").alias("_n"))
     top = top_n_per_group(counted, [*keys, "location"], [F.col("_n").desc(), F.col("title")], top_n, "_rank")
     label = F.when(F.col("_n") > 1, F.concat("title", F.lit(" ("), F.col("_n").cast("string"), F.lit("×)")))
-    listed = F.array_sort(F.collect_list(F.struct("_rank", F.coalesce(label, "title").alias("label"))))
+    listed = F.sort_array(F.collect_list(F.struct("_rank", F.coalesce(label, "title").alias("label"))))
     return top.groupBy(*keys, "location").agg(F.transform(listed, lambda entry: entry["label"]).alias("titles"))
 
 

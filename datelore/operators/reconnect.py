@@ -174,4 +174,4 @@ def suggestions_by_event(suggestions: DataFrame, keys: Sequence[str] = ()) -> Da
     """One row per event with its few suggested people as a list."""
     return suggestions.groupBy(
         *keys, "event_title", "event_start", F.coalesce("event_location", "region").alias("event_where")
-    ).agg(F.array_sort(F.collect_list("person")).alias("people"))
+    ).agg(F.sort_array(F.collect_list("person")).alias("people"))

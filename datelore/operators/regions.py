@@ -270,8 +270,9 @@ def guess_regions(locations: DataFrame, metros: DataFrame, keys: Sequence[str] =
     """Metro guessed from a place's text when it names exactly one known city.
 
     ``locations`` has (keys, location), ``metros`` has (keys, metro). City names are
-    found by the first ``max_gram`` characters: every short substring of a place is
-    matched by equality and only the hits are compared in full.
+    found by their first ``max_gram`` characters: the substrings of a place that are as
+    long as some city's start are matched by equality, and only the hits are compared
+    in full.
     """
     keys = list(keys)
     cities = (
@@ -281,16 +282,13 @@ def guess_regions(locations: DataFrame, metros: DataFrame, keys: Sequence[str] =
         .filter(F.col("_city") != "")
         .withColumn("_gram", F.substring("_city", 1, max_gram))
     )
+    sizes = cities.agg(F.collect_set(F.length("_gram")).alias("_sizes")).scalar()
     places = locations.select(*keys, "location").distinct().filter(F.col("location") != "")
-    text = F.lower("location")
-    starts = F.sequence(F.lit(1), F.length(text))
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(max_gram)),
-            lambda size: F.transform(starts, lambda at: F.substr(text, at, size)),
-        )
+    lowered = places.select(*keys, "location", F.lower("location").alias("_text")).withColumn("_sizes", sizes)
+    starts = lowered.select("*", F.explode(F.sequence(F.lit(1), F.length("_text"))).alias("_at"))
+    pieces = starts.select(*keys, "location", "_text", "_at", F.explode("_sizes").alias("_size")).select(
+        *keys, "location", "_text", F.substr("_text", F.col("_at"), F.col("_size")).alias("_gram")
     )
-    pieces = places.select(*keys, "location", F.explode(F.array_distinct(grams)).alias("_gram"))
-    hits = pieces.join(cities, [*keys, "_gram"]).filter(F.contains(F.lower("location"), F.col("_city")))
+    hits = pieces.join(cities, [*keys, "_gram"]).filter(F.contains("_text", F.col("_city")))
     found = hits.groupBy(*keys, "location").agg(F.min("metro").alias("metro"), F.max("metro").alias("_other"))
     return found.filter(F.col("metro") == F.col("_other")).drop("_other")

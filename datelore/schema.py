@@ -95,11 +95,5 @@ def parse_utc(text: Column) -> Column:
 
     Text that is no timestamp becomes null instead of failing the job.
     """
-    has_zone = text.rlike(r"[Tt ].*(?:[Zz]|[+-]\d{2}:?\d{2})\s*$")
-    date_only = text.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$")
-    stamped = (
-        F.when(date_only, F.concat(F.trim(text), F.lit("T00:00:00Z")))
-        .when(has_zone, text)
-        .otherwise(F.concat(text, F.lit("Z")))
-    )
-    return as_utc_ntz(stamped.try_cast("timestamp"))
+    has_offset = text.rlike(r"[Tt ].*[+-]\d{2}:?\d{2}\s*$")
+    return F.when(has_offset, as_utc_ntz(text.try_cast("timestamp"))).otherwise(text.try_cast("timestamp_ntz"))

@@ -41,14 +41,16 @@ def namespace_ids(raw: DataFrame, source_id: str) -> DataFrame:
     return raw.withColumns({"id": F.concat_ws(":", F.lit(source_id), "id"), "source_id": F.lit(source_id)})
 
 
-def full_name_by_first_name(people: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Most frequent "First Rest" form of each first name; ties go to the smaller name.
+def guest_lists(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct guest lists and how many events have them: (keys, people, n)."""
+    return events.filter(F.size("people") > 0).groupBy(*keys, "people").agg(F.count("*").alias("n"))
 
-    ``people`` holds one ``people`` array per event.
-    """
-    names = people.select(*keys, F.explode("people").alias("name")).filter(F.col("name").contains(" "))
+
+def full_name_by_first_name(lists: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Most frequent "First Rest" form of each first name over counted guest lists; ties go to the smaller name."""
+    names = lists.select(*keys, "n", F.explode("people").alias("name")).filter(F.col("name").contains(" "))
     counted = names.groupBy(*keys, F.substring_index("name", " ", 1).alias("first_name"), "name").agg(
-        F.count("*").alias("n")
+        F.sum("n").alias("n")
     )
     # A name that ends right after its blank has no last name to offer.
     counted = counted.filter(F.expr("length(name) > length(first_name) + 1"))
@@ -60,17 +62,20 @@ def full_name_by_first_name(people: DataFrame, keys: Sequence[str] = ()) -> Data
 def resolve_first_names(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rewrite bare first names of group events to the full form used elsewhere.
 
-    Only distinct guest lists that contain a bare first name are exploded and
-    looked up, so the work follows the number of lists, not of events.
+    Names are counted and looked up on the distinct guest lists, so that work
+    follows the number of lists, not of events.
     """
     keys = list(keys)
+    lists = guest_lists(events, keys)
     bare = F.filter("people", lambda name: ~name.contains(" "))
-    lists = events.filter((F.size("people") > 1) & (F.size(bare) > 0)).select(*keys, "people").distinct()
-    members = lists.select(*keys, "people", F.explode("people").alias("first_name"))
+    members = (
+        lists.filter((F.size("people") > 1) & (F.size(bare) > 0))
+        .select(*keys, "people", "n", F.explode("people").alias("first_name"))
+    )
     resolved = (
-        members.join(full_name_by_first_name(events, keys), [*keys, "first_name"], "left")
+        members.join(full_name_by_first_name(lists, keys), [*keys, "first_name"], "left")
         .groupBy(*keys, "people")
-        .agg(F.array_sort(F.collect_set(F.coalesce("full_name", "first_name"))).alias("_resolved"))
+        .agg(F.sort_array(F.collect_set(F.coalesce("full_name", "first_name"))).alias("_resolved"))
     )
     joined = events.join(resolved, [*keys, "people"], "left")
     return joined.withColumn("people", F.coalesce("_resolved", "people")).drop("_resolved")
@@ -81,7 +86,7 @@ def normalize_columns(raw: DataFrame) -> DataFrame:
     tags = F.col("noteTags")
     place = F.coalesce(text.first_tag(tags, "location"), F.col("location"))
     nobody = F.array().cast("array<string>")
-    people = F.array_sort(
+    people = F.sort_array(
         F.array_distinct(
             F.filter(
                 F.concat(

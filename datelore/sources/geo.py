@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datelore.schema import GEO_COLUMNS, GEO_FIELDS
+from datelore.schema import GEO_FIELDS
 
 
 def read_geo_json(spark: SparkSession, path) -> DataFrame:
@@ -87,9 +87,9 @@ def geocoded_count(dimension: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def with_coordinates(df: DataFrame, geo: DataFrame, keys: Sequence[str] = (), fields=("lat", "lon"), how: str = "left") -> DataFrame:
     """Look places up by their exact text.
 
-    The dimension grows with the data, so the join strategy is left to the
-    optimizer's measured sizes. ``how="inner"`` keeps geocoded rows only.
+    Fields the table does not have are left out. The dimension grows with the data,
+    so the join strategy is left to the optimizer's measured sizes. ``how="inner"`` keeps geocoded rows only.
     """
     on = [*keys, "location"]
     chosen = geo.filter(has_coordinates()) if how == "inner" else geo
-    return df.join(chosen.select(*on, *[f for f in fields if f in GEO_COLUMNS]), on, how)
+    return df.join(chosen.select(*on, *[f for f in fields if f in geo.columns]), on, how)

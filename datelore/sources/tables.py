@@ -32,7 +32,7 @@ def _order_people(spark: SparkSession, folder: str) -> DataFrame:
     """Guests of an order: one per supplier group of its lines."""
     lines = table(spark, folder, "lineitem")
     guest = F.concat(F.lit("S"), (F.col("l_suppkey") % 40).cast("string"))
-    return lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set(guest)).alias("people"))
+    return lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_set(guest)).alias("people"))
 
 
 def order_calendar(spark: SparkSession, folder: str, people: bool = False) -> DataFrame:
@@ -103,7 +103,7 @@ def event_calendar(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_type").alias("calendar"),
         F.col("event_type").alias("category"),
         F.lit(None).cast("string").alias("calendar_color"),
-        F.array_sort(
+        F.sort_array(
             F.array_distinct(
                 F.array(
                     F.concat(F.lit("P"), (F.col("user_id") % 10).cast("string")),
@@ -119,8 +119,6 @@ def event_calendar(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as raw export records, with the irregular text real exports have."""
-    from datelore.functions.text import parse_note_tags
-
     orders = table(spark, folder, "orders").join(
         table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
@@ -143,6 +141,13 @@ def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
             F.lit(", other\r\n  People : "), full, F.lit(", , "), second, F.lit("\npeople: Cy\nempty: ,\n: none"),
         ),
     )
+    tags = F.when(
+        key % 3 != 0,
+        F.create_map(
+            F.lit("category"), F.array(F.lower("o_orderpriority"), F.lit("other")),
+            F.lit("people"), F.array(full, second, F.lit("Cy")),
+        ),
+    )
     location = (
         F.when(key % 8 == 0, F.concat(F.lit("https://example.com/j/"), key.cast("string")))
         .when(key % 8 == 1, F.concat(F.lit("+1 415-555-"), F.lpad((key % 10000).cast("string"), 4, "0")))
@@ -168,7 +173,7 @@ def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 7 == 0, F.array(F.lit("Dee Day"), second)).otherwise(F.array().cast("array<string>")).alias("attendees"),
         (key % 7 == 0).alias("isRecurring"),
         F.lit(None).cast("string").alias("url"),
-        parse_note_tags(notes).alias("noteTags"),
+        tags.alias("noteTags"),
     )
 
 

@@ -72,7 +72,8 @@ def normalize_events(spark, folder):
     rf"""WITH {NORMAL} SELECT owner_id, fn AS first_name, name AS full_name FROM best""",
 )
 def full_names(spark, folder):
-    return ev.full_name_by_first_name(ev.normalize_columns(t.raw_orders(spark, folder)), keys=["owner_id"])
+    lists = ev.guest_lists(ev.normalize_columns(t.raw_orders(spark, folder)), ["owner_id"])
+    return ev.full_name_by_first_name(lists, ["owner_id"])
 
 
 @query(
