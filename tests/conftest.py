@@ -5,24 +5,29 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
+ROOT = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
+# Python workers import the package too.
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
+
+# Column expressions at module level need a session, so it starts with the collection.
+SESSION = (
+    SparkSession.builder.master("local[8]")
+    .appName("datelore-tests")
+    .config("spark.sql.shuffle.partitions", "8")
+    .config("spark.ui.enabled", "false")
+    .config("spark.ui.showConsoleProgress", "false")
+    .config("spark.driver.memory", "8g")
+    .config("spark.sql.session.timeZone", "UTC")
+    .getOrCreate()
+)
+SESSION.sparkContext.setLogLevel("ERROR")
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (
-        SparkSession.builder.master("local[8]")
-        .appName("datelore-tests")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    yield SESSION
+    SESSION.stop()
 
 
 @pytest.fixture(scope="session")
