@@ -8,6 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def reading_all(df: DataFrame) -> DataFrame:
+    """The same rows, with every column needed.
+
+    A second aggregate over ``df`` would be planned with fewer columns and so run the
+    scan again. A condition over all columns that holds for every row keeps both
+    uses alike, and Spark shuffles the input once and reuses it.
+    """
+    return df.filter(F.xxhash64(*df.columns) >= F.lit(-(2**63)))
+
+
 def attach_per_key(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the columns of ``per_key`` (one row per calendar) to every row.
 
@@ -25,7 +35,7 @@ def with_share(df: DataFrame, value: str, share: str, keys: Sequence[str] = ())
 
     The total is an aggregate of its own, so no window has to hold a calendar.
     """
-    total = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
+    total = reading_all(df).groupBy(*keys).agg(F.sum(value).alias("_total"))
     joined = attach_per_key(df, total, keys)
     return joined.withColumn(share, F.try_divide(F.col(value), F.col("_total"))).drop("_total")
 
@@ -43,7 +53,7 @@ def mode_per_group(df: DataFrame, group: Sequence[str], value: str, alias: str |
 
 
 def fill_grid(
-    counted: DataFrame, keys: Sequence[str], rows: Sequence[str], axis: str, values: Sequence[str], axis_source: DataFrame | None = None
+    counted: DataFrame, keys: Sequence[str], rows: Sequence[str], axis: str, values: Sequence[str]
 ) -> DataFrame:
     """Every row group crossed with every axis value its calendar has, missing cells 0.
 
@@ -51,9 +61,7 @@ def fill_grid(
     periods or categories, short enough to travel as one array per calendar.
     """
     keys, rows = list(keys), list(rows)
-    axes = (axis_source if axis_source is not None else counted).groupBy(*keys).agg(
-        F.sort_array(F.collect_set(axis)).alias("_axis")
-    )
+    axes = reading_all(counted).groupBy(*keys).agg(F.sort_array(F.collect_set(axis)).alias("_axis"))
     cells = counted.groupBy(*keys, *rows).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(axis), F.struct(*values)))).alias("_cells")
     )

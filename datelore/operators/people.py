@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datelore.functions import timebins
-from datelore.operators.common import attach_per_key, fill_grid, limit_per_key, with_share
+from datelore.operators.common import attach_per_key, fill_grid, limit_per_key, reading_all, with_share
 from datelore.operators.filters import timed_events
 
 
@@ -38,9 +38,7 @@ def person_trend(df: DataFrame, granularity: str = "year", keys: Sequence[str] =
     """
     rows = exploded_people(df).select(*keys, "person", timebins.period_start(F.col("start"), granularity).alias("period"))
     counted = rows.groupBy(*keys, "person", "period").agg(F.count("*").alias("events"))
-    observed = timed_events(df).filter(F.size("people") > 0)
-    periods = observed.select(*keys, timebins.period_start(F.col("start"), granularity).alias("period"))
-    return fill_grid(counted, keys, ["person"], "period", ["events"], axis_source=periods)
+    return fill_grid(counted, keys, ["person"], "period", ["events"])
 
 
 def person_trend_by_year(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -80,8 +78,7 @@ def fading_or_growing(df: DataFrame, min_total_events: int = 5, keys: Sequence[s
     """
     keys = list(keys)
     yearly = exploded_people(df).groupBy(*keys, "person", "year").agg(F.count("*").alias("_n"))
-    observed = timed_events(df).filter(F.size("people") > 0)
-    axis = observed.groupBy(*keys).agg(F.sort_array(F.collect_set("year")).alias("_axis"))
+    axis = reading_all(yearly).groupBy(*keys).agg(F.sort_array(F.collect_set("year")).alias("_axis"))
     per_person = yearly.groupBy(*keys, "person").agg(
         F.sum("_n").alias("total_events"),
         F.min("year").alias("first_year"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datelore.functions.timebins import MICROS_PER_DAY, micros_between
+from datelore.operators.common import reading_all
 
 
 def runs(series: DataFrame, group: Sequence[str], order: str, state: str) -> DataFrame:
@@ -45,17 +46,35 @@ def stays(events: DataFrame, keys: Sequence[str], place: str, gap_days: float, t
     by_day = Window.partitionBy(*keys, "_day").orderBy("start", tie)
     so_far = by_day.rowsBetween(Window.unboundedPreceding, 0)
 
-    # Level 1: place changes inside a day. The first event of a day waits for the carry.
+    # Level 1: place changes inside a day; the first event of a day waits for the carry.
     previous = F.lag(F.struct(place)).over(by_day)
     marked = rows.withColumn(
         "_change", (previous.isNotNull() & ~F.col(place).eqNullSafe(previous[place])).cast("int")
     ).withColumn("_changes", F.sum("_change").over(so_far))
+    # Events of a day at one place that lie closer than the gap collapse to one piece.
+    at_place = Window.partitionBy(*keys, "_day", "_changes").orderBy("start", tie)
+    latest = F.max("end").over(at_place.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = (
+        marked.withColumn("_break", (micros_between(latest, F.col("start")) > gap).cast("int"))
+        .withColumn("_piece", F.sum(F.coalesce("_break", F.lit(0))).over(at_place.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*keys, "_day", "_changes", "_piece")
+        .agg(
+            F.first(place).alias(place),
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.count("*").alias("n_events"),
+        )
+    )
 
     # Level 2: one row per day tells whether the day opens with a change and how many came before.
-    days = marked.groupBy(*keys, "_day").agg(
-        F.sum("_change").alias("_in_day"),
-        F.min_by(F.struct(place), F.struct("start", tie)).alias("_first"),
-        F.max_by(F.struct(place), F.struct("start", tie)).alias("_last"),
+    days = (
+        reading_all(pieces)
+        .groupBy(*keys, "_day")
+        .agg(
+            F.max("_changes").alias("_in_day"),
+            F.min_by(F.struct(place), F.struct("_changes", "_piece")).alias("_first"),
+            F.max_by(F.struct(place), F.struct("_changes", "_piece")).alias("_last"),
+        )
     )
     over_days = Window.partitionBy(*keys).orderBy("_day")
     before = F.lag("_last").over(over_days)
@@ -68,26 +87,11 @@ def stays(events: DataFrame, keys: Sequence[str], place: str, gap_days: float, t
         )
         + F.col("_opens"),
     )
-    # Same partitioning as level 1, so only the day summaries move for this join.
-    islands = marked.join(days.select(*keys, "_day", "_base"), [*keys, "_day"]).withColumn(
+    # The pieces stay where level 1 put them, so only the day summaries move for this join.
+    pieces = pieces.join(days.select(*keys, "_day", "_base"), [*keys, "_day"]).withColumn(
         "_island", F.col("_base") + F.col("_changes")
     )
 
-    # Pieces: within an island and a day, events closer than the gap collapse to one row.
-    in_island = Window.partitionBy(*keys, "_day", "_island").orderBy("start", tie)
-    latest = F.max("end").over(in_island.rowsBetween(Window.unboundedPreceding, -1))
-    pieces = (
-        islands.withColumn("_break", (micros_between(latest, F.col("start")) > gap).cast("int"))
-        .withColumn("_piece", F.sum(F.coalesce("_break", F.lit(0))).over(in_island.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "_day", "_island", "_piece")
-        .agg(
-            F.first(place).alias(place),
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-            F.count("*").alias("n_events"),
-        )
-    )
-
     # Stays: the same rule over the pieces of an island, at most a few per day.
     over_pieces = Window.partitionBy(*keys, "_island").orderBy("_day", "_piece")
     latest = F.max("end").over(over_pieces.rowsBetween(Window.unboundedPreceding, -1))
@@ -158,18 +162,19 @@ def nearest(
     )
     day = Window.partitionBy(*group, "_day")
     running = (Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumns(
+    windowed = both.withColumns(
         {
             "_prev": F.last("_right", ignorenulls=True).over(day.orderBy("_ts", "_kind").rowsBetween(*running)),
             "_next": F.last("_right", ignorenulls=True).over(
                 day.orderBy(F.col("_ts").desc(), "_kind").rowsBetween(*running)
             ),
         }
-    ).filter(F.col("_kind") == 1)
-    # One summary per day; left-only days carry the neighbours of the days around them.
-    days = both.groupBy(*group, "_day").agg(
-        F.min_by("_right", F.when(F.col("_right").isNotNull(), F.col("_ts"))).alias("_first"),
-        F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_ts"))).alias("_last"),
+    )
+    seen = windowed.filter(F.col("_kind") == 1)
+    # One summary per day: the first moment's next and the last moment's previous right row.
+    moment = F.struct("_ts", "_kind")
+    days = reading_all(windowed).groupBy(*group, "_day").agg(
+        F.min_by("_next", moment).alias("_first"), F.max_by("_prev", moment).alias("_last")
     )
     across = Window.partitionBy(*group)
     earlier = across.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datelore.functions import text, timebins
+from datelore.operators.common import reading_all
 from datelore.schema import EVENT_COLUMNS, RAW_EVENT, parse_utc
 
 LAYOUTS = ("array", "lines", "parquet")
@@ -43,7 +44,7 @@ def namespace_ids(raw: DataFrame, source_id: str) -> DataFrame:
 
 def guest_lists(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct guest lists and how many events have them: (keys, people, n)."""
-    return events.filter(F.size("people") > 0).groupBy(*keys, "people").agg(F.count("*").alias("n"))
+    return events.groupBy(*keys, "people").agg(F.count("*").alias("n"))
 
 
 def full_name_by_first_name(lists: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -68,10 +69,11 @@ def resolve_first_names(events: DataFrame, keys: Sequence[str] = ()) -> DataFram
     keys = list(keys)
     lists = guest_lists(events, keys)
     bare = F.filter("people", lambda name: ~name.contains(" "))
-    members = (
-        lists.filter((F.size("people") > 1) & (F.size(bare) > 0))
-        .select(*keys, "people", "n", F.explode("people").alias("first_name"))
-    )
+    # Counts are at least 1. As a factor they keep the tests above the aggregate, whose
+    # shuffled result then serves both the name counts and the lookups.
+    once = F.least("n", F.lit(1))
+    groups = reading_all(lists).filter((F.size("people") * once > 1) & (F.size(bare) * once > 0))
+    members = groups.select(*keys, "people", F.explode("people").alias("first_name"))
     resolved = (
         members.join(full_name_by_first_name(lists, keys), [*keys, "first_name"], "left")
         .groupBy(*keys, "people")

@@ -89,7 +89,11 @@ def order_geo(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_calendar(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the events table as meetings of their user (``owner_id``)."""
-    source = table(spark, folder, "events")
+    return event_calendar_rows(table(spark, folder, "events"))
+
+
+def event_calendar_rows(source: DataFrame) -> DataFrame:
+    """The same for any batch or stream of such rows."""
     k = F.get_json_object("props", "$.k").cast("int")
     rows = source.withColumn("_k", k).select(
         F.col("user_id").alias("owner_id"),

@@ -157,7 +157,8 @@ def trips_stream(
             place, start, end, n = None, 0, 0, 0
         if n or waiting:
             state.update((place, start, end, n, [w[2] for w in waiting], [w[0] for w in waiting], [w[1] for w in waiting]))
-            nearest = min([end + gap] if n else [w[0] for w in waiting])
+            # Wake when the open trip can close or the first waiting event is due.
+            nearest = min(([end + gap] if n else []) + [w[0] for w in waiting[:1]])
             state.setTimeoutTimestamp(max(nearest // 1000, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()

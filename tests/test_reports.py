@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from datelore.operators.filters import global_filters
 from datelore.plans import reports
+from datelore.plans.ordering import first_rows, ordered, ordered_report
 from datelore.sources import tables
 
 AS_OF = dt.datetime(2001, 7, 1)
@@ -87,3 +88,16 @@ def test_geocode_job(spark, sample):
     assert set(status) == {"resolved", "approximate", "failed"}
     assert job["failures"].count() == status["failed"]
     assert job["geo"].count() == sum(status.values())
+
+
+def test_display_orders(calendar, geo):
+    habit = reports.habit(calendar, "1-urgent")
+    weeks = [row.weeks for row in first_rows("streaks", habit["streaks"], 12).collect()]
+    assert len(weeks) == 12 and weeks == sorted(weeks, reverse=True)
+    spend = ordered("categories", reports.time_and_spend(calendar, {"1-urgent": 5, "2-high": 9})["categories"]).collect()
+    assert [row.estimated_spend is None for row in spend] == [False, False, True, True, True]
+    assert spend[0].estimated_spend > spend[1].estimated_spend
+    for name in CASES:
+        report = CASES[name](calendar, geo, [])
+        for title, table in ordered_report(report).items():
+            assert table.columns == report[title].columns
