@@ -108,6 +108,9 @@ def weighted_quantiles(
     """
     group = list(group)
     binned = values.withColumn("_bucket", bucket)
+    # Stated once here, so that the join below does not add it to one use of the input only.
+    for name in [*group, "_bucket"]:
+        binned = binned.filter(F.col(name).isNotNull())
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         binned.groupBy(*group, "_bucket")

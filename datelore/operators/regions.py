@@ -15,7 +15,7 @@ from datelore.functions import geo as geo_fn
 from datelore.operators.common import attach_per_key
 from datelore.operators.sequences import stays
 from datelore.session import ensure_checkpoint_dir
-from datelore.sources.geo import with_coordinates
+from datelore.sources.geo import has_coordinates, with_coordinates
 
 # --- Fixed values ---
 METRO_RADIUS_KM = 80.0
@@ -55,14 +55,19 @@ def _leader_clusters(points: pd.DataFrame, radius_km: float) -> np.ndarray:
     return seed
 
 
-def cluster_places(points: DataFrame, radius_km: float = METRO_RADIUS_KM, keys: Sequence[str] = ()) -> DataFrame:
+def cluster_places(
+    points: DataFrame, radius_km: float = METRO_RADIUS_KM, keys: Sequence[str] = (), at_most: int | None = None
+) -> DataFrame:
     """Place points with the ``seed`` place of their cluster.
 
     Places are taken by visits (most first, then by name). A place no earlier seed
     reaches within the radius becomes a seed; every other place belongs to the
-    earliest seed that reaches it.
+    earliest seed that reaches it. ``at_most`` is a known bound on the places of one
+    calendar; without one, or when it is too large to tell, the places are counted.
     """
     keys = list(keys)
+    if at_most is not None and at_most <= SMALL_CALENDAR_PLACES:
+        return _cluster_small(points, radius_km, keys)
     sizes = points.groupBy(*keys).agg(F.count("*").alias("_places"))
     largest = sizes.agg(F.max("_places")).first()[0] or 0
     if largest <= SMALL_CALENDAR_PLACES:
@@ -174,24 +179,26 @@ def cluster_places_distributed(points: DataFrame, radius_km: float = METRO_RADIU
     return joined.select(*points.columns, F.array_min(hits)["location"].alias("seed"))
 
 
-def metro_map(
+def labelled_places(
     df: DataFrame,
     geo: DataFrame,
     keys: Sequence[str] = (),
     radius_km: float = METRO_RADIUS_KM,
     renames: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Metro label of every geocoded place in the events: (keys, location, metro).
+    """Geocoded places of the events with their totals, labels and ``metro``.
 
     A cluster is named after the city label that covers most of its places; ties
-    go to the label with more visits, then to the smaller label.
+    go to the label with more visits, then to the smaller label. The other reports
+    of this module start from these rows, one per place, not from the events.
     """
     keys = list(keys)
-    return _label_clusters(place_points(df, geo, keys), keys, radius_km, renames).select(*keys, "location", "metro")
-
-
-def _label_clusters(points: DataFrame, keys: list[str], radius_km: float, renames) -> DataFrame:
-    clustered = cluster_places(points, radius_km, keys)
+    points = place_points(df, geo, keys)
+    # No calendar can have more places than the place table lists for it.
+    geo_keys = [key for key in keys if key in geo.columns]
+    listed = geo.filter(has_coordinates()).groupBy(*geo_keys).agg(F.count("*").alias("_n"))
+    at_most = listed.agg(F.max("_n")).first()[0] or 0
+    clustered = cluster_places(points, radius_km, keys, at_most)
     label = F.coalesce(geo_fn.region_label(F.col("city"), F.col("country"), F.col("display_name")), F.col("location"))
     labelled = clustered.withColumn("_label", label)
     counted = labelled.groupBy(*keys, "seed", "_label").agg(F.count("*").alias("_places"), F.sum("visits").alias("_visits"))
@@ -204,15 +211,18 @@ def _label_clusters(points: DataFrame, keys: list[str], radius_km: float, rename
     return labelled.drop("_label").join(chosen, [*keys, "seed"])
 
 
-def visits_by_region(df: DataFrame, geo: DataFrame, keys: Sequence[str] = (), radius_km: float = METRO_RADIUS_KM, renames=None) -> DataFrame:
+def metro_map(df: DataFrame, geo: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
+    """Metro label of every geocoded place in the events: (keys, location, metro)."""
+    return labelled_places(df, geo, keys, **options).select(*keys, "location", "metro")
+
+
+def visits_by_region(df: DataFrame, geo: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
     """Visits, hours, range and places of every metro area."""
-    keys = list(keys)
-    placed = _label_clusters(place_points(df, geo, keys), keys, radius_km, renames)
-    return region_totals(placed, keys)
+    return region_totals(labelled_places(df, geo, keys, **options), keys)
 
 
 def region_totals(placed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Per-place totals with a ``metro`` column summed per metro."""
+    """Labelled places summed per metro."""
     return placed.groupBy(*keys, F.col("metro").alias("region")).agg(
         F.sum("visits").alias("visits"),
         F.sum("total_hours").alias("total_hours"),
@@ -230,28 +240,24 @@ def home_region(region_visits: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 
 
 def trips_away_from_home(
-    df: DataFrame,
-    geo: DataFrame,
-    gap_days: float = TRIP_GAP_DAYS,
-    keys: Sequence[str] = (),
-    metros: DataFrame | None = None,
+    df: DataFrame, geo: DataFrame, gap_days: float = TRIP_GAP_DAYS, keys: Sequence[str] = (), placed: DataFrame | None = None
 ) -> DataFrame:
     """Consecutive events in one metro other than home, merged into trips."""
     keys = list(keys)
-    metros = metro_map(df, geo, keys) if metros is None else metros
-    located = df.filter(F.col("location").isNotNull()).select(*keys, "id", "start", "end", "location")
-    placed = located.join(metros.withColumnRenamed("metro", "region"), [*keys, "location"])
-    visits = placed.groupBy(*keys, "region").agg(F.count("*").alias("visits"))
-    away = attach_per_key(placed, home_region(visits, keys), keys).filter(F.col("region") != F.col("home_region"))
-    return stays(away, keys, "region", gap_days)
+    placed = labelled_places(df, geo, keys) if placed is None else placed
+    home = home_region(region_totals(placed, keys), keys)
+    places = attach_per_key(placed.select(*keys, "location", F.col("metro").alias("region")), home, keys)
+    away = places.filter(F.col("region") != F.col("home_region")).drop("home_region")
+    events = df.filter(F.col("location").isNotNull()).select(*keys, "id", "start", "end", "location")
+    return stays(events.join(away, [*keys, "location"]), keys, "region", gap_days)
 
 
 def neighborhoods_for_metro(
-    df: DataFrame, geo: DataFrame, metro: str | None = None, keys: Sequence[str] = (), radius_km: float = METRO_RADIUS_KM
+    df: DataFrame, geo: DataFrame, metro: str | None = None, keys: Sequence[str] = (), placed: DataFrame | None = None
 ) -> DataFrame:
     """Visits per neighbourhood inside one metro, by default each calendar's home."""
     keys = list(keys)
-    placed = _label_clusters(place_points(df, geo, keys), keys, radius_km, None)
+    placed = labelled_places(df, geo, keys) if placed is None else placed
     if metro is None:
         home = home_region(region_totals(placed, keys), keys)
         inside = attach_per_key(placed, home, keys).filter(F.col("metro") == F.col("home_region"))

@@ -119,21 +119,31 @@ def stays(events: DataFrame, keys: Sequence[str], place: str, gap_days: float, t
 def gap_counts(events: DataFrame, group: Sequence[str], ts: str = "start") -> DataFrame:
     """Gaps between consecutive events of a group: (group, gap_micros, n).
 
-    Gaps inside a day come from a window per day, gaps across days from the
-    daily first and last event.
+    Events at one moment are counted before the shuffle; all but one of them add a
+    gap of 0. Gaps inside a day come from a window per day, gaps across days from
+    the daily first and last event.
     """
     group = list(group)
-    rows = events.select(*group, ts, F.to_date(ts).alias("_day"))
+    moments = events.groupBy(*group, ts).agg(F.count("*").alias("_n")).withColumn("_day", F.to_date(ts))
     in_day = Window.partitionBy(*group, "_day").orderBy(ts)
-    inside = rows.select(*group, micros_between(F.lag(ts).over(in_day), F.col(ts)).alias("gap_micros"))
-    days = rows.groupBy(*group, "_day").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    inside = moments.select(
+        *group, "_day", ts, "_n", micros_between(F.lag(ts).over(in_day), F.col(ts)).alias("gap_micros")
+    )
+    zero = F.struct(F.lit(0).cast("bigint").alias("gap_micros"), (F.col("_n") - 1).alias("n"))
+    one = F.struct("gap_micros", F.lit(1).cast("bigint").alias("n"))
+    within = inside.select(*group, F.inline(F.array(zero, one)))
+    days = reading_all(inside).groupBy(*group, "_day").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
     over_days = Window.partitionBy(*group).orderBy("_day")
-    across = days.select(*group, micros_between(F.lag("_last").over(over_days), F.col("_first")).alias("gap_micros"))
+    across = days.select(
+        *group,
+        micros_between(F.lag("_last").over(over_days), F.col("_first")).alias("gap_micros"),
+        F.lit(1).cast("bigint").alias("n"),
+    )
     return (
-        inside.unionByName(across)
-        .filter(F.col("gap_micros").isNotNull())
+        within.unionByName(across)
+        .filter(F.col("gap_micros").isNotNull() & (F.col("n") > 0))
         .groupBy(*group, "gap_micros")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 

@@ -104,8 +104,9 @@ def reconnect_invites(df: DataFrame, as_of: Column, geo: DataFrame | None = None
 
 
 def travel_view(df: DataFrame, geo: DataFrame, keys: Sequence[str] = ()) -> Report:
-    visits = regions.visits_by_region(df, geo, keys)
-    trips = regions.trips_away_from_home(df, geo, keys=keys)
+    placed = regions.labelled_places(df, geo, keys)
+    visits = regions.region_totals(placed, keys)
+    trips = regions.trips_away_from_home(df, geo, keys=keys, placed=placed)
     return {
         "home_region": regions.home_region(visits, keys),
         "region_visits": visits,
