@@ -163,7 +163,7 @@ def invite_suggestions(
     metros = None if geo is None else metro_map(past, geo, keys)
     candidates = invite_candidates(df, as_of, metros, days_ahead, max_days_since_seen, keys)
     drawn = candidates.withColumn("_draw", F.xxhash64(F.lit(seed), "event_id", "event_start", "person"))
-    placed = drawn.repartition(*keys) if keys else drawn.coalesce(1)
+    placed = drawn.repartition(*keys) if keys else drawn.repartition(1)
     ordered = placed.sortWithinPartitions(*keys, "event_start", "event_id", "_draw", "person")
     schema = T.StructType([field for field in ordered.schema.fields])
     picked = ordered.mapInPandas(_pick_in_order(keys, top_n), schema).drop("_draw")

@@ -1,9 +1,10 @@
 """Order-dependent operators that never hold a whole calendar in one task.
 
 A window over all events of a calendar would put a hot calendar into one task.
-The operators here work in two levels: inside each day of a calendar first, then
-over one summary row per day to carry state across days. The second level has at
-most one row per calendar day, however many events there are.
+The operators here work in two levels: inside each hour of a calendar first, then
+over one summary row per busy hour to carry state across hours. The second level
+has at most one row per hour of the calendar, however many events there are, and
+the first spreads even a single crowded day over many tasks.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ def runs(series: DataFrame, group: Sequence[str], order: str, state: str) -> Dat
     ).drop("_run")
 
 
+def hour_of(ts: Column) -> Column:
+    """Number of the hour a timestamp lies in; hours order like their timestamps."""
+    return F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)
+
+
 def stays(events: DataFrame, keys: Sequence[str], place: str, gap_days: float, tie: str = "id") -> DataFrame:
     """Consecutive events at one place merged into stays.
 
@@ -42,22 +48,22 @@ def stays(events: DataFrame, keys: Sequence[str], place: str, gap_days: float, t
     """
     keys = list(keys)
     gap = F.lit(int(gap_days * MICROS_PER_DAY))
-    rows = events.select(*keys, place, F.col("start"), F.col("end"), tie).withColumn("_day", F.to_date("start"))
-    by_day = Window.partitionBy(*keys, "_day").orderBy("start", tie)
-    so_far = by_day.rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.select(*keys, place, F.col("start"), F.col("end"), tie).withColumn("_hour", hour_of(F.col("start")))
+    by_hour = Window.partitionBy(*keys, "_hour").orderBy("start", tie)
+    so_far = by_hour.rowsBetween(Window.unboundedPreceding, 0)
 
-    # Level 1: place changes inside a day; the first event of a day waits for the carry.
-    previous = F.lag(F.struct(place)).over(by_day)
+    # Level 1: place changes inside an hour; the first event of an hour waits for the carry.
+    previous = F.lag(F.struct(place)).over(by_hour)
     marked = rows.withColumn(
         "_change", (previous.isNotNull() & ~F.col(place).eqNullSafe(previous[place])).cast("int")
     ).withColumn("_changes", F.sum("_change").over(so_far))
-    # Events of a day at one place that lie closer than the gap collapse to one piece.
-    at_place = Window.partitionBy(*keys, "_day", "_changes").orderBy("start", tie)
+    # Events of an hour at one place that lie closer than the gap collapse to one piece.
+    at_place = Window.partitionBy(*keys, "_hour", "_changes").orderBy("start", tie)
     latest = F.max("end").over(at_place.rowsBetween(Window.unboundedPreceding, -1))
     pieces = (
         marked.withColumn("_break", (micros_between(latest, F.col("start")) > gap).cast("int"))
         .withColumn("_piece", F.sum(F.coalesce("_break", F.lit(0))).over(at_place.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "_day", "_changes", "_piece")
+        .groupBy(*keys, "_hour", "_changes", "_piece")
         .agg(
             F.first(place).alias(place),
             F.min("start").alias("start"),
@@ -66,34 +72,34 @@ def stays(events: DataFrame, keys: Sequence[str], place: str, gap_days: float, t
         )
     )
 
-    # Level 2: one row per day tells whether the day opens with a change and how many came before.
-    days = (
+    # Level 2: one row per hour tells whether it opens with a change and how many came before.
+    hours = (
         reading_all(pieces)
-        .groupBy(*keys, "_day")
+        .groupBy(*keys, "_hour")
         .agg(
-            F.max("_changes").alias("_in_day"),
+            F.max("_changes").alias("_in_hour"),
             F.min_by(F.struct(place), F.struct("_changes", "_piece")).alias("_first"),
             F.max_by(F.struct(place), F.struct("_changes", "_piece")).alias("_last"),
         )
     )
-    over_days = Window.partitionBy(*keys).orderBy("_day")
-    before = F.lag("_last").over(over_days)
-    days = days.withColumn("_opens", (before.isNull() | ~F.col("_first").eqNullSafe(before)).cast("int"))
-    days = days.withColumn(
+    over_hours = Window.partitionBy(*keys).orderBy("_hour")
+    before = F.lag("_last").over(over_hours)
+    hours = hours.withColumn("_opens", (before.isNull() | ~F.col("_first").eqNullSafe(before)).cast("int"))
+    hours = hours.withColumn(
         "_base",
         F.coalesce(
-            F.sum(F.col("_in_day") + F.col("_opens")).over(over_days.rowsBetween(Window.unboundedPreceding, -1)),
+            F.sum(F.col("_in_hour") + F.col("_opens")).over(over_hours.rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0),
         )
         + F.col("_opens"),
     )
-    # The pieces stay where level 1 put them, so only the day summaries move for this join.
-    pieces = pieces.join(days.select(*keys, "_day", "_base"), [*keys, "_day"]).withColumn(
+    # The pieces stay where level 1 put them, so only the summaries move for this join.
+    pieces = pieces.join(hours.select(*keys, "_hour", "_base"), [*keys, "_hour"]).withColumn(
         "_island", F.col("_base") + F.col("_changes")
     )
 
-    # Stays: the same rule over the pieces of an island, at most a few per day.
-    over_pieces = Window.partitionBy(*keys, "_island").orderBy("_day", "_piece")
+    # Stays: the same rule over the pieces of an island, a few per hour.
+    over_pieces = Window.partitionBy(*keys, "_island").orderBy("_hour", "_piece")
     latest = F.max("end").over(over_pieces.rowsBetween(Window.unboundedPreceding, -1))
     return (
         pieces.withColumn("_break", (micros_between(latest, F.col("start")) > gap).cast("int"))
@@ -120,23 +126,23 @@ def gap_counts(events: DataFrame, group: Sequence[str], ts: str = "start") -> Da
     """Gaps between consecutive events of a group: (group, gap_micros, n).
 
     Events at one moment are counted before the shuffle; all but one of them add a
-    gap of 0. Gaps inside a day come from a window per day, gaps across days from
-    the daily first and last event.
+    gap of 0. Gaps inside an hour come from a window per hour, gaps across hours from
+    the first and last event of each.
     """
     group = list(group)
-    moments = events.groupBy(*group, ts).agg(F.count("*").alias("_n")).withColumn("_day", F.to_date(ts))
-    in_day = Window.partitionBy(*group, "_day").orderBy(ts)
+    moments = events.groupBy(*group, ts).agg(F.count("*").alias("_n")).withColumn("_hour", hour_of(F.col(ts)))
+    in_hour = Window.partitionBy(*group, "_hour").orderBy(ts)
     inside = moments.select(
-        *group, "_day", ts, "_n", micros_between(F.lag(ts).over(in_day), F.col(ts)).alias("gap_micros")
+        *group, "_hour", ts, "_n", micros_between(F.lag(ts).over(in_hour), F.col(ts)).alias("gap_micros")
     )
     zero = F.struct(F.lit(0).cast("bigint").alias("gap_micros"), (F.col("_n") - 1).alias("n"))
     one = F.struct("gap_micros", F.lit(1).cast("bigint").alias("n"))
     within = inside.select(*group, F.inline(F.array(zero, one)))
-    days = reading_all(inside).groupBy(*group, "_day").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    over_days = Window.partitionBy(*group).orderBy("_day")
-    across = days.select(
+    hours = reading_all(inside).groupBy(*group, "_hour").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    over_hours = Window.partitionBy(*group).orderBy("_hour")
+    across = hours.select(
         *group,
-        micros_between(F.lag("_last").over(over_days), F.col("_first")).alias("gap_micros"),
+        micros_between(F.lag("_last").over(over_hours), F.col("_first")).alias("gap_micros"),
         F.lit(1).cast("bigint").alias("n"),
     )
     return (
@@ -168,34 +174,34 @@ def nearest(
     both = (
         single.withColumn("_kind", F.lit(0))
         .unionByName(lefts, allowMissingColumns=True)
-        .withColumn("_day", F.to_date("_ts"))
+        .withColumn("_hour", hour_of(F.col("_ts")))
     )
-    day = Window.partitionBy(*group, "_day")
+    hour = Window.partitionBy(*group, "_hour")
     running = (Window.unboundedPreceding, Window.currentRow)
     windowed = both.withColumns(
         {
-            "_prev": F.last("_right", ignorenulls=True).over(day.orderBy("_ts", "_kind").rowsBetween(*running)),
+            "_prev": F.last("_right", ignorenulls=True).over(hour.orderBy("_ts", "_kind").rowsBetween(*running)),
             "_next": F.last("_right", ignorenulls=True).over(
-                day.orderBy(F.col("_ts").desc(), "_kind").rowsBetween(*running)
+                hour.orderBy(F.col("_ts").desc(), "_kind").rowsBetween(*running)
             ),
         }
     )
     seen = windowed.filter(F.col("_kind") == 1)
-    # One summary per day: the first moment's next and the last moment's previous right row.
+    # One summary per hour: the first moment's next and the last moment's previous right row.
     moment = F.struct("_ts", "_kind")
-    days = reading_all(windowed).groupBy(*group, "_day").agg(
+    hours = reading_all(windowed).groupBy(*group, "_hour").agg(
         F.min_by("_next", moment).alias("_first"), F.max_by("_prev", moment).alias("_last")
     )
     across = Window.partitionBy(*group)
-    earlier = across.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    later = across.orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.select(
+    earlier = across.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    later = across.orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = hours.select(
         *group,
-        "_day",
+        "_hour",
         F.last("_last", ignorenulls=True).over(earlier).alias("_carry_prev"),
         F.last("_first", ignorenulls=True).over(later).alias("_carry_next"),
     )
-    joined = seen.join(carried, [*group, "_day"]).withColumns(
+    joined = seen.join(carried, [*group, "_hour"]).withColumns(
         {"_prev": F.coalesce("_prev", "_carry_prev"), "_next": F.coalesce("_next", "_carry_next")}
     )
 
