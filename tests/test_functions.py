@@ -8,6 +8,7 @@ from datelore.functions import geo as geo_fn
 from datelore.functions import text, timebins
 from datelore.operators import resolve
 from datelore.operators.filters import is_complete_address
+from datelore.operators.sequences import hour_of
 from datelore.schema import parse_utc
 
 COL = F.col("value")
@@ -84,6 +85,7 @@ def test_parse_utc_ignores_the_session_zone(spark):
     try:
         values = ["2024-11-03T05:30:00Z", "2024-11-03T09:30:00+02:00", "2024-03-10", "2024-01-01T00:00:00", "nonsense", None]
         got = apply(spark, parse_utc(COL), values)
+        chunk = apply(spark, hour_of(parse_utc(COL)), ["1970-01-02T03:59:59Z", "2024-03-10T07:30:00Z"])
         hours = apply(spark, timebins.hours_between(parse_utc(COL), parse_utc(F.lit("2024-11-04T05:30:00Z"))), values[:1])
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
@@ -96,6 +98,7 @@ def test_parse_utc_ignores_the_session_zone(spark):
         None,
     ]
     assert hours == [24.0]
+    assert chunk == [27, (dt.date(2024, 3, 10) - dt.date(1970, 1, 1)).days * 24 + 7]
 
 
 def test_micros_between_is_signed_and_exact(spark):
