@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def epoch() -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz")
 
 
+def naive(moment: dt.datetime | dt.date) -> Column:
+    """A Python moment as naive timestamp, untouched by any time zone."""
+    return F.lit(moment.isoformat()).cast("timestamp_ntz")
+
+
 def instant(ts: Column) -> Column:
     """The moment a naive UTC timestamp stands for, for operators that need one."""
     return F.timestamp_micros(micros_between(epoch(), ts))

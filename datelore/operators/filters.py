@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datelore.functions.text import strip
+from datelore.functions.timebins import naive
 
 # --- Fixed values ---
 TRAVEL_CATEGORIES = ["travel", "flight", "trip", "vacation", "vacay", "holiday"]
@@ -25,10 +26,9 @@ def timed_events(df: DataFrame) -> DataFrame:
 def in_date_range(df: DataFrame, start_date: dt.date | None = None, end_date: dt.date | None = None) -> DataFrame:
     """Both dates inclusive."""
     if start_date is not None:
-        df = df.filter(F.col("start") >= F.lit(dt.datetime.combine(start_date, dt.time())).cast("timestamp_ntz"))
+        df = df.filter(F.col("start") >= naive(start_date))
     if end_date is not None:
-        after = dt.datetime.combine(end_date, dt.time()) + dt.timedelta(days=1)
-        df = df.filter(F.col("start") < F.lit(after).cast("timestamp_ntz"))
+        df = df.filter(F.col("start") < naive(end_date + dt.timedelta(days=1)))
     return df
 
 
@@ -95,7 +95,3 @@ def history(df: DataFrame, as_of: Column) -> DataFrame:
 
 def is_complete_address(location: Column) -> Column:
     return location.rlike(COMPLETE_ADDRESS)
-
-
-def in_export_range(start: Column, first, last) -> Column:
-    return start.between(F.lit(first), F.lit(last))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from datelore.functions import text, timebins
 from datelore.operators.common import weighted_quantiles
 from datelore.operators.sequences import gap_counts
+from datelore.schema import as_utc_ntz
 
 # --- Fixed values ---
 TOO_RARE = ["quarterly", "yearly"]
@@ -25,7 +26,7 @@ def recurring_series(
     Titles are compared without their guest list. ``as_of`` defaults to now. Series
     that recur less than monthly, or whose median gap is 0, are left out.
     """
-    now = F.current_timestamp().cast("timestamp_ntz") if as_of is None else as_of
+    now = as_utc_ntz(F.current_timestamp()) if as_of is None else as_of
     group = [*keys, "title"]
     titled = (
         df.filter(F.col("title").isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -132,7 +133,9 @@ def normalize_events(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return resolved.withColumn("n_people", F.size("people")).select(*keys, *EVENT_COLUMNS)
 
 
-def export_filter(events: DataFrame, calendars: Sequence[str] | None, start, end) -> DataFrame:
+def export_filter(
+    events: DataFrame, calendars: Sequence[str] | None, start: dt.datetime, end: dt.datetime
+) -> DataFrame:
     """Events of the named calendars that start inside [start, end)."""
-    chosen = events.filter((F.col("start") >= F.lit(start)) & (F.col("start") < F.lit(end)))
+    chosen = events.filter((F.col("start") >= timebins.naive(start)) & (F.col("start") < timebins.naive(end)))
     return chosen if calendars is None else chosen.filter(F.col("calendar").isin(list(calendars)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from datelore.functions import text
 from datelore.schema import RAW_EVENT
+from datelore.sources.records import iso_text
 
 
 @cache
@@ -41,13 +42,14 @@ def iso_utc(params: Column, value: Column) -> Column:
     A known TZID is converted to UTC, a floating time is kept and a plain date
     becomes midnight.
     """
-    stamp = F.regexp_extract(value, r"^(\d{8}T\d{6})", 1)
-    ntz = F.try_to_timestamp(stamp, F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz")
+    stamp = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2}).*$", "$1-$2-$3T$4:$5:$6")
+    ntz = F.when(value.rlike(r"^\d{8}T\d{6}"), stamp.try_cast("timestamp_ntz"))
     zone = F.regexp_extract(params, r'(?i);TZID="?([^";:]+)"?', 1)
     shifted = F.convert_timezone(zone, F.lit("UTC"), ntz)
     moment = F.when(zone.isin(_zone_names()) & ~value.endswith("Z"), shifted).otherwise(ntz)
-    day = F.try_to_timestamp(F.regexp_extract(value, r"^(\d{8})$", 1), F.lit("yyyyMMdd")).cast("timestamp_ntz")
-    return F.date_format(F.coalesce(moment, day), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    day = F.when(value.rlike(r"^\d{8}$"), date.try_cast("timestamp_ntz"))
+    return iso_text(F.coalesce(moment, day))
 
 
 def _attendees(block: Column) -> Column:

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def iso_text(moment: Column) -> Column:
+    """ISO text with "Z"; fractions of a second, when there are any, have six digits."""
+    text = F.replace(moment.cast("string"), F.lit(" "), F.lit("T"))
+    exact = F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
+    return F.concat(exact, F.lit("Z"))
+
+
 def to_records(df: DataFrame) -> DataFrame:
     """Report columns in their exported form: UTC times as ISO text with "Z", NaN as null."""
     columns = []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-            moment = column.cast("timestamp_ntz") if isinstance(field.dataType, T.DateType) else column
-            whole = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-            exact = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-            column = F.when(F.date_format(moment, "SSSSSS") == "000000", whole).otherwise(exact)
+            column = iso_text(column if isinstance(field.dataType, T.TimestampType) else column.cast("timestamp_ntz"))
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             column = F.when(~F.isnan(column), column)
         columns.append(column.alias(field.name))

@@ -161,7 +161,7 @@ def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
     start = F.col("o_orderdate") + F.make_dt_interval(hours=(key % 24).cast("int"))
     end = start + F.make_dt_interval(mins=(30 * (1 + key % 6)).cast("int"))
-    stamp = "yyyy-MM-dd'T'HH:mm:ss"
+    stamp = lambda ts: F.replace(ts.cast("string"), F.lit(" "), F.lit("T"))
     zone = F.when(key % 10 == 0, "+02:00").otherwise("Z")
     return orders.select(
         F.col("c_nationkey").cast("bigint").alias("owner_id"),
@@ -169,8 +169,8 @@ def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
         title.alias("title"),
         notes.alias("notes"),
         location.alias("location"),
-        F.concat(F.date_format(start, stamp), zone).alias("startDate"),
-        F.concat(F.date_format(end, stamp), zone).alias("endDate"),
+        F.concat(stamp(start), zone).alias("startDate"),
+        F.concat(stamp(end), zone).alias("endDate"),
         (key % 11 == 0).alias("isAllDay"),
         F.col("c_mktsegment").alias("calendarTitle"),
         F.when(key % 5 != 0, F.concat(F.lit("#00000"), (key % 3).cast("string"))).alias("calendarColorHex"),

@@ -209,7 +209,7 @@ def sync_summary(spark, folder):
     )
     errors = sources.filter(F.col("source_id") == "HOUSEHOLD").select("source_id", F.lit("timed out").alias("error"))
     events = t.raw_orders(spark, folder).withColumn("source_id", F.col("calendarTitle"))
-    return manifest.sync_summary(sources, events, F.lit(dt.datetime(2024, 5, 1)).cast("timestamp_ntz"), errors)
+    return manifest.sync_summary(sources, events, timebins.naive(dt.datetime(2024, 5, 1)), errors)
 
 
 _REQUESTS = """rq AS (SELECT c_custkey AS source_id, CASE c_custkey % 5 WHEN 0 THEN 'apple' WHEN 1 THEN 'google' WHEN 2 THEN 'outlook' WHEN 3 THEN 'other' ELSE 'fax' END AS provider,

@@ -2,8 +2,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
+from datelore.functions.timebins import naive
 from datelore.operators import people as op
 from datelore.sources import tables as t
 from workload.registry import query
@@ -17,7 +17,7 @@ COLUMNS = f"""person, events, {r('total_hours')} AS total_hours, {ts('first_seen
 
 
 def as_of():
-    return F.lit(AS_OF).cast("timestamp_ntz")
+    return naive(AS_OF)
 
 
 def calendar(spark, folder):

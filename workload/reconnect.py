@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from datelore.functions.timebins import naive
 from datelore.operators import filters, reconnect
 from datelore.operators import regions as rg
 from datelore.sources import tables as t
@@ -16,7 +17,7 @@ _NOW = "TIMESTAMP '2001-07-01'"
 
 
 def as_of():
-    return F.lit(AS_OF).cast("timestamp_ntz")
+    return naive(AS_OF)
 
 
 def calendar(spark, folder):

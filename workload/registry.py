@@ -22,7 +22,8 @@ def portable(df: DataFrame) -> DataFrame:
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             column = F.round(column, 6) + F.lit(0.0)
         elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            text = column.cast("string")
+            column = F.rpad(F.when(F.contains(text, F.lit(".")), text).otherwise(F.concat(text, F.lit("."))), 26, "0")
         elif isinstance(kind, T.DateType):
             column = column.cast("string")
         elif isinstance(kind, T.ArrayType):

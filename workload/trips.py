@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from datelore.functions.timebins import naive
 from datelore.operators import linking, recurring, regions, travel
 from datelore.sources import tables as t
 from workload.registry import query
@@ -95,7 +96,7 @@ _RECURRING_AS_OF = dt.datetime(2024, 2, 1)
     CASE WHEN med <= 2 THEN 'daily' WHEN med <= 9 THEN 'weekly' WHEN med <= 18 THEN 'biweekly' ELSE 'monthly' END AS cadence FROM d""",
 )
 def recurring_series(spark, folder):
-    as_of = F.lit(_RECURRING_AS_OF).cast("timestamp_ntz")
+    as_of = naive(_RECURRING_AS_OF)
     return recurring.recurring_series(t.event_calendar(spark, folder), as_of=as_of, keys=["owner_id"])
 
 
@@ -113,7 +114,7 @@ def recurring_series(spark, folder):
     CASE WHEN med <= 2 THEN 'daily' WHEN med <= 9 THEN 'weekly' WHEN med <= 18 THEN 'biweekly' ELSE 'monthly' END AS cadence FROM d""",
 )
 def recurring_series_orders(spark, folder):
-    as_of = F.lit(dt.datetime(2002, 1, 1)).cast("timestamp_ntz")
+    as_of = naive(dt.datetime(2002, 1, 1))
     return recurring.recurring_series(t.order_calendar(spark, folder), as_of=as_of)
 
 
