@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-
 from datelore.functions.timebins import naive
 from datelore.operators import people as op
 from datelore.sources import tables as t
