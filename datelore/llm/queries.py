@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from datelore.llm import lengths_query, lines_query, mixing_query, pieces_query, shards_query  # noqa: F401
+from datelore.llm import lengths_query, lines_query, mixing_query, pieces_query, shards_query, simhash_query  # noqa: F401
 from datelore.llm.registry import ORACLES, QUERIES  # noqa: F401
