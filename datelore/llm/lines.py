@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from datelore.llm.common import WHITE, ascii_lower, row_keys, without
 
+#: The places of one common line are dealt to this many groups.
+SALTS = 8
+
 
 def line_key(line: Column) -> Column:
     """A line stripped of blanks at both ends, A-Z in lower case."""
@@ -24,8 +27,8 @@ def drop_common_lines(df: DataFrame, text: str = "text", id: str = "doc_id", min
 
     Keys travel as two 64-bit hashes. A row's keys are made distinct before they are counted, and
     counts are summed before the shuffle, so a line found everywhere is one row for each task. The
-    positions of lines meet the common keys in a join whose large partitions adaptive execution
-    splits; texts move once, by row.
+    positions of lines meet the common keys, of which every salt has a copy, in a join salted by
+    row, so that the places of one line are spread over many tasks; texts move once, by row.
     """
     rows = without(df, ["n_lines", "n_dropped"])
     names = rows.columns
@@ -35,12 +38,13 @@ def drop_common_lines(df: DataFrame, text: str = "text", id: str = "doc_id", min
 
     distinct = rows.select(F.explode(F.array_distinct(F.transform(lines, line_key))).alias("key"))
     keys = distinct.filter(F.char_length("key") >= min_chars).select(*[c.alias(n) for c, n in zip(row_keys(F.col("key")), ("k1", "k2"))])
-    common = keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("k1", "k2")
+    common = keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
+    salted = common.select("k1", "k2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
 
     exploded = rows.select(first.alias("r1"), second.alias("r2"), F.posexplode(lines).alias("pos", "line"))
     keyed = exploded.select("r1", "r2", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
-    placed = keyed.select("r1", "r2", "pos", *[c.alias(n) for c, n in zip(row_keys(F.col("key")), ("k1", "k2"))])
-    dropped = placed.join(common, ["k1", "k2"], "left_semi").groupBy("r1", "r2").agg(F.collect_set("pos").alias("dropped"))
+    placed = keyed.select("r1", "r2", "pos", F.pmod("r1", F.lit(SALTS)).alias("salt"), *[c.alias(n) for c, n in zip(row_keys(F.col("key")), ("k1", "k2"))])
+    dropped = placed.join(salted, ["k1", "k2", "salt"], "left_semi").groupBy("r1", "r2").agg(F.collect_set("pos").alias("dropped"))
 
     packed = rows.select(first.alias("r1"), second.alias("r2"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
     joined = packed.join(dropped, ["r1", "r2"], "left")
