@@ -7,7 +7,9 @@ import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,10 @@ WHITE = " \t\n\x0b\x0c\r"
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Input that Python works on together.
+BYTES_AT_ONCE = 2 << 20
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir``."""
     ensure_checkpoint_dir(spark)
@@ -56,27 +62,34 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def extend(df: DataFrame, outputs: str, compute: Callable[[Iterator[pa.RecordBatch]], Iterator[list]]) -> DataFrame:
-    """``df`` with the columns of the DDL string ``outputs`` added by ``compute``.
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts or lists of numbers take about ``BYTES_AT_ONCE``; a larger one is a run of its own."""
+    held = batch.column(column)
+    length = pc.binary_length(held) if not pa.types.is_list(held.type) else pc.multiply(pc.list_value_length(held), 4)
+    ends = np.cumsum(length.fill_null(0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        before = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
 
-    ``compute`` takes an iterator of Arrow batches and yields for each the list of output
-    arrays. A column of ``df`` with the name of an output is replaced.
+def extend(df: DataFrame, column: str, outputs: str, compute: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """``df`` with the columns of the DDL string ``outputs``, which ``compute`` derives from batches of rows.
+
+    ``compute`` takes an Arrow batch of some rows, cut by the size of ``column``, and
+    returns the output arrays. A column of ``df`` with the name of an output is replaced.
     """
-    added = T.StructType.fromDDL(outputs) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(outputs)
+    added = T._parse_datatype_string(outputs)
     kept = without(df, added.fieldNames())
     schema = T.StructType(kept.schema.fields + added.fields)
     names = schema.fieldNames()
 
     def run(batches):
-        held = []
-
-        def noted():
-            for batch in batches:
-                held.append(batch)
-                yield batch
-
-        for arrays in compute(noted()):
-            yield pa.RecordBatch.from_arrays([*held.pop(0).columns, *arrays], names=names)
+        for batch in batches:
+            for part in slices(batch, column):
+                yield pa.RecordBatch.from_arrays([*part.columns, *compute(part)], names=names)
 
     return kept.mapInArrow(run, schema)
 

@@ -210,9 +210,8 @@ def identify_language(df: DataFrame, model: LanguageModel, text: str = "text") -
     of these names are replaced and others stay. The model's size is bounded by buckets times classes.
     """
 
-    def compute(batches):
-        for batch in batches:
-            found = [model.predict(x) for x in batch.column(text).to_pylist()]
-            yield [pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())]
+    def compute(batch):
+        found = [model.predict(x) for x in batch.column(text).to_pylist()]
+        return [pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())]
 
-    return extend(df, "lang_pred string, score double", compute)
+    return extend(df, text, "lang_pred string, score double", compute)

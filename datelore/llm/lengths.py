@@ -18,12 +18,11 @@ SPAN = 1024
 def token_counts(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """``df`` with ``n_tokens``: the number of token ids of each whole text, 0 for null and empty texts."""
 
-    def compute(batches):
+    def compute(batch):
         encoder = word_encoder(vocabulary)
-        for batch in batches:
-            yield [pa.array([len(encoder.encode(x)) // encoder.dtype.itemsize for x in texts_of(batch, text)], pa.int64())]
+        return [pa.array([len(encoder.encode(x)) // encoder.dtype.itemsize for x in texts_of(batch, text)], pa.int64())]
 
-    return extend(df, "n_tokens long", compute)
+    return extend(df, text, "n_tokens long", compute)
 
 
 def length_histogram(counted: DataFrame, by: Sequence[str] = (), length: str = "n_tokens") -> DataFrame:

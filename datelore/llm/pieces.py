@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from datelore.llm.charmap import BLANK, CharacterMap, normalise
 from datelore.llm.common import extend, for_worker, texts_of
 
-#: Texts are worked on together up to about this many characters.
-CHARS_AT_ONCE = 1_000_000
 NORMAL, BYTE = 1, 6
 BPE = 2
 
@@ -25,7 +23,7 @@ class PieceEncoder:
     the library's own in each case.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -124,19 +122,6 @@ def piece_encoder(path: str) -> PieceEncoder:
     return for_worker(f"pieces {path}", lambda: PieceEncoder(path))
 
 
-def _grouped(texts: list[str]):
-    """Runs of texts with about ``CHARS_AT_ONCE`` characters together; a longer text is a run of its own."""
-    run, size = [], 0
-    for text in texts:
-        if run and size + len(text) > CHARS_AT_ONCE:
-            yield run
-            run, size = [], 0
-        run.append(text)
-        size += len(text)
-    if run:
-        yield run
-
-
 def encode_pieces(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids``, ``begins`` and ``ends``: piece ids of each whole text and their spans in its UTF-8 bytes.
 
@@ -146,42 +131,23 @@ def encode_pieces(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     table gives an empty table.
     """
 
-    def compute(batches):
+    def compute(batch):
         encoder = piece_encoder(model)
-        for batch in batches:
-            parts = []
-            for texts in _grouped(texts_of(batch, text)):
-                packed = encoder.encode_all(texts)
-                flat = np.frombuffer(b"".join(packed), "<i4")
-                counts = np.array([len(x) // 4 for x in packed], np.int64)
-                parts.append((flat, counts, *encoder.spans_all(texts, flat, counts)))
-            counts = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            lists = []
-            for k in (0, 2, 3):
-                values = np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64)
-                lists.append(pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32))))
-            yield lists
-
-    return extend(df, "ids array<int>, begins array<int>, ends array<int>", compute)
+        texts = texts_of(batch, text)
+        packed = encoder.encode_all(texts)
+        flat = np.frombuffer(b"".join(packed), "<i4")
+        counts = np.array([len(x) // 4 for x in packed], np.int64)
+        offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+        return [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (flat, *encoder.spans_all(texts, flat, counts))]
+
+    return extend(df, text, "ids array<int>, begins array<int>, ends array<int>", compute)
 
 
 def decode_pieces(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded``: the text the library decodes from each list of ids; null ids decode to the empty text."""
 
-    def compute(batches):
-        library = piece_encoder(model).library
-        for batch in batches:
-            column = batch.column(ids)
-            out = []
-            for a in range(0, len(column), 200):
-                out.extend(library.decode(_lists(column.slice(a, 200)), num_threads=1))
-            yield [pa.array(out, pa.string())]
-
-    return extend(df, "decoded string", compute)
-
+    def compute(batch):
+        lists = [x.tolist() if x is not None else [] for x in batch.column(ids).to_numpy(zero_copy_only=False)]
+        return [pa.array(piece_encoder(model).library.decode(lists, num_threads=1), pa.string())]
 
-def _lists(column: pa.ListArray) -> list[list[int]]:
-    offsets, valid = column.offsets.to_numpy().tolist(), column.is_valid().to_pylist()
-    values = column.values.to_numpy(zero_copy_only=False)
-    return [values[a:b].tolist() if ok else [] for a, b, ok in zip(offsets[:-1], offsets[1:], valid)]
+    return extend(df, ids, "decoded string", compute)

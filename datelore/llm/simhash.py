@@ -41,12 +41,10 @@ def text_bits(text: str, width: int) -> int:
 def fingerprints(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
     """``df`` with ``bits``, the SimHash of each whole text as a signed long; null counts as empty, which gives 0."""
 
-    def compute(batches):
-        for batch in batches:
-            bits = np.array([text_bits(x, width) for x in texts_of(batch, text)], np.uint64)
-            yield [pa.array(bits.view(np.int64))]
+    def compute(batch):
+        return [pa.array(np.array([text_bits(x, width) for x in texts_of(batch, text)], np.uint64).view(np.int64))]
 
-    return extend(df, "bits long", compute)
+    return extend(df, text, "bits long", compute)
 
 
 def joint_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
