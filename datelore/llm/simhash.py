@@ -90,7 +90,7 @@ def thresholds(groups: list[list[int]], share: np.ndarray, n: int, distance: int
     one sum up to ``distance + 1``. A threshold t costs a row for each set of t bits left open, and the
     pairs expected within t on the group, from the shares of ones of its bits.
     """
-    costs = []
+    costs, n = [], max(n, 2)
     for group in groups:
         within = np.array([1.0])
         for b in group:
