@@ -203,8 +203,8 @@ def fit_language_model(df: DataFrame, learn: Column, text: str = "text", lang: s
     return LanguageModel(classes, idf, weights, bias, temperature, s)
 
 
-def identify_language(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``, the calibrated chance of the predicted language.
+def identify_language(df: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``df`` with ``lang_pred`` and ``score`` (or other names), the calibrated chance of the predicted language.
 
     Null texts and texts without a letter get ``und`` and 0. A text is looked at whole and by itself; columns
     of these names are replaced and others stay. The model's size is bounded by buckets times classes.
@@ -214,4 +214,4 @@ def identify_language(df: DataFrame, model: LanguageModel, text: str = "text") -
         found = [model.predict(x) for x in batch.column(text).to_pylist()]
         return [pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())]
 
-    return extend(df, text, "lang_pred string, score double", compute)
+    return extend(df, text, f"`{lang}` string, `{score}` double", compute)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from datelore.llm.charmap import BLANK, CharacterMap, normalise
 from datelore.llm.common import extend, for_worker, texts_of
 
+SPANS = "ids array<int>, begins array<int>, ends array<int>"
 NORMAL, BYTE = 1, 6
 BPE = 2
 
@@ -122,6 +123,21 @@ def piece_encoder(path: str) -> PieceEncoder:
     return for_worker(f"pieces {path}", lambda: PieceEncoder(path))
 
 
+def _encoded(batch: pa.RecordBatch, model: str, text: str) -> list[pa.ListArray]:
+    encoder = piece_encoder(model)
+    texts = texts_of(batch, text)
+    packed = encoder.encode_all(texts)
+    flat = np.frombuffer(b"".join(packed), "<i4")
+    counts = np.array([len(x) // 4 for x in packed], np.int64)
+    offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+    return [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (flat, *encoder.spans_all(texts, flat, counts))]
+
+
+def _decoded(ids: pa.ListArray, model: str) -> pa.Array:
+    lists = [x.tolist() if x is not None else [] for x in ids.to_numpy(zero_copy_only=False)]
+    return pa.array(piece_encoder(model).library.decode(lists, num_threads=1), pa.string())
+
+
 def encode_pieces(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids``, ``begins`` and ``ends``: piece ids of each whole text and their spans in its UTF-8 bytes.
 
@@ -130,24 +146,19 @@ def encode_pieces(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     these names are replaced; every row is encoded for itself, so repeated rows get equal lists and an empty
     table gives an empty table.
     """
-
-    def compute(batch):
-        encoder = piece_encoder(model)
-        texts = texts_of(batch, text)
-        packed = encoder.encode_all(texts)
-        flat = np.frombuffer(b"".join(packed), "<i4")
-        counts = np.array([len(x) // 4 for x in packed], np.int64)
-        offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
-        return [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (flat, *encoder.spans_all(texts, flat, counts))]
-
-    return extend(df, text, "ids array<int>, begins array<int>, ends array<int>", compute)
+    return extend(df, text, SPANS, lambda batch: _encoded(batch, model, text))
 
 
 def decode_pieces(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded``: the text the library decodes from each list of ids; null ids decode to the empty text."""
+    return extend(df, ids, "decoded string", lambda batch: [_decoded(batch.column(ids), model)])
+
+
+def encode_and_decode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """``encode_pieces`` and ``decode_pieces`` in one pass over the rows."""
 
     def compute(batch):
-        lists = [x.tolist() if x is not None else [] for x in batch.column(ids).to_numpy(zero_copy_only=False)]
-        return [pa.array(piece_encoder(model).library.decode(lists, num_threads=1), pa.string())]
+        encoded = _encoded(batch, model, text)
+        return [*encoded, _decoded(encoded[0], model)]
 
-    return extend(df, ids, "decoded string", compute)
+    return extend(df, text, f"{SPANS}, decoded string", compute)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from datelore.llm.pieces import decode_pieces, encode_pieces
+from datelore.llm.pieces import encode_and_decode
 from datelore.llm.registry import query
 
 
@@ -13,13 +13,12 @@ from datelore.llm.registry import query
 def sentencepiece_round_trip(spark, folder):
     documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode_pieces(documents, model)
-    # The last span ends where the text does; the texts and spans themselves need not travel on.
-    ids = encoded.select("doc_id", "ids", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"))
-    return decode_pieces(ids, model).select(
+    found = encode_and_decode(documents, model)
+    return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        "n_bytes",
+        # The last span ends where the text does.
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),
     )
