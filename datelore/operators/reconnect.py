@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from datelore.operators.common import top_value
 from datelore.operators.filters import history, upcoming_events
@@ -95,50 +93,43 @@ def invite_candidates(
     )
 
 
-def _pick_in_order(keys: list[str], top_n: int):
-    """Batches sorted by calendar, event and draw to the picks of every event.
+def served_in_order(candidates: DataFrame, top_n: int, seed: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Up to ``top_n`` of each event's candidates; those not picked for an earlier event come first.
 
-    Keeps the names already suggested to the current calendar and the event that is
-    still open, so memory follows the number of people, not of candidate rows.
+    Candidates of an event are in the order of a draw, the md5 of seed, event and person. The j-th
+    event of a calendar can only need its first ``top_n * j`` candidates, because the events before
+    it have taken at most ``top_n * (j - 1)`` people; the others go by rank, and only ids and
+    draws of the rest are gathered by calendar. Serving is a fold over the calendar's upcoming events.
     """
+    keys = list(keys)
+    when = [*keys, "event_start", "event_id"]
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("event_id"), F.col("person")))
+    drawn = candidates.select(*when, "person", draw.alias("draw"))
+    turns = drawn.groupBy(*when).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "turn", F.row_number().over(Window.partitionBy(*keys).orderBy("event_start", "event_id"))
+    ).drop("_n")
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy(*when).orderBy("draw", "person")))
+    needed = ranked.join(turns, when).filter(F.col("rank") <= F.col("turn") * top_n)
+    events = needed.groupBy(*when, "turn").agg(F.sort_array(F.collect_list(F.struct("rank", "person"))).alias("_ranked"))
+    lists = events.select(*when, "turn", F.transform("_ranked", lambda x: x["person"]).alias("people"))
+    calendars = lists.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("turn", "event_start", "event_id", "people"))).alias("_events")
+    )
+    nobody = F.array().cast("array<string>")
+    picked_type = "array<struct<event_start:timestamp_ntz,event_id:string,people:array<string>>>"
+    start = F.struct(nobody.alias("known"), F.array().cast(picked_type).alias("picked"))
+
+    def serve(state: Column, event: Column) -> Column:
+        fresh = F.filter(event["people"], lambda p: ~F.array_contains(state["known"], p))
+        again = F.filter(event["people"], lambda p: F.array_contains(state["known"], p))
+        picks = F.slice(F.concat(fresh, again), 1, top_n)
+        return F.struct(
+            F.array_union(state["known"], picks).alias("known"),
+            F.concat(state["picked"], F.array(F.struct(event["event_start"].alias("event_start"), event["event_id"].alias("event_id"), picks.alias("people")))).alias("picked"),
+        )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        calendar, event = None, None
-        suggested: set[str] = set()
-        fresh: list[dict] = []
-        reused: list[dict] = []
-
-        def close() -> list[dict]:
-            picked = (fresh + reused)[:top_n]
-            suggested.update(row["person"] for row in picked)
-            fresh.clear()
-            reused.clear()
-            return picked
-
-        columns: list[str] = []
-        for batch in batches:
-            columns = list(batch.columns)
-            out: list[dict] = []
-            for row in batch.to_dict("records"):
-                owner = tuple(row[key] for key in keys)
-                this = (owner, row["event_start"], row["event_id"])
-                if this != event:
-                    out.extend(close())
-                    event = this
-                    if owner != calendar:
-                        calendar = owner
-                        suggested.clear()
-                tier = reused if row["person"] in suggested else fresh
-                # A tier never contributes more than one event's picks.
-                if len(tier) < top_n:
-                    tier.append(row)
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-        rest = close()
-        if rest:
-            yield pd.DataFrame(rest, columns=columns)
-
-    return run
+    served = calendars.select(*keys, F.explode(F.aggregate("_events", start, serve)["picked"]).alias("_e"))
+    return served.select(*keys, "_e.event_start", "_e.event_id", F.explode("_e.people").alias("person"))
 
 
 def invite_suggestions(
@@ -154,20 +145,15 @@ def invite_suggestions(
     """Up to ``top_n`` random eligible people per upcoming event.
 
     Events are served by start; people not suggested to the calendar before come
-    first. The draw is a hash of seed, event and person, so a seed repeats its
-    picks. Serving order is inherently sequential within one calendar: its
-    candidate rows for the coming days stream through one task.
+    first. A seed repeats its picks.
     """
     keys = list(keys)
     past = history(df, as_of)
     metros = None if geo is None else metro_map(past, geo, keys)
     candidates = invite_candidates(df, as_of, metros, days_ahead, max_days_since_seen, keys)
-    drawn = candidates.withColumn("_draw", F.xxhash64(F.lit(seed), "event_id", "event_start", "person"))
-    placed = drawn.repartition(*keys) if keys else drawn.repartition(1)
-    ordered = placed.sortWithinPartitions(*keys, "event_start", "event_id", "_draw", "person")
-    schema = T.StructType([field for field in ordered.schema.fields])
-    picked = ordered.mapInPandas(_pick_in_order(keys, top_n), schema).drop("_draw")
-    return picked.join(last_event_with(past, keys), [*keys, "person"], "left")
+    picked = served_in_order(candidates, top_n, seed, keys)
+    described = candidates.join(picked, [*keys, "event_start", "event_id", "person"], "left_semi")
+    return described.join(last_event_with(past, keys), [*keys, "person"], "left")
 
 
 def suggestions_by_event(suggestions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -5,27 +5,20 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from datelore.functions import geo as geo_fn
 from datelore.operators.common import attach_per_key
 from datelore.operators.sequences import stays
 from datelore.session import ensure_checkpoint_dir
-from datelore.sources.geo import has_coordinates, with_coordinates
+from datelore.sources.geo import with_coordinates
 
 # --- Fixed values ---
 METRO_RADIUS_KM = 80.0
 TRIP_GAP_DAYS = 5
 # --- end of fixed values ---
 
-# Calendars with at most this many geocoded places cluster in one small task each;
-# larger ones go through the distributed rounds. Both give the same clusters.
-SMALL_CALENDAR_PLACES = 5_000
-
 _GEO_LABELS = ("lat", "lon", "display_name", "city", "country", "neighbourhood")
 
 
@@ -41,56 +34,6 @@ def place_points(df: DataFrame, geo: DataFrame, keys: Sequence[str] = ()) -> Dat
     return with_coordinates(visits, geo, geo_keys, _GEO_LABELS, how="inner")
 
 
-def _leader_clusters(points: pd.DataFrame, radius_km: float) -> np.ndarray:
-    """Seed row of each point: the first point in rank order no earlier seed reaches."""
-    lat, lon = np.radians(points["lat"].to_numpy()), np.radians(points["lon"].to_numpy())
-    seed = np.full(len(points), -1)
-    for i in range(len(points)):
-        if seed[i] >= 0:
-            continue
-        a = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat) * np.sin((lon - lon[i]) / 2) ** 2
-        near = 2 * geo_fn.EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0))) <= radius_km
-        near[i] = True
-        seed[near & (seed < 0)] = i
-    return seed
-
-
-def cluster_places(
-    points: DataFrame, radius_km: float = METRO_RADIUS_KM, keys: Sequence[str] = (), at_most: int | None = None
-) -> DataFrame:
-    """Place points with the ``seed`` place of their cluster.
-
-    Places are taken by visits (most first, then by name). A place no earlier seed
-    reaches within the radius becomes a seed; every other place belongs to the
-    earliest seed that reaches it. ``at_most`` is a known bound on the places of one
-    calendar; without one, or when it is too large to tell, the places are counted.
-    """
-    keys = list(keys)
-    if at_most is not None and at_most <= SMALL_CALENDAR_PLACES:
-        return _cluster_small(points, radius_km, keys)
-    sizes = points.groupBy(*keys).agg(F.count("*").alias("_places"))
-    largest = sizes.agg(F.max("_places")).first()[0] or 0
-    if largest <= SMALL_CALENDAR_PLACES:
-        return _cluster_small(points, radius_km, keys)
-    if not keys:
-        return cluster_places_distributed(points, radius_km, keys)
-    sized = points.join(sizes, keys)
-    small = sized.filter(F.col("_places") <= SMALL_CALENDAR_PLACES).drop("_places")
-    large = sized.filter(F.col("_places") > SMALL_CALENDAR_PLACES).drop("_places")
-    return _cluster_small(small, radius_km, keys).unionByName(cluster_places_distributed(large, radius_km, keys))
-
-
-def _cluster_small(points: DataFrame, radius_km: float, keys: list[str]) -> DataFrame:
-    """Clusters of calendars whose places fit in one small task each."""
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranked = pdf.sort_values(["visits", "location"], ascending=[False, True], ignore_index=True)
-        return ranked.assign(seed=ranked["location"].to_numpy()[_leader_clusters(ranked, radius_km)])
-
-    schema = T.StructType([*points.schema.fields, T.StructField("seed", T.StringType())])
-    return points.groupBy(*keys).applyInPandas(cluster, schema)
-
-
 def _cells_around(radius_km: float, cell_degrees: float) -> Column:
     """Longitude reach in cells at a row's latitude; whole rings near the poles."""
     # The farthest row of cells a point can reach is one radius towards the pole.
@@ -104,14 +47,21 @@ def _cells_around(radius_km: float, cell_degrees: float) -> Column:
     return F.least(F.ceil(width / F.lit(cell_degrees)) + 1, F.lit(ring // 2 + 1)).cast("int")
 
 
-def cluster_places_distributed(points: DataFrame, radius_km: float = METRO_RADIUS_KM, keys: Sequence[str] = ()) -> DataFrame:
-    """:func:`cluster_places` for calendars too large for one task.
+def cluster_places(points: DataFrame, radius_km: float = METRO_RADIUS_KM, keys: Sequence[str] = ()) -> DataFrame:
+    """Place points with the ``seed`` place of their cluster, written once to the checkpoint folder.
+
+    Places are taken by visits (most first, then by name). A place no earlier seed
+    reaches within the radius becomes a seed; every other place belongs to the
+    earliest seed that reaches it.
 
     Places fall into grid cells narrow enough that all places of a cell reach each
     other, so a cell holds at most one seed. Each round looks at the best-ranked
     undecided place of every cell only: one that also ranks before the best of
     every cell in reach is surely a seed. Its neighbours are then decided. Work per
-    round is linear in the places and no pairs of places are formed.
+    round is linear in the undecided places and no pairs of places are formed. The
+    rounds run while the clusters are asked for, because each decides whether
+    another is needed; there are as many as the longest chain of places that wait for
+    each other.
     """
     keys = list(keys)
     spark = points.sparkSession
@@ -168,7 +118,7 @@ def cluster_places_distributed(points: DataFrame, radius_km: float = METRO_RADIU
         )
 
     if seeds is None:
-        return everything.select(*points.columns, F.col("location").alias("seed"))
+        return everything.select(*points.columns, F.lit(None).cast("string").alias("seed"))
     # A cell is reached by a bounded number of seeds, because seeds keep the radius apart.
     reachable = spread(seeds).select(*cell, F.struct("rank", "lat", "lon", "location").alias("_s"))
     reachable = reachable.groupBy(*cell).agg(F.collect_list("_s").alias("_seeds"))
@@ -176,7 +126,7 @@ def cluster_places_distributed(points: DataFrame, radius_km: float = METRO_RADIU
     hits = F.filter(
         "_seeds", lambda s: geo_fn.haversine_km(F.col("lat"), F.col("lon"), s["lat"], s["lon"]) <= radius_km
     )
-    return joined.select(*points.columns, F.array_min(hits)["location"].alias("seed"))
+    return joined.select(*points.columns, F.array_min(hits)["location"].alias("seed")).checkpoint(eager=True)
 
 
 def labelled_places(
@@ -193,12 +143,7 @@ def labelled_places(
     of this module start from these rows, one per place, not from the events.
     """
     keys = list(keys)
-    points = place_points(df, geo, keys)
-    # No calendar can have more places than the place table lists for it.
-    geo_keys = [key for key in keys if key in geo.columns]
-    listed = geo.filter(has_coordinates()).groupBy(*geo_keys).agg(F.count("*").alias("_n"))
-    at_most = listed.agg(F.max("_n")).first()[0] or 0
-    clustered = cluster_places(points, radius_km, keys, at_most)
+    clustered = cluster_places(place_points(df, geo, keys), radius_km, keys)
     label = F.coalesce(geo_fn.region_label(F.col("city"), F.col("country"), F.col("display_name")), F.col("location"))
     labelled = clustered.withColumn("_label", label)
     counted = labelled.groupBy(*keys, "seed", "_label").agg(F.count("*").alias("_places"), F.sum("visits").alias("_visits"))

@@ -87,6 +87,27 @@ def order_geo(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def customer_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as events at their customer's own place, of which there are as many as customers with orders."""
+    return order_calendar(spark, folder).drop("location").join(
+        table(spark, folder, "orders").select(
+            F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("location")
+        ),
+        "id",
+    )
+
+
+def customer_geo(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of :func:`customer_calendar`, strewn over one country so that metro areas overlap and chain."""
+    key = F.col("c_custkey")
+    return table(spark, folder, "customer").select(
+        F.concat(F.lit("C"), key.cast("string")).alias("location"),
+        (F.lit(40.0) + (key * 37 % 1009) / F.lit(250.0)).alias("lat"),
+        (F.lit(2.0) + (key * 101 % 1013) / F.lit(180.0)).alias("lon"),
+        *[F.lit(None).cast("string").alias(c) for c in ("display_name", "city", "country", "neighbourhood", "state", "place_type")],
+    )
+
+
 def event_calendar(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the events table as meetings of their user (``owner_id``)."""
     return event_calendar_rows(table(spark, folder, "events"))

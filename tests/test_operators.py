@@ -141,11 +141,9 @@ def test_clusters_equal_the_greedy_rule(spark, name, points):
     df = spark.createDataFrame(points, POINTS)
     expected = brute_clusters(points, 80.0)
     assert {row.location: row.seed for row in regions.cluster_places(df).collect()} == expected
-    assert {row.location: row.seed for row in regions.cluster_places_distributed(df).collect()} == expected
 
 
-def test_large_and_small_calendars_cluster_alike(spark, monkeypatch):
-    monkeypatch.setattr(regions, "SMALL_CALENDAR_PLACES", 60)
+def test_calendars_cluster_apart(spark):
     rows = [("big", *p) for p in random_points(7, 90, (40, 42), (0, 3))] + [("small", *p) for p in random_points(8, 30, (40, 42), (0, 3))]
     df = spark.createDataFrame(rows, "owner string, " + POINTS)
     got = {(row.owner, row.location): row.seed for row in regions.cluster_places(df, keys=["owner"]).collect()}

@@ -9,7 +9,7 @@ from datelore.operators import filters, reconnect
 from datelore.operators import regions as rg
 from datelore.sources import tables as t
 from workload.registry import query
-from workload.sql import CAL, GEO, r, ts
+from workload.sql import CAL, GEO, joined, r, ts
 
 AS_OF = dt.datetime(2001, 7, 1)
 KEYS = ["owner_id"]
@@ -82,9 +82,49 @@ def reconnect_candidates_category(spark, folder):
     return reconnect.invite_candidates(calendar(spark, folder), as_of(), keys=KEYS)
 
 
-@query("reconnect_suggestions")
+def served(candidates: str, seed: int) -> str:
+    """The picks of every event: five people by draw, those not picked for an earlier event first."""
+    return f"""dr AS (SELECT owner_id, event_start, event_id, person, md5('{seed}|' || event_id || '|' || person) AS draw FROM {candidates}),
+    li0 AS (SELECT owner_id, event_start, event_id, list(person ORDER BY draw, person) AS people FROM dr GROUP BY ALL),
+    li AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY event_start, event_id) AS turn FROM li0),
+    sv AS (SELECT owner_id, event_id, turn, people[1:5] AS picks, people[1:5] AS known FROM li WHERE turn = 1
+      UNION ALL
+      SELECT owner_id, event_id, turn, picks, list_concat(known, list_filter(picks, lambda x: NOT list_contains(known, x))) FROM (
+        SELECT l.owner_id, l.event_id, l.turn, s.known, list_concat(list_filter(l.people, lambda x: NOT list_contains(s.known, x)),
+          list_filter(l.people, lambda x: list_contains(s.known, x)))[1:5] AS picks
+        FROM sv s JOIN li l ON l.owner_id = s.owner_id AND l.turn = s.turn + 1)),
+    picked AS (SELECT owner_id, event_id, unnest(picks) AS person FROM sv)"""
+
+
+_PLACED = f"""cand AS (SELECT {_CANDIDATE}, loc.region, met.person, {r('days')} AS days_since_seen
+    FROM up LEFT JOIN loc ON loc.owner_id = up.owner_id AND loc.location = up.location
+    JOIN met ON met.owner_id = up.owner_id AND met.category = up.category JOIN seen ON seen.owner_id = met.owner_id AND seen.person = met.person
+    LEFT JOIN usual ON usual.owner_id = met.owner_id AND usual.person = met.person
+    WHERE days <= 730 AND NOT list_contains(up.people, met.person) AND (loc.region IS NULL OR loc.region = usual.region))"""
+
+
+@query(
+    "reconnect_suggestions",
+    f"""WITH RECURSIVE {BASE}, {_PLACED}, {served('cand', 7)}
+    SELECT c.owner_id, c.person, c.event_id, c.event_title, c.event_category, c.event_start, c.event_location, c.region, c.days_since_seen
+    FROM cand c JOIN picked p ON p.owner_id = c.owner_id AND p.event_id = c.event_id AND p.person = c.person""",
+)
 def reconnect_suggestions(spark, folder):
-    return reconnect.invite_suggestions(calendar(spark, folder), as_of(), t.order_geo(spark, folder), seed=7, keys=KEYS)
+    picked = reconnect.invite_suggestions(calendar(spark, folder), as_of(), t.order_geo(spark, folder), seed=7, keys=KEYS)
+    return picked.select(
+        "owner_id", "person", "event_id", "event_title", "event_category", "event_start", "event_location", "region", "days_since_seen"
+    )
+
+
+@query(
+    "suggestions_by_event",
+    f"""WITH RECURSIVE {BASE}, {_PLACED}, {served('cand', 7)}
+    SELECT c.owner_id, c.event_title, c.event_start, coalesce(c.event_location, c.region) AS event_where, {joined('list_sort(list(c.person))')} AS people
+    FROM cand c JOIN picked p ON p.owner_id = c.owner_id AND p.event_id = c.event_id AND p.person = c.person GROUP BY ALL""",
+)
+def suggestions_by_event(spark, folder):
+    picked = reconnect.invite_suggestions(calendar(spark, folder), as_of(), t.order_geo(spark, folder), seed=7, keys=KEYS)
+    return reconnect.suggestions_by_event(picked, KEYS)
 
 
 @query(

@@ -133,6 +133,29 @@ def metro_map(spark, folder):
     return regions.metro_map(t.order_calendar(spark, folder), t.order_geo(spark, folder))
 
 
+# The greedy rule itself: places one by one in rank order, each with the seeds found before it.
+_KM = """2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.lat) / 2), 2)
+      + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2))))"""
+
+
+@query(
+    "metro_overlap",
+    f"""WITH RECURSIVE pl AS (SELECT 'C' || c_custkey AS location, count(*) AS visits, 40.0 + (c_custkey * 37 % 1009) / 250.0 AS lat,
+      2.0 + (c_custkey * 101 % 1013) / 180.0 AS lon FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey),
+    p AS (SELECT *, row_number() OVER (ORDER BY visits DESC, location) AS k FROM pl),
+    g AS (SELECT k, location AS seed, [{{'lat': lat, 'lon': lon, 'name': location}}] AS seeds FROM p WHERE k = 1
+      UNION ALL
+      SELECT k, coalesce(hit, location), CASE WHEN hit IS NULL THEN list_append(seeds, {{'lat': lat, 'lon': lon, 'name': location}}) ELSE seeds END
+      FROM (SELECT p.k, p.location, p.lat, p.lon, g.seeds,
+              list_filter(g.seeds, lambda s: {_KM} <= 80.0)[1].name AS hit
+            FROM g JOIN p ON p.k = g.k + 1))
+    SELECT p.location, p.visits, g.seed FROM p JOIN g USING (k)""",
+)
+def metro_overlap(spark, folder):
+    points = regions.place_points(t.customer_calendar(spark, folder), t.customer_geo(spark, folder))
+    return regions.cluster_places(points).select("location", "visits", "seed")
+
+
 @query(
     "visits_by_region",
     f"""WITH {METRO}, {_REGION} SELECT region, {n('visits')} AS visits, {r('h')} AS total_hours, {ts('f')} AS first_seen, {ts('l')} AS last_seen, n_locations FROM rg""",
