@@ -71,7 +71,11 @@ def recurring_series(
     )
 
 
-def in_report_order(series: DataFrame) -> DataFrame:
+def report_order() -> list[Column]:
     """Stopped series first, then slowing, then active; the longest silent first."""
     rank = F.element_at(F.create_map(*[F.lit(x) for pair in STATUS_RANK.items() for x in pair]), F.col("status"))
-    return series.orderBy(rank, F.col("days_since_last").desc(), "title")
+    return [rank, F.col("days_since_last").desc(), F.col("title")]
+
+
+def in_report_order(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return series.orderBy(*keys, *report_order())

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from datelore.operators.recurring import in_report_order
+from datelore.operators.common import limit_per_key
+from datelore.operators.recurring import report_order
 from datelore.plans.reports import Report
 
 
@@ -53,15 +54,20 @@ def _orders() -> dict[str, list[Column]]:
     }
 
 
-def ordered(name: str, table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One report table in its display order; unknown tables come back as they are."""
-    if name == "series" and not keys:
-        return in_report_order(table)
-    order = _orders().get(name, [])
+def display_order(name: str, table: DataFrame) -> list[Column]:
+    """The sort columns of one report table; none for unknown tables."""
+    if name == "series":
+        return report_order()
     if name == "categories" and "estimated_spend" not in table.columns:
-        order = [down("events"), up("category")]
-    elif name == "people" and "events" not in table.columns:
-        order = [up("person")]
+        return [down("events"), up("category")]
+    if name == "people" and "events" not in table.columns:
+        return [up("person")]
+    return _orders().get(name, [])
+
+
+def ordered(name: str, table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One report table in its display order, calendar by calendar; unknown tables come back as they are."""
+    order = display_order(name, table)
     return table.orderBy(*keys, *order) if order else table
 
 
@@ -69,6 +75,15 @@ def ordered_report(report: Report, keys: Sequence[str] = ()) -> Report:
     return {name: ordered(name, table, keys) for name, table in report.items()}
 
 
-def first_rows(name: str, table: DataFrame, n: int) -> DataFrame:
-    """The first n rows in display order, such as the 12 longest streaks."""
-    return ordered(name, table).limit(n)
+def numbered(name: str, table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One report table with ``rank``, the place of each row in its calendar's display order.
+
+    A calendar's rows are numbered in one task; these are tables of a report, already
+    reduced to one row for each series, week, person or place.
+    """
+    return table.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*display_order(name, table))))
+
+
+def first_rows(name: str, table: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The first n rows of every calendar in display order, such as the 12 longest streaks."""
+    return ordered(name, limit_per_key(table, keys, display_order(name, table), n), keys)

@@ -11,42 +11,42 @@ from datelore.sources import geo, ics, manifest, records
 
 ICS = """BEGIN:VCALENDAR\r
 VERSION:2.0\r
-X-WR-CALNAME:My Google Calendar\r
+X-WR-CALNAME:Choir and boats\r
 BEGIN:VEVENT\r
-UID:abc123\r
-SUMMARY:Coffee with\r
-  Alice\r
-DESCRIPTION:Category: Social\\nPeople: Alice\\, Bob\r
-LOCATION:Blue Bottle\\, Oakland\r
-DTSTART:20240102T170000Z\r
-DTEND:20240102T180000Z\r
-ATTENDEE;CN=Alice Smith:mailto:alice@example.com\r
-ATTENDEE;CN="Doe, John";ROLE=REQ:mailto:john@example.com\r
-ATTENDEE:mailto:eve@example.com\r
-RRULE:FREQ=WEEKLY\r
-URL:https://example.com/event\r
+UID:r-77\r
+SUMMARY:Rowing wi\r
+ th Mina\r
+DTSTART:20230518T061500Z\r
+DTEND:20230518T074500Z\r
+LOCATION:Boathouse 2\\, Astoria\r
+DESCRIPTION:People: Mina\\, Per\\nCategory: Sport\r
+ATTENDEE;CN=Mina Sato:mailto:mina@rowing.example\r
+ATTENDEE;ROLE=OPT-PARTICIPANT;CN="Holm, Per":mailto:per@rowing.example\r
+ATTENDEE:mailto:cox@rowing.example\r
+RRULE:FREQ=MONTHLY\r
+URL:https://rowing.example/77\r
 BEGIN:VALARM\r
-DESCRIPTION:Reminder\r
-TRIGGER:-PT10M\r
+DESCRIPTION:Bring oars\r
+TRIGGER:-PT1H\r
 END:VALARM\r
 END:VEVENT\r
 BEGIN:VEVENT\r
-UID:allday1\r
-SUMMARY:Trip to Tokyo\r
-DTSTART;VALUE=DATE:20240301\r
-DTEND;VALUE=DATE:20240303\r
+UID:regatta\r
+SUMMARY:Regatta weekend\r
+DTSTART;VALUE=DATE:20230610\r
+DTEND;VALUE=DATE:20230612\r
 END:VEVENT\r
 BEGIN:VEVENT\r
-SUMMARY:No uid\r
-DTSTART;TZID=America/New_York:20240701T090000\r
+SUMMARY:Evensong\r
+DTSTART;TZID=Europe/Paris:20230115T180000\r
 END:VEVENT\r
 BEGIN:VEVENT\r
-UID:broken\r
-SUMMARY:No start\r
+UID:undated\r
+SUMMARY:Some day\r
 END:VEVENT\r
 END:VCALENDAR\r
 """
-OTHER = "BEGIN:VCALENDAR\nVERSION:2.0\nBEGIN:VEVENT\nUID:x1\nSUMMARY:Standup\nDTSTART:20240102T170000Z\nDTEND:20240102T173000Z\nEND:VEVENT\nEND:VCALENDAR\n"
+OTHER = "BEGIN:VCALENDAR\nVERSION:2.0\nBEGIN:VEVENT\nUID:t9\nSUMMARY:Tuning\nDTSTART:20230201T080000Z\nDTEND:20230201T081000Z\nEND:VEVENT\nEND:VCALENDAR\n"
 
 
 def raw(i, title, start="2024-01-01T19:00:00Z", end="2024-01-01T20:00:00Z", **more):
@@ -70,19 +70,19 @@ def test_ics_records(spark, tmp_path):
     (tmp_path / "a.ics").write_text(ICS)
     (tmp_path / "b.ics").write_text(OTHER)
     rows = {row.title: row for row in ics.read_ics(spark, str(tmp_path / "*.ics"), "src1", "Fallback").collect()}
-    assert set(rows) == {"Coffee with Alice", "Trip to Tokyo", "No uid", "Standup"}
-    coffee = rows["Coffee with Alice"]
-    assert coffee.id == "src1:abc123" and coffee.calendarTitle == "My Google Calendar"
-    assert coffee.location == "Blue Bottle, Oakland" and coffee.isRecurring and not coffee.isAllDay
-    assert (coffee.startDate, coffee.endDate) == ("2024-01-02T17:00:00Z", "2024-01-02T18:00:00Z")
-    assert coffee.attendees == ["Alice Smith", "Doe, John", "eve@example.com"]
-    assert coffee.noteTags == {"category": ["Social"], "people": ["Alice", "Bob"]}
-    assert coffee.url == "https://example.com/event"
-    trip = rows["Trip to Tokyo"]
-    assert trip.isAllDay and trip.startDate == "2024-03-01T00:00:00Z" and trip.attendees == [] and trip.noteTags == {}
-    late = rows["No uid"]
-    assert late.id == "src1:src1-2" and late.startDate == late.endDate == "2024-07-01T13:00:00Z"
-    assert rows["Standup"].calendarTitle == "Fallback"
+    assert set(rows) == {"Rowing with Mina", "Regatta weekend", "Evensong", "Tuning"}
+    rowing = rows["Rowing with Mina"]
+    assert rowing.id == "src1:r-77" and rowing.calendarTitle == "Choir and boats"
+    assert rowing.location == "Boathouse 2, Astoria" and rowing.isRecurring and not rowing.isAllDay
+    assert (rowing.startDate, rowing.endDate) == ("2023-05-18T06:15:00Z", "2023-05-18T07:45:00Z")
+    assert rowing.attendees == ["Mina Sato", "Holm, Per", "cox@rowing.example"]
+    assert rowing.noteTags == {"category": ["Sport"], "people": ["Mina", "Per"]}
+    assert rowing.url == "https://rowing.example/77"
+    regatta = rows["Regatta weekend"]
+    assert regatta.isAllDay and regatta.startDate == "2023-06-10T00:00:00Z" and regatta.attendees == [] and regatta.noteTags == {}
+    song = rows["Evensong"]
+    assert song.id == "src1:src1-2" and song.startDate == song.endDate == "2023-01-15T17:00:00Z"
+    assert rows["Tuning"].calendarTitle == "Fallback"
 
 
 def test_ics_file_split_into_blocks(spark, tmp_path):
@@ -106,10 +106,10 @@ def test_ics_file_split_into_blocks(spark, tmp_path):
 def test_ics_flows_into_the_event_table(spark, tmp_path):
     (tmp_path / "a.ics").write_text(ICS)
     table = ev.normalize_events(ics.read_ics(spark, str(tmp_path / "a.ics"), "s", "d"))
-    coffee = table.filter(F.col("title") == "Coffee with Alice").first()
-    assert table.columns == EVENT_COLUMNS and coffee.category == "Social"
+    rowing = table.filter(F.col("title") == "Rowing with Mina").first()
+    assert table.columns == EVENT_COLUMNS and rowing.category == "Sport"
     # In a group the bare first name becomes the full form used elsewhere.
-    assert coffee.people == ["Alice Smith", "Bob", "Doe, John", "eve@example.com"]
+    assert rowing.people == ["Holm, Per", "Mina Sato", "Per", "cox@rowing.example"]
 
 
 @pytest.mark.parametrize("layout", ["array", "lines"])

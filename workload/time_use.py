@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 from datelore.operators import time_use as op
+from datelore.plans import ordering
 from datelore.sources import tables as t
-from workload.registry import query
+from workload.registry import ORACLES, query
 from workload.sql import CAL, EVT, day, n, r
 
 COSTS = {"1-urgent": 45.0, "2-HIGH": 25.0, "3-Medium": 8.0}
@@ -38,6 +39,11 @@ def estimated_spend(spark, folder):
     return op.estimated_spend_by_category(t.order_calendar(spark, folder), COSTS)
 
 
+@query("ranked_spend", f"""SELECT *, row_number() OVER (ORDER BY estimated_spend DESC NULLS LAST, category) AS rank FROM ({ORACLES["estimated_spend"]})""")
+def ranked_spend(spark, folder):
+    return ordering.numbered("categories", estimated_spend(spark, folder))
+
+
 @query(
     "spend_by_year",
     f"""WITH {CAL}, {COST_SQL}, p AS (SELECT year, category, sum(cost) AS spend FROM timed JOIN costs ON lower(category) = k GROUP BY 1, 2)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from datelore.functions.timebins import naive
 from datelore.operators import linking, recurring, regions, travel
+from datelore.plans import ordering
 from datelore.sources import tables as t
-from workload.registry import query
+from workload.registry import ORACLES, query
 from workload.sql import CAL, EVT, GEO, day, n, r, ts
 
 TRAVEL = ["1-urgent", "5-low"]
@@ -118,6 +119,15 @@ def recurring_series_orders(spark, folder):
     return recurring.recurring_series(t.order_calendar(spark, folder), as_of=as_of)
 
 
+@query(
+    "recurring_ranked",
+    f"""SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY CASE status WHEN 'stopped' THEN 0 WHEN 'slowing down' THEN 1 ELSE 2 END,
+      days_since_last DESC, title) AS rank FROM ({ORACLES["recurring_series"]})""",
+)
+def recurring_ranked(spark, folder):
+    return ordering.numbered("series", recurring_series(spark, folder), ["owner_id"])
+
+
 # The places of one nation lie within the radius and nations lie apart, so the nation is the metro.
 METRO = f"""{CAL}, {GEO}, pv AS (SELECT c.location, count(*) AS visits, sum(duration_hours) AS h, min("start") AS f, max("start") AS l,
       any_value(nation) AS nation, any_value(city) AS city, any_value(country) AS country, any_value(neighbourhood) AS neighbourhood

@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 from datelore.operators import weekly as op
+from datelore.plans import ordering
 from datelore.sources import tables as t
-from workload.registry import query
+from workload.registry import ORACLES, query
 from workload.sql import CAL, EVT, day, filled_weeks, n, r
 
 HABIT = "1-urgent"
@@ -124,6 +125,14 @@ def streaks(spark, folder):
     return op.streaks_and_gaps(op.weekly_habit_counts(t.order_calendar(spark, folder), HABIT, keys), keys)
 
 
+@query(
+    "top_streaks",
+    f"""SELECT * FROM ({ORACLES["streaks"]}) QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY weeks DESC, "start") <= 3""",
+)
+def top_streaks(spark, folder):
+    return ordering.first_rows("streaks", streaks(spark, folder), 3, ["owner_id"])
+
+
 @query(
     "longest_runs",
     f"""{_HABIT}, {_runs('hb', 'owner_id', 'c > 0', 'rn')} SELECT owner_id, max(weeks) FILTER (st) AS longest_active_weeks,
