@@ -23,7 +23,7 @@ class LanguageModel:
     """A context tree and the counts of words it was learnt beside.
 
     ``words`` is the whole table of training words with their counts, ``frequent`` those that
-    make up at least one token in ``65,536``, of which there are no more than that many.
+    make up at least one token in ``frequent`` of ``fit``, of which there are no more than that many.
     """
 
     tree: ContextTree
@@ -85,7 +85,7 @@ def corpus_counts(df: DataFrame, text: str, depth: int) -> DataFrame:
     return saved(counted.groupBy("gram", "word").agg(F.sum("n").alias("n")), "counts")
 
 
-def fit(df: DataFrame, learn: Column, text: str = "text", depth: int = 6, contexts: int = 1 << 17, frequent: int = 1 << 16) -> LanguageModel:
+def fit(df: DataFrame, learn: Column, text: str = "text", depth: int = 6, contexts: int = 1 << 17, frequent: int = 1 << 19) -> LanguageModel:
     """Learn from all texts where ``learn`` holds; A-Z count as a-z, null as empty.
 
     Grams and words are counted in tasks, then by Spark. A context is a node of the tree if it holds
