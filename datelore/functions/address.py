@@ -26,6 +26,7 @@ NO_CITY_COMMA = rf"\b({STREET_END})\s+({CITY}),\s*([A-Z]{{2}})\b"
 NO_STATE_COMMA = rf",\s*({CITY})\s+([A-Z]{{2}})\b"
 NO_COUNTRY_COMMA = r"([^\s,])\s+(United States|USA|Canada)\b"
 ADDRESS_TAIL = r",\s*[A-Za-z][A-Za-z .]*,\s*[A-Z]{2}\s*(?:\d{5}(?:-\d{4})?)?,\s*(?:United States|USA)\s*"
+CITY_IN_TAIL = ADDRESS_TAIL.replace("[A-Za-z][A-Za-z .]*", "([A-Za-z][A-Za-z .]*?)\\s*", 1)
 UNIT_CLAUSE = (
     r",?\s*(?:(?:Unit|Ste|Suite|Apt|Apartment|Bldg|Building|Fl|Floor|Rm|Room)\b\.?\s*#?|#)\s*[\w&/-]+"
 )
@@ -90,7 +91,7 @@ def business_name_and_city(text: Column) -> Column:
     """ "Name, City" from an address that starts with the name of a place."""
     head = normalize_whitespace(F.regexp_replace(_before_tail(text), f"(?iU){UNIT_CLAUSE}", ""))
     name = strip(F.regexp_extract(head, r"(?sU)^(.+)\b\d+\b.*$", 1))
-    city = strip(F.regexp_extract(text, rf"(?isU),\s*([A-Za-z][A-Za-z .]*?)\s*,\s*[A-Z]{{2}}\s*(?:\d{{5}}(?:-\d{{4}})?)?,\s*(?:United States|USA)\s*$", 1))
+    city = strip(F.regexp_extract(text, rf"(?isU){CITY_IN_TAIL}$", 1))
     result = F.concat_ws(", ", name, city)
     return F.when((name != "") & (city != "") & (result != text), result)
 
@@ -98,20 +99,20 @@ def business_name_and_city(text: Column) -> Column:
 def strip_unit(text: Column) -> Column:
     """Address without its first unit, suite, floor or room clause; commas are repaired again."""
     pattern = rf"(?isU)^(.*?){UNIT_CLAUSE}"
-    shorter = insert_missing_commas(normalize_whitespace(F.regexp_replace(text, pattern, "$1")))
-    return F.when(text.rlike(f"(?iU){UNIT_CLAUSE}"), shorter)
+    return bind(
+        F.regexp_replace(text, pattern, "$1"),
+        lambda shorter: F.when(shorter != text, insert_missing_commas(normalize_whitespace(shorter))),
+    )
 
 
 def strip_street_direction(text: Column) -> Column:
     """Address without the compass direction after its first street suffix that has one."""
     direction = rf"\b({STREET_SUFFIXES})\s+(?:{DIRECTIONS})\.?\b"
-    shorter = F.regexp_replace(text, rf"(?isU)^(.*?){direction}", "$1$2")
-    return F.when(text.rlike(f"(?iU){direction}"), shorter)
+    return F.nullif(F.regexp_replace(text, rf"(?isU)^(.*?){direction}", "$1$2"), text)
 
 
 def use_containing_city(text: Column) -> Column:
     """Address with the first known neighbourhood used as its city replaced by the city around it."""
     names = "|".join(sorted(CONTAINED_PLACES, key=len, reverse=True))
     place = rf"\b(?:{names})(?=\s*,\s*{CONTAINED_STATE}\b)"
-    replaced = F.regexp_replace(text, rf"(?isU)^(.*?){place}", f"$1{CONTAINING_CITY}")
-    return F.when(text.rlike(f"(?iU){place}"), replaced)
+    return F.nullif(F.regexp_replace(text, rf"(?isU)^(.*?){place}", f"$1{CONTAINING_CITY}"), text)

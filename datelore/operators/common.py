@@ -53,16 +53,18 @@ def mode_per_group(df: DataFrame, group: Sequence[str], value: str, alias: str |
 
 
 def fill_grid(
-    counted: DataFrame, keys: Sequence[str], rows: Sequence[str], axis: str, values: Sequence[str]
+    counted: DataFrame, keys: Sequence[str], rows: Sequence[str], axis: str, values: Sequence[str], wanted: DataFrame | None = None
 ) -> DataFrame:
     """Every row group crossed with every axis value its calendar has, missing cells 0.
 
     ``counted`` has one row per (keys, rows, axis). The axis is a set of calendar
-    periods or categories, short enough to travel as one array per calendar.
+    periods or categories, short enough to travel as one array per calendar. Only the
+    row groups of ``wanted`` (keys, rows) are filled when it is given, over the axis of all.
     """
     keys, rows = list(keys), list(rows)
     axes = reading_all(counted).groupBy(*keys).agg(F.sort_array(F.collect_set(axis)).alias("_axis"))
-    cells = counted.groupBy(*keys, *rows).agg(
+    filled = counted if wanted is None else counted.join(wanted, [*keys, *rows], "left_semi")
+    cells = filled.groupBy(*keys, *rows).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(axis), F.struct(*values)))).alias("_cells")
     )
     grid = attach_per_key(cells, axes, keys).select(*keys, *rows, "_cells", F.explode("_axis").alias(axis))

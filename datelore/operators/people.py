@@ -31,24 +31,29 @@ def social_time_share(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return with_share(person_frequency(df, keys), "total_hours", "share_of_social_hours", keys)
 
 
-def person_trend(df: DataFrame, granularity: str = "year", keys: Sequence[str] = ()) -> DataFrame:
+def person_trend(
+    df: DataFrame, granularity: str = "year", keys: Sequence[str] = (), wanted: DataFrame | None = None
+) -> DataFrame:
     """Events per person and period, 0 for every observed period the person is missing from.
 
     ``period`` is the first day of a year or month, or the Sunday that ends a week.
+    ``wanted`` (keys, person) limits the people, not the periods.
     """
     rows = exploded_people(df).select(*keys, "person", timebins.period_start(F.col("start"), granularity).alias("period"))
     counted = rows.groupBy(*keys, "person", "period").agg(F.count("*").alias("events"))
-    return fill_grid(counted, keys, ["person"], "period", ["events"])
+    return fill_grid(counted, keys, ["person"], "period", ["events"], wanted)
 
 
 def person_trend_by_year(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return person_trend(df, "year", keys).select(*keys, "person", F.year("period").alias("year"), "events")
 
 
-def person_trend_table(df: DataFrame, granularity: str = "year", keys: Sequence[str] = ()) -> DataFrame:
-    """The trend with one column per period."""
+def person_trend_table(
+    df: DataFrame, labels: Sequence[str], granularity: str = "year", keys: Sequence[str] = ()
+) -> DataFrame:
+    """The trend with one column for each of the given period labels, null where no one was seen."""
     long = person_trend(df, granularity, keys).withColumn("_label", timebins.period_label(F.col("period"), granularity))
-    return long.groupBy(*keys, "person").pivot("_label").agg(F.sum("events"))
+    return long.groupBy(*keys, "person").pivot("_label", list(labels)).agg(F.sum("events"))
 
 
 def trend_of_people(
@@ -59,10 +64,10 @@ def trend_of_people(
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """The trend of the named people (possibly none), or of the ``top_n`` seen most."""
-    long = person_trend(df, granularity, keys)
     if people is not None:
-        return long.filter(F.col("person").isin(list(people)))
-    return long.join(top_people(df, top_n, keys).select(*keys, "person"), [*keys, "person"], "left_semi")
+        named = exploded_people(df).select(*keys, "person").filter(F.col("person").isin(list(people))).distinct()
+        return person_trend(df, granularity, keys, named)
+    return person_trend(df, granularity, keys, top_people(df, top_n, keys).select(*keys, "person"))
 
 
 def top_people(df: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:

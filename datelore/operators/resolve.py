@@ -146,7 +146,8 @@ def retry_queries(df: DataFrame, query: str, output: str = "retries") -> DataFra
 def to_resolve(requested: DataFrame, cached: DataFrame, overrides: DataFrame, keys: Sequence[str] = (), force: bool = False) -> DataFrame:
     """Requested places that need a lookup: all but corrected ones, or those without a usable entry."""
     on = [*keys, "location"]
-    wanted = requested.filter(F.coalesce("location", F.lit("")) != "").dropDuplicates(on)
+    # A place asked for under several categories is looked up under the smallest, so that a rerun finds the same.
+    wanted = requested.filter(F.coalesce("location", F.lit("")) != "").groupBy(*on).agg(F.min("category").alias("category"))
     if force:
         return wanted.join(overrides.select(*on).distinct(), on, "left_anti")
     usable = cached.filter(has_coordinates()).select(*on).unionByName(overrides.filter(has_coordinates()).select(*on))
@@ -178,32 +179,34 @@ def resolve_locations(
     open_places = to_resolve(requested, cached, overrides, keys, force).select(*on, "category")
     anchored = open_places.withColumn("_anchor", match_anchor(F.col("location"), F.col("category"), anchors))
     queried = anchored.withColumn("_query", anchored_query(F.col("location"), F.col("_anchor")))
-    listed = retry_queries(queried, "_query", "_retries")
-    first = F.array(F.struct(F.col("_query").alias("query"), F.lit(None).cast("string").alias("label")))
-    listed = listed.withColumn(
-        "_retries", F.when(is_complete_address(F.col("location")), F.col("_retries")).otherwise(F.slice("_retries", 1, 0))
-    )
 
     known = cached.filter(has_coordinates()).select(*on, "lat", "lon")
     fixed = overrides.filter(has_coordinates()).select(*on, "lat", "lon")
     points = known.join(fixed.select(*on), on, "left_anti").unionByName(fixed)
     boxes = bias_box(points, keys=keys)
-    attempts = listed.select(*on, "_anchor", F.posexplode(F.concat(first, "_retries")).alias("_try", "_candidate"))
-    attempts = attempts.withColumn("_key", F.lower(F.col("_candidate")["query"]))
-    if keys:
-        attempts = attempts.join(boxes, keys, "left")
-    else:
-        attempts = attach_per_key(attempts, boxes, keys)
     place = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in GEO_FIELDS.fields])
     entries = gazetteer.select(F.lower("query").alias("_key"), F.col("rank").alias("_rank"), place.alias("_place"))
-    hits = attempts.join(entries, "_key")
-    lat, lon = F.col("_place")["lat"], F.col("_place")["lon"]
-    bounds = anchor_box(F.col("_anchor"))
-    hits = hits.filter(bounds.isNull() | inside(bounds, lat, lon))
-    outside = F.when(bounds.isNotNull() | F.col("bias_box").isNull() | inside(F.col("bias_box"), lat, lon), 0).otherwise(1)
-    won = hits.groupBy(*on).agg(F.min_by("_place", F.struct("_try", outside, "_rank", "_place")).alias("_place"))
-
-    joined = listed.join(won, on, "left")
+
+    def looked_up(attempts: DataFrame, carried: Sequence[str]) -> DataFrame:
+        """The best match of each place's attempts (_try, _text), with what else belongs to the place."""
+        keyed = attempts.withColumn("_key", F.lower("_text"))
+        keyed = keyed.join(boxes, keys, "left") if keys else attach_per_key(keyed, boxes, keys)
+        met = keyed.join(entries, "_key", "left")
+        lat, lon = F.col("_place")["lat"], F.col("_place")["lon"]
+        bounds = anchor_box(F.col("_anchor"))
+        counts = F.col("_place").isNotNull() & (bounds.isNull() | inside(bounds, lat, lon))
+        outside = F.when(bounds.isNotNull() | F.col("bias_box").isNull() | inside(F.col("bias_box"), lat, lon), 0).otherwise(1)
+        best = F.min_by("_place", F.when(counts, F.struct("_try", outside, "_rank", "_place")))
+        return met.groupBy(*on).agg(best.alias("_place"), *[F.first(c).alias(c) for c in carried])
+
+    # Most places match at once; only the rest is worth rewriting.
+    tried = looked_up(queried.select(*on, "_anchor", "_query", F.lit(0).alias("_try"), F.col("_query").alias("_text")), ["_anchor", "_query"])
+    rewritable = F.col("_place").isNull() & is_complete_address(F.col("location"))
+    listed = retry_queries(tried.filter(rewritable).drop("_place"), "_query", "_retries")
+    again = listed.select(*on, "_anchor", "_query", "_retries", F.posexplode_outer("_retries").alias("_try", "_option"))
+    again = looked_up(again.withColumn("_text", F.col("_option")["query"]), ["_anchor", "_query", "_retries"])
+    settled = tried.filter(~rewritable).withColumn("_retries", F.array().cast(again.schema["_retries"].dataType))
+    joined = settled.unionByName(again)
     anchor = F.col("_anchor")
     has_anchor = anchor["lat"].isNotNull() & anchor["lon"].isNotNull()
     label = F.coalesce(none_if_empty(anchor["query"]), F.col("location"))

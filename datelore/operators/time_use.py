@@ -62,9 +62,11 @@ def spend_by_year(df: DataFrame, costs: Costs = DEFAULT_COST_PER_VISIT, keys: Se
     return fill_grid(priced.select(*keys, "year", "category", "spend"), keys, ["year"], "category", ["spend"])
 
 
-def spend_by_year_table(df: DataFrame, costs: Costs = DEFAULT_COST_PER_VISIT, keys: Sequence[str] = ()) -> DataFrame:
-    """The same with one column per category."""
-    return spend_by_year(df, costs, keys).groupBy(*keys, "year").pivot("category").agg(F.sum("spend")).na.fill(0.0)
+def spend_by_year_table(
+    df: DataFrame, categories: Sequence[str], costs: Costs = DEFAULT_COST_PER_VISIT, keys: Sequence[str] = ()
+) -> DataFrame:
+    """The same with one column for each of the given categories."""
+    return spend_by_year(df, costs, keys).groupBy(*keys, "year").pivot("category", list(categories)).agg(F.sum("spend")).na.fill(0.0)
 
 
 def _per_year_average(df: DataFrame, keys: Sequence[str], part: str, parts: Sequence, average: str) -> DataFrame:

@@ -96,7 +96,7 @@ def enrich_stream(rows: DataFrame, geo: DataFrame, keys: Sequence[str] = ()) ->
     return with_coordinates(rows, geo, geo_keys, ("lat", "lon", "city", "country", "place_type"))
 
 
-_STATE = "place string, start bigint, end bigint, n bigint, places array<string>, starts array<bigint>, ends array<bigint>"
+_STATE = "place string, start bigint, end bigint, n bigint, places array<string>, starts array<bigint>, ends array<bigint>, ids array<string>"
 
 
 def trips_stream(
@@ -121,6 +121,7 @@ def trips_stream(
         .select(
             *keys,
             "_at",
+            "id",
             trip_destination().alias("place"),
             micros_between(epoch(), F.col("start")).alias("start_us"),
             micros_between(epoch(), F.col("end")).alias("end_us"),
@@ -130,17 +131,18 @@ def trips_stream(
     out = ", ".join([f"{key} {types[key]}" for key in keys] + ["destination string, start_us bigint, end_us bigint, n_events bigint"])
 
     def advance(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        place, start, end, n, places, starts, ends = (
-            state.get if state.exists else (None, 0, 0, 0, [], [], [])
+        place, start, end, n, places, starts, ends, ids = (
+            state.get if state.exists else (None, 0, 0, 0, [], [], [], [])
         )
-        waiting = list(zip(starts, ends, places))
+        waiting = list(zip(starts, ids, ends, places))
         for batch in batches:
-            waiting.extend(zip(batch["start_us"].tolist(), batch["end_us"].tolist(), batch["place"].tolist()))
-        waiting.sort(key=lambda row: row[0])
+            waiting.extend(zip(*[batch[name].tolist() for name in ("start_us", "id", "end_us", "place")]))
+        # Events of one moment go by id, as in the batch rule, in whatever order they arrive.
+        waiting.sort(key=lambda row: row[:2])
         watermark = state.getCurrentWatermarkMs() * 1000
         closed = []
         done = 0
-        for row_start, row_end, row_place in waiting:
+        for row_start, _, row_end, row_place in waiting:
             if row_start > watermark:
                 break
             done += 1
@@ -156,7 +158,7 @@ def trips_stream(
             closed.append((*key, place, start, end, n))
             place, start, end, n = None, 0, 0, 0
         if n or waiting:
-            state.update((place, start, end, n, [w[2] for w in waiting], [w[0] for w in waiting], [w[1] for w in waiting]))
+            state.update((place, start, end, n, *[[w[k] for w in waiting] for k in (3, 0, 2, 1)]))
             # Wake when the open trip can close or the first waiting event is due.
             nearest = min(([end + gap] if n else []) + [w[0] for w in waiting[:1]])
             state.setTimeoutTimestamp(max(nearest // 1000, state.getCurrentWatermarkMs()) + 1)

@@ -150,6 +150,16 @@ def last_event_with(spark, folder):
     return op.last_event_with(calendar(spark, folder), keys=["owner_id"])
 
 
+@query(
+    "named_trends",
+    f"""WITH {CAL}, c AS (SELECT person, CAST(date_trunc('month', "start") AS DATE) AS period, count(*) AS c FROM ex GROUP BY ALL)
+    SELECT person, {day('period')} AS period, coalesce(c, 0) AS events FROM (SELECT DISTINCT person FROM c WHERE person IN ('S1', 'S7', 'S39'))
+    CROSS JOIN (SELECT DISTINCT period FROM c) LEFT JOIN c USING (person, period)""",
+)
+def named_trends(spark, folder):
+    return op.trend_of_people(calendar(spark, folder), "month", ["S1", "S7", "S39", "nobody"])
+
+
 @query(
     "people_overview",
     f"""WITH {CAL}, {FREQ.format(k='')}, c AS (SELECT person, year, count(*) AS c FROM ex GROUP BY ALL),
@@ -160,8 +170,9 @@ def last_event_with(spark, folder):
       greatest(0, CAST(floor(date_diff('microsecond', first_seen, {AS_OF_SQL}) / 86400000000.0) AS BIGINT)) AS tenure FROM pf LEFT JOIN s USING (person))
     SELECT {COLUMNS}, {r('total_hours / sum(total_hours) OVER ()')} AS share_of_social_hours, {r('slope')} AS slope_events_per_year,
     seen AS last_seen_days, CASE WHEN seen <= 14 THEN 'good' WHEN seen <= 45 THEN 'warning' ELSE 'critical' END AS last_seen_bucket,
-    tenure AS tenure_days, {r('least(abs(slope) / 5, 1)')} AS trend_strength,
+    tenure AS tenure_days, CASE WHEN tenure < 30 THEN tenure || 'd' WHEN tenure < 365 THEN CAST(floor(tenure / 30 + 0.5) AS BIGINT) || 'mo'
+      ELSE format('{{:.1f}}yr', tenure / 365) END AS tenure, {r('least(abs(slope) / 5, 1)')} AS trend_strength,
     CASE WHEN slope IS NULL THEN NULL WHEN abs(slope) < 0.05 THEN 'flat' WHEN slope > 0 THEN 'growing' ELSE 'fading' END AS trend FROM d""",
 )
 def people_overview(spark, folder):
-    return op.people_overview(calendar(spark, folder), as_of()).drop("tenure")
+    return op.people_overview(calendar(spark, folder), as_of())
