@@ -12,11 +12,13 @@ from datelore.functions import text, timebins
 from datelore.operators.common import reading_all
 from datelore.schema import EVENT_COLUMNS, RAW_EVENT, parse_utc
 
-LAYOUTS = ("array", "lines", "parquet")
+LAYOUTS = ("lines", "array", "parquet")
+#: Events without a guest list to look up are dealt to this many groups.
+SPREAD = 1024
 
 
-def read_events(spark: SparkSession, path, layout: str = "array") -> DataFrame:
-    """Raw records from JSON files (one array per file, or one record per line) or parquet.
+def read_events(spark: SparkSession, path, layout: str = "lines") -> DataFrame:
+    """Raw records from JSON files (one record per line, or one array per file) or parquet.
 
     ``lines`` and ``parquet`` split inside a file; an ``array`` file is parsed by
     one task, so large exports should land as one of the other two.
@@ -34,7 +36,7 @@ def with_raw_columns(raw: DataFrame) -> DataFrame:
     return raw.withColumns({field.name: F.lit(None).cast(field.dataType) for field in missing})
 
 
-def read_uploaded_events(spark: SparkSession, path, source_id: str, layout: str = "array") -> DataFrame:
+def read_uploaded_events(spark: SparkSession, path, source_id: str, layout: str = "lines") -> DataFrame:
     """Records of an uploaded export; ids carry the source id so they cannot collide."""
     return namespace_ids(read_events(spark, path, layout), source_id)
 
@@ -80,8 +82,17 @@ def resolve_first_names(events: DataFrame, keys: Sequence[str] = ()) -> DataFram
         .groupBy(*keys, "people")
         .agg(F.sort_array(F.collect_set(F.coalesce("full_name", "first_name"))).alias("_resolved"))
     )
-    joined = events.join(resolved, [*keys, "people"], "left")
-    return joined.withColumn("people", F.coalesce("_resolved", "people")).drop("_resolved")
+    # Most events have no guests or full names only; they have no key to look up and are spread over all tasks.
+    bare_guest = F.exists("people", lambda name: ~name.contains(" "))
+    looked_up = (F.size("people") > 1) & bare_guest
+    placed = events.withColumns(
+        {
+            "_list": F.when(looked_up, F.col("people")),
+            "_spread": F.when(looked_up, F.lit(0)).otherwise(F.pmod(F.hash("id"), F.lit(SPREAD)) + 1),
+        }
+    )
+    joined = placed.join(resolved.withColumnRenamed("people", "_list").withColumn("_spread", F.lit(0)), [*keys, "_list", "_spread"], "left")
+    return joined.withColumn("people", F.coalesce("_resolved", "people")).drop("_resolved", "_list", "_spread")
 
 
 def normalize_columns(raw: DataFrame) -> DataFrame:

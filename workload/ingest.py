@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -8,8 +9,9 @@ from datelore.functions import geo as geo_fn
 from datelore.functions import text, timebins
 from datelore.operators import dedupe, filters
 from datelore.sources import events as ev
+from datelore.session import ensure_checkpoint_dir
 from datelore.sources import geo as geo_src
-from datelore.sources import manifest
+from datelore.sources import ics, manifest, records
 from datelore.sources import tables as t
 from workload.registry import query
 from workload.sql import CAL, EVT, GEO, day, joined, n, r, ts
@@ -54,6 +56,68 @@ NORMAL = rf"""{RAW}, {TAGS},
       FROM p0 LEFT JOIN px USING (id))"""
 
 
+def landed(spark) -> str:
+    """A new folder for files that a query writes and reads back, in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/landed-{uuid.uuid4().hex}"
+
+
+_RECORD = f"""title, notes, location, start_text, end_text, is_all_day, calendar, calendar_color, {joined('attendees')} AS attendees, is_recurring"""
+
+
+def _record_columns(records_read):
+    return records_read.select(
+        "id", "title", "notes", "location", F.col("startDate").alias("start_text"), F.col("endDate").alias("end_text"),
+        F.col("isAllDay").alias("is_all_day"), F.col("calendarTitle").alias("calendar"), F.col("calendarColorHex").alias("calendar_color"),
+        "attendees", F.col("isRecurring").alias("is_recurring"),
+    )
+
+
+@query("json_events", f"WITH {RAW} SELECT id, {_RECORD} FROM raw")
+def json_events(spark, folder):
+    path = landed(spark)
+    records.write_records(t.raw_orders(spark, folder).drop("owner_id"), path)
+    return _record_columns(ev.read_events(spark, path))
+
+
+@query("uploaded_events", f"WITH {RAW} SELECT 'up1:' || id AS id, {_RECORD} FROM raw")
+def uploaded_events(spark, folder):
+    path = landed(spark)
+    records.write_records(t.raw_orders(spark, folder).drop("owner_id"), path)
+    return _record_columns(ev.read_uploaded_events(spark, path, "up1"))
+
+
+@query(
+    "ics_events",
+    f"""SELECT 'cal:o' || o_orderkey AS id, 'Order, ' || o_orderkey || '; open' AS title, 'Dock ' || o_custkey || ', Pier' AS location,
+    'Category: Freight' || chr(10) || 'People: Ann, Clerk ' || (o_custkey % 9) AS notes,
+    strftime(o_orderdate, '%Y-%m-%dT') || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':00:00Z' AS start_text,
+    strftime(o_orderdate, '%Y-%m-%dT') || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':30:00Z' AS end_text, false AS is_all_day, 'Orders' AS calendar,
+    CAST(NULL AS VARCHAR) AS calendar_color, 'Clerk, ' || (o_custkey % 9) || '|c' || o_custkey || '@dock.example' AS attendees, o_orderkey % 7 = 0 AS is_recurring FROM orders""",
+)
+def ics_events(spark, folder):
+    key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    clerk = (F.col("o_custkey") % 9).cast("string")
+    hour = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("T"), F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"))
+    event = F.concat_ws(
+        "\r\n",
+        F.lit("BEGIN:VEVENT"),
+        F.concat(F.lit("UID:o"), key),
+        F.concat(F.lit("SUMMARY:Order\\, "), key, F.lit("\\; op\r\n en")),
+        F.concat(F.lit("LOCATION:Dock "), customer, F.lit("\\, Pier")),
+        F.concat(F.lit("DESCRIPTION:Category: Freight\\nPeople: Ann\\, Clerk "), clerk),
+        F.concat(F.lit("DTSTART:"), hour, F.lit("0000Z")),
+        F.concat(F.lit("DTEND:"), hour, F.lit("3000Z")),
+        F.concat(F.lit('ATTENDEE;CN="Clerk, '), clerk, F.lit('":mailto:clerk@dock.example')),
+        F.concat(F.lit("ATTENDEE:mailto:c"), customer, F.lit("@dock.example")),
+        F.when(F.col("o_orderkey") % 7 == 0, "RRULE:FREQ=WEEKLY"),
+        F.lit("END:VEVENT"),
+    )
+    path = landed(spark)
+    t.table(spark, folder, "orders").select(event).write.text(path)
+    return _record_columns(ics.read_ics(spark, path, "cal", "Orders"))
+
+
 @query(
     "normalize_events",
     rf"""WITH {NORMAL} SELECT owner_id, id, title, notes, location, {ts('"start"')} AS "start", {ts('"end"')} AS "end",
