@@ -33,6 +33,11 @@ class Settings:
     seed: int = 7
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter; signs such as ² count as word characters but not as letters."""
+    return any(found.group().isalpha() for found in LETTER.finditer(text))
+
+
 def gram_counts(text: str, buckets: int, longest: int = 3) -> np.ndarray:
     """How often n-grams of 1 to ``longest`` characters of the lower-cased text fall into each bucket.
 
@@ -73,7 +78,7 @@ class LanguageModel:
         return values @ self.weights[index] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.classes or not text or not LETTER.search(text):
+        if not self.classes or not text or not has_letter(text):
             return "und", 0.0
         chances = _softmax(self.logits(text) / self.temperature)
         best = int(chances.argmax())
@@ -180,7 +185,7 @@ def fit_language_model(df: DataFrame, learn: Column, text: str = "text", lang: s
             for x in texts_of(batch, "text"):
                 counts = gram_counts(x, s.buckets, s.longest)
                 index = np.flatnonzero(counts)
-                out.append((index.astype("<i4").tobytes(), counts[index].astype("<i4").tobytes()) if LETTER.search(x) else (b"", b""))
+                out.append((index.astype("<i4").tobytes(), counts[index].astype("<i4").tobytes()) if has_letter(x) else (b"", b""))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["lang", "draw", "at", "n"])
 
     share = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)

@@ -38,6 +38,11 @@ def test_odd_rows(odd, nothing, rows):
     assert L.identify_language(nothing, model).count() == 0
 
 
+def test_letters_are_letters():
+    assert L.has_letter("12 é") and L.has_letter("漢")
+    assert not any(map(L.has_letter, ("", "12_!", "x²"[1:], "Ⅷ ½")))
+
+
 def test_grams_are_counted_alike_in_parts(monkeypatch):
     text = "Überall gäbe es viel zu zählen. " * 40
     whole = L.gram_counts(text, 1 << 12)
