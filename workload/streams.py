@@ -10,7 +10,7 @@ from datelore.session import ensure_checkpoint_dir
 from datelore.sources import tables as t
 from datelore.streaming import jobs
 from workload.registry import query
-from workload.sql import EVT, day, n, r
+from workload.sql import EVT, day, n, r, ts
 from workload.trips import STAY_COLUMNS, STAYS
 
 
@@ -61,3 +61,51 @@ def stream_dedupe(spark, folder):
 )
 def stream_trips(spark, folder):
     return drained(spark, jobs.trips_stream(event_stream(spark, folder), ["owner_id"], ["click", "view"], 1, "1 day"))
+
+
+def latest(spark, stream, on):
+    """The last state of every row that an update-mode stream emits, those still open included."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+
+    def land(batch, number):
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{base}/table/landed={number}")
+
+    writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{base}/state")
+    writer.outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rest = [name for name in stream.columns if name not in on]
+    landed = spark.read.parquet(f"{base}/table")
+    newest = landed.groupBy(*on).agg(F.max_by(F.struct(*rest), "_batch").alias("_row"))
+    return newest.select(*on, "_row.*")
+
+
+@query(
+    "stream_weeks_so_far",
+    f"""WITH {EVT} SELECT owner_id, {day('week')} AS week, {r('sum(duration_hours)')} AS total_hours, count(*) AS event_count
+    FROM evt WHERE NOT is_all_day GROUP BY owner_id, week""",
+)
+def stream_weeks_so_far(spark, folder):
+    return latest(spark, jobs.weekly_load_stream(event_stream(spark, folder), "40 days", ["owner_id"]), ["owner_id", "week"])
+
+
+@query(
+    "stream_people",
+    f"""WITH {EVT} SELECT owner_id, person, count(*) AS events, {r('sum(duration_hours)')} AS total_hours, {ts('min("start")')} AS first_seen,
+    {ts('max("start")')} AS last_seen FROM (SELECT *, unnest(people) AS person FROM evt WHERE NOT is_all_day) GROUP BY owner_id, person""",
+)
+def stream_people(spark, folder):
+    return latest(spark, jobs.person_frequency_stream(event_stream(spark, folder), ["owner_id"]), ["owner_id", "person"])
+
+
+@query(
+    "stream_enrichment",
+    f"""WITH {EVT}, place AS (SELECT 'Place ' || p_partkey AS location, 40.0 + p_partkey AS lat, 0.5 * p_partkey AS lon, p_brand AS city FROM part WHERE p_partkey % 3 <> 0)
+    SELECT owner_id, id, evt.location, {r('lat')} AS lat, {r('lon')} AS lon, city FROM evt LEFT JOIN place ON place.location = evt.location""",
+)
+def stream_enrichment(spark, folder):
+    key = F.col("p_partkey")
+    places = t.table(spark, folder, "part").filter(key % 3 != 0).select(
+        F.concat(F.lit("Place "), key.cast("string")).alias("location"), (key + 40.0).alias("lat"), (key * 0.5).alias("lon"), F.col("p_brand").alias("city")
+    )
+    rows = event_stream(spark, folder).select("owner_id", "id", "location")
+    return drained(spark, jobs.enrich_stream(rows, places)).select("owner_id", "id", "location", "lat", "lon", "city")
