@@ -15,7 +15,7 @@ from datelore.llm.lines import drop_common_lines
 from datelore.llm.mixing import mix_sources
 from datelore.llm.mixing_query import SEED, WEIGHTS
 from datelore.llm.pieces import encode_and_decode
-from datelore.llm.simhash import drop_near_duplicates
+from datelore.llm.similar import drop_similar
 
 #: A document stays if the calibrated chance of its language is at least this.
 LEAST_CHANCE = 0.3
@@ -50,8 +50,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    return drop_near_duplicates(docs, width=3, distance=3)
+    """One document of each group of near-duplicates, the one with the smallest id.
+
+    Documents are near if they have at least 0.8 of all their shingles of five words in common.
+    """
+    return drop_similar(docs, width=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
