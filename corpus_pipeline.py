@@ -6,18 +6,19 @@ Each stage works on all rows it is given. All but the last return the columns of
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datelore.llm.common import fold, saved
-from datelore.llm.language import fit_language_model, identify_language
+from datelore.llm.common import extend, fold, saved, texts_of
+from datelore.llm.language import fit_language_model, has_letter, identify_language
 from datelore.llm.lines import drop_common_lines
 from datelore.llm.mixing import mix_sources
 from datelore.llm.mixing_query import SEED, WEIGHTS
 from datelore.llm.pieces import encode_and_decode
 from datelore.llm.similar import drop_similar
 
-#: A document stays if the calibrated chance of its language is at least this.
+#: A document stays if the calibrated chance of its language is at least this far from the chance level to certainty.
 LEAST_CHANCE = 0.3
 
 
@@ -31,12 +32,19 @@ def _unused(docs: DataFrame, name: str) -> str:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without letters or of no clear language go.
 
-    The model learns from the labelled documents that op2 learns from. ``lang`` stays as it is.
+    The model learns from the labelled documents that op2 learns from. ``lang`` stays as it is. With one
+    language or none to learn there is no chance to judge by, and every text with a letter stays.
     """
     model = fit_language_model(docs, fold("doc_id", 4) != 2)
+    if len(model.classes) < 2:
+        letter = _unused(docs, "letter")
+        known = extend(docs, "text", f"`{letter}` boolean", lambda batch: [pa.array([has_letter(x) for x in texts_of(batch, "text")], pa.bool_())])
+        return known.filter(F.col(letter)).select(*docs.columns)
+    level = 1 / len(model.classes)
+    least = level + LEAST_CHANCE * (1 - level)
     lang, score = _unused(docs, "lang_told"), _unused(docs, "lang_chance")
     told = identify_language(docs, model, lang=lang, score=score)
-    return told.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_CHANCE)).select(*docs.columns)
+    return told.filter((F.col(lang) != "und") & (F.col(score) >= least)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
