@@ -52,7 +52,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that loses all its lines stays, with an empty text.
     """
-    kept = drop_common_lines(docs, min_docs=10, min_chars=1)
+    kept = drop_common_lines(docs, min_docs=10, min_chars=1, by_id=True)
     length = F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

@@ -26,5 +26,5 @@ FROM marked GROUP BY doc_id
 @query("op10_line_dedup", SQL)
 def line_dedup(spark, folder):
     documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    kept = drop_common_lines(documents, min_docs=10, min_chars=1)
+    kept = drop_common_lines(documents, min_docs=10, min_chars=1, by_id=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
