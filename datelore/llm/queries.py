@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datelore.llm import (  # noqa: F401
     divergence_query,
+    forest_query,
     language_query,
     lengths_query,
     lines_query,

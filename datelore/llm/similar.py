@@ -1,124 +1,58 @@
-"""Near-duplicates by the share of common word shingles, which every link is held against exactly."""
+"""Near-duplicates for corpora: SimHash links first, then whatever else is similar; every link is held against whole sets."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datelore.llm.common import LOWER_BYTES, extend, row_keys, saved, texts_of
-from datelore.llm.components import attach, components
-
-SEED = 42
-#: Two texts with similarity s share a bucket but for a chance of (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8, less above.
-BANDS, ROWS = 32, 5
-#: Shingles that meet all hash functions together.
-AT_ONCE = 4096
-_MADE = np.random.default_rng(SEED)
-FACTORS = _MADE.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _MADE.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-MIXING = _MADE.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-BAND_MARKS = _MADE.integers(0, 1 << 63, BANDS, np.uint64)
-
-
-def text_shingles(text: str, width: int) -> np.ndarray:
-    """The different hashes of a text's shingles of ``width`` words, sorted; a shorter text is one shingle, none without words."""
-    import xxhash
-
-    words = text.encode().translate(LOWER_BYTES).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s, SEED) for s in shingles], np.uint64))
-
-
-def bucket_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band of min-hashes; none without shingles."""
-    if not len(shingles):
-        return np.zeros(0, np.uint64)
-    parts = (shingles[a : a + AT_ONCE] for a in range(0, len(shingles), AT_ONCE))
-    least = reduce(np.minimum, ((FACTORS[:, None] * p + OFFSETS[:, None]).min(axis=1) for p in parts))
-    return (least.reshape(BANDS, ROWS) * MIXING).sum(axis=1, dtype=np.uint64) ^ BAND_MARKS
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
-
+from datelore.llm.common import extend, row_keys, saved, texts_of
+from datelore.llm.components import components
+from datelore.llm.forest import Forest, set_marks, similar_links
+from datelore.llm.simhash import close_links, text_bits
 
-def marks(df: DataFrame, width: int) -> DataFrame:
-    """``df`` less its text, with ``s1`` and ``s2`` (a hash of the set of shingles) and ``buckets``."""
+#: Texts with similarity 0.8 share no region with a chance of 2e-6, less above.
+FOREST = Forest(trees=44, shallow=5, deep=6)
+#: SimHash links have at most so many differing bits.
+DISTANCE = 3
 
-    def compute(batch):
-        import xxhash
 
-        sets = [text_shingles(x, width) for x in texts_of(batch, "text")]
-        hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets), "<i8").reshape(-1, 2)
-        return [pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), _lists([bucket_keys(s) for s in sets])]
-
-    return extend(df, "text", "s1 long, s2 long, buckets array<long>", compute).drop("text")
-
-
-def shingle_sets(df: DataFrame, width: int) -> DataFrame:
-    """``df`` less its text, with ``shingles``."""
-    return extend(df, "text", "shingles array<long>", lambda batch: [_lists([text_shingles(x, width) for x in texts_of(batch, "text")])]).drop("text")
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets of shingles have at least this many in common as a share of all."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    at = nodes.join(wanted, "node", "left_semi").select("node", F.col("leader.k1").alias("k1"), F.col("leader.k2").alias("k2"))
-    sets = saved(shingle_sets(texts.join(at, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text"), width), "shingles")
-    # The first of a pair may be in many pairs; the second is in no more than it has buckets, but for the last round.
-    first = attach(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), ["a"], F.col("b"))
-    both = attach(first, sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), ["b"], F.col("a"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b")
-
-
-def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` that connect whatever of ``nodes(node, leader, buckets)`` shares a bucket and is similar.
-
-    First every text meets the smallest of each of its buckets, so that a large group of copies is
-    one component at the cost of its rows. Then all that share a bucket and are not yet connected meet.
-    """
-    keys = nodes.select("node", F.explode("buckets").alias("v"))
-    heads = keys.groupBy("v").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("v", "head")
-    met = saved(attach(keys, heads, ["v"], F.col("node")), "buckets")
-    stars = saved(met.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = saved(_similar(stars, texts, nodes, width, similarity), "links")
-    labelled = attach(met, components(links).withColumnRenamed("root", "part"), ["node"], F.col("v"), "left").select("v", "node", "head", F.coalesce("part", "node").alias("part"))
-    labelled = saved(labelled, "buckets")
-    open_ = labelled.groupBy("v").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("v")
-    left = labelled.join(open_, "v", "left_semi").filter("node <> head")
-    a, b = (left.select("v", F.col("node").alias(n), F.col("part").alias(f"part_{n}")) for n in "ab")
-    rest = a.join(b, "v").filter("a < b and part_a <> part_b").select("a", "b").distinct()
-    return links.union(_similar(saved(rest, "pairs"), texts, nodes, width, similarity))
+def simhash_pairs(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs ``(a, b)`` of ``nodes(node, bits)`` that connect those within ``distance`` bits."""
+    prints = saved(nodes.groupBy("bits").agg(F.min("node").alias("head")), "fingerprints")
+    same = nodes.join(prints, "bits").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = saved(close_links(prints.select("bits"), distance), "links")
+    ends = [prints.select(F.col("bits").alias(c), F.col("head").alias(f"node_{c}")) for c in "ab"]
+    near = links.join(ends[0], "a").join(ends[1], "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return same.union(near)
 
 
-def drop_similar(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, forest: Forest = FOREST) -> DataFrame:
     """The rows of ``df`` less near-duplicates: of each component one row with the smallest id stays.
 
     Texts are linked if their sets of shingles of ``width`` words (A-Z as a-z; a shorter text is one
-    shingle) have at least ``similarity`` of all their shingles in common. Links are found by min-hash
-    buckets and each is held against the sets themselves. Null and empty texts and texts without words
-    are alike. Among rows with the smallest id the one with the smallest hash stays; null ids come
-    last. All columns stay as they are.
+    shingle) have at least ``similarity`` of all their shingles in common, in thousandths. Links are
+    found by SimHash first and for the rest by a forest of min-hash orders, and each is held against the
+    sets themselves. Null and empty texts and texts without words are alike. Rows that repeat in
+    id and text are one document. Among rows with the smallest id the one with the smallest hash stays; null ids
+    come last. All columns stay as they are; an empty table gives an empty table.
 
     Texts with the same set meet as one before anything is compared.
     """
     first, second = row_keys(F.col(f"`{id}`"), F.col(f"`{text}`"))
     rows = df.select(F.col(f"`{id}`").alias("id"), first.alias("k1"), second.alias("k2"), F.col(f"`{text}`").alias("text"))
-    marked = saved(marks(rows, width), "marks")
-    leader = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2"))
+    told = extend(rows, "text", "bits long", lambda batch: [pa.array(np.array([text_bits(x, width) for x in texts_of(batch, "text")], np.uint64).view(np.int64))])
+    marked = saved(set_marks(told, width, forest), "marks")
+    leader = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("leader")
+    once = [F.first(c).alias(c) for c in ("n_shingles", "labels")]
+    # Texts of one set can differ in how often they repeat a shingle, and so in bits; any of them will do.
+    distinct = marked.groupBy("s1", "s2").agg(leader, F.min("bits").alias("bits"), *once)
     # Numbers of rows are only relied on after they are written down.
-    nodes = saved(marked.groupBy("s1", "s2").agg(leader.alias("leader"), F.first("buckets").alias("buckets")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = components(similar_links(nodes, rows.select("k1", "k2", "text"), width, similarity))
-    labelled = nodes.join(roots, "node", "left").select("leader", F.coalesce("root", "node").alias("root"))
+    nodes = saved(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    worded = nodes.filter("n_shingles > 0")
+    links = similar_links(worded, rows.select("k1", "k2", "text"), width, similarity, forest, simhash_pairs(worded.select("node", "bits")))
+    labelled = nodes.join(components(links), "node", "left").select("leader", F.coalesce("root", "node").alias("root"))
     heads = labelled.groupBy("root").agg(F.min("leader").alias("head")).select("head.k1", "head.k2")
     packed = df.select(first.alias("k1"), second.alias("k2"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     kept = packed.join(heads, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])

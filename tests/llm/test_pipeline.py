@@ -12,17 +12,17 @@ from datelore.llm.language import fit_language_model
 from datelore.llm.mixing_query import SEED, WEIGHTS
 from datelore.llm.pieces import PieceEncoder
 from tests.llm.test_lines_mixing import plain_lines, poisson
-from tests.llm.test_prints import plain_bits, plain_components
+from tests.llm.test_similar import plain_survivors
 
 
 def plain_pipeline(docs, model):
     """(doc_id, text, source) rows after each stage."""
-    rows = [(i, t, s) for i, t, s in docs if (p := model.predict(t))[0] != "und" and p[1] >= corpus_pipeline.LEAST_CHANCE]
+    level = 1 / len(model.classes)
+    least = level + corpus_pipeline.LEAST_CHANCE * (1 - level)
+    rows = [(i, t, s) for i, t, s in docs if (p := model.predict(t))[0] != "und" and p[1] >= least]
     rows = [(i, kept, s) for (i, _, s), (_, _, kept) in zip(rows, plain_lines([t for _, t, _ in rows], 10))]
-    bits = {i: plain_bits(t) for i, t, _ in rows}
-    pairs = [(a, b) for a in bits for b in bits if b < a and (bits[a] ^ bits[b]).bit_count() <= 3]
-    group = plain_components(pairs, list(bits))
-    rows = [r for r in rows if group[r[0]] == r[0]]
+    stay = set(plain_survivors({i: t for i, t, _ in rows}))
+    rows = [r for r in rows if r[0] in stay]
     counts = {}
     for _, _, s in rows:
         counts[s if s in WEIGHTS else None] = counts.get(s if s in WEIGHTS else None, 0) + 1
@@ -58,3 +58,16 @@ def test_stages_take_odd_rows(spark, odd, nothing, sample, name, stage):
         assert found.columns[: len(docs.columns)] == docs.columns
         assert (name == "sentencepiece") == ("ids" in found.columns)
         assert found.count() <= (3 if name == "mixing" else 1) * max(rows.count(), 0) + (0 if name != "mixing" else 20)
+
+
+def test_columns_of_the_caller_keep_their_values(spark, odd, sample):
+    """Columns named like those that operators add come out as they went in."""
+    from pyspark.sql import functions as F
+
+    names = ["n_dropped", "N_LINES", "copy", "rate", "order_key", "N_copies", "lang_told", "bits", "labels", "node", "n_shingles"]
+    docs = odd.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"), *[F.lit(f"my {n}").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, sample)
+        assert found.columns == docs.columns
+        rows = found.select(*[F.col(f"`{n}`") for n in names]).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(f"my {n}" for n in names)], name

@@ -56,3 +56,28 @@ def test_chains_and_large_groups_are_whole(spark):
 def test_sample_equals_brute_force(spark, sample):
     docs = spark.read.parquet(f"{sample}/documents.parquet").select("doc_id", "text")
     assert sorted(r["doc_id"] for r in drop_similar(docs).collect()) == plain_survivors({r["doc_id"]: r["text"] for r in docs.collect()})
+
+
+def test_odd_rows(spark, odd, nothing, rows):
+    """Nulls, empty and very long texts, repeated rows, null ids and clashing columns."""
+    texts = {}
+    for i, t, _, _ in rows:
+        texts.setdefault(frozenset(plain_shingles(t)), set()).add((i is None, i or 0))
+    clash = odd.withColumn("bits", odd["score"]).withColumn("labels", odd["copy"]).withColumn("leader", odd["row"])
+    found = drop_similar(clash)
+    assert found.columns == clash.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in found.collect()) == sorted(min(ids) for ids in texts.values())
+    assert drop_similar(nothing).count() == 0
+
+
+def test_large_group_of_unlike_copies_leaves_few_rows(spark):
+    """Copies of which no one is like all others are joined without a row for each pair."""
+    rng = random.Random(9)
+    words, texts = [f"w{rng.randrange(10**6)}" for _ in range(150)], {}
+    for k in range(400):
+        copy = list(words)
+        for at in rng.sample(range(150), 3):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts[k] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in drop_similar(docs).collect()) == plain_survivors(texts)
