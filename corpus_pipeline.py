@@ -29,6 +29,17 @@ def _unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _set_aside(docs: DataFrame, taken: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named like those an operator adds under other names, and the names."""
+    names = {c: _unused(docs, f"{c}_own") for c in docs.columns if c.lower() in taken}
+    return docs.withColumnsRenamed(names), names
+
+
+def _put_back(found: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``docs`` as they were."""
+    return found.select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without letters or of no clear language go.
 
@@ -52,26 +63,39 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that loses all its lines stays, with an empty text.
     """
-    kept = drop_common_lines(docs, min_docs=10, min_chars=1, by_id=True)
+    own, names = _set_aside(docs, ["n_lines", "n_dropped"])
+    kept = drop_common_lines(own, min_docs=10, min_chars=1, by_id=True)
     length = F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return _put_back(kept.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)), docs, names)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    Documents are near if they have at least 0.8 of all their shingles of five words in common.
+    Documents are near if they have at least 0.8 of all their shingles of five words in common; SimHash gives the
+    first candidates and a forest of min-hash orders the rest, each held against the whole texts. Null and empty
+    texts and texts without words are alike, so one of them stays; rows that repeat in id and text are
+    one document; null ids come last; columns keep their values; an empty table stays empty.
     """
     return drop_similar(docs, width=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources come in their target proportions, in random order."""
-    return mix_sources(docs, WEIGHTS, other=1.0, epochs=1.0, seed=SEED).select(*docs.columns)
+    """Documents repeated or left out so that sources come in their target proportions, in random order.
+
+    Null and unknown sources form one group of weight 1; null and empty texts are documents like others; rows that
+    repeat are repeated alike; columns of the input keep their values; an empty table stays empty.
+    """
+    own, names = _set_aside(docs, ["rate", "n_copies", "copy", "order_key"])
+    return _put_back(mix_sources(own, WEIGHTS, other=1.0, epochs=1.0, seed=SEED), docs, names)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its piece ids, their spans in the text, and whether decoding gives the text back."""
+    """Every document with its piece ids, their spans in the text, and whether decoding gives the text back.
+
+    Null and empty texts have no pieces; rows that repeat have equal lists; columns of the input named ``ids``, ``begins``,
+    ``ends``, ``decoded`` or ``round_trip`` are replaced; an empty table stays empty.
+    """
     model = public_tokenizers.path("piece_bpe_32k.model")
     return encode_and_decode(docs, model).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
 
