@@ -3,12 +3,16 @@
 For every decision (a prefix of the byte's bits) the contexts of 0 to ``depth`` preceding bytes form a
 tree. A node's Krichevsky-Trofimov estimate of its own counts and the product over its children are
 mixed half and half, from the leaves up, so that a prediction is a mixture over all depths. A
-context is a node of its own if it holds at least a given share of all bytes counted; a node's
-other contexts together are one more child.
+context that is given no node of its own is one with a node's other such contexts, together one more child.
+
+Contexts that end with the same bytes are a branch: all that weighing and predicting there needs is the branch itself and the levels
+of the shorter contexts above it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 #: Stands before and after a text; no UTF-8 text holds it.
@@ -53,109 +57,113 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[np.cumsum(inside[:-1]) > 0], sizes
 
 
+class Level:
+    """The nodes of one depth: contexts, and after each the prefixes of the bytes that follow with the counts of their next bit."""
+
+    def __init__(self, depth: int, c: np.ndarray, x: np.ndarray, n: np.ndarray):
+        self.depth = depth
+        self.contexts, at = np.unique(c, return_inverse=True)
+        byte, number = x.astype(np.int64), n.astype(np.float64)
+        nodes = np.concatenate([(at << 8) | (1 << j) | (byte >> (8 - j)) for j in range(8)])
+        bits = np.concatenate([(byte >> (7 - j)) & 1 for j in range(8)])
+        self.keys, place = np.unique(nodes, return_inverse=True)
+        weight = np.tile(number, 8)
+        self.ones = np.bincount(place, weight * bits, len(self.keys))
+        self.zeros = np.bincount(place, weight, len(self.keys)) - self.ones
+        self.weigh(None)
+
+    def below(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the parents add up: their contexts, the prefixes, and counts and logarithm of the mixture."""
+        parent = self.contexts[self.keys >> 8] & ((1 << 8 * (self.depth - 1)) - 1)
+        return parent, self.keys & 0xFF, np.stack([self.zeros, self.ones, self.weighted])
+
+    def weigh(self, below: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> None:
+        """Each node's share of its own estimate in its mixture, and the counts that its unnamed contexts leave."""
+        block = log_block(self.zeros, self.ones)
+        self.own, self.rest, self.weighted = np.ones(len(self.keys)), np.stack([self.zeros, self.ones]), block
+        if below is None or not len(below[0]):
+            return
+        parent = np.searchsorted(self.contexts, below[0])
+        place = np.searchsorted(self.keys, (parent << 8) | below[1])
+        zeros, ones, weighted = (np.bincount(place, w, len(self.keys)) for w in below[2])
+        self.rest = np.maximum(np.stack([self.zeros - zeros, self.ones - ones]), 0)
+        split = np.zeros(len(self.contexts), bool)
+        split[parent] = True
+        inner = split[self.keys >> 8]
+        mixed = np.logaddexp(HALF + block, HALF + weighted + log_block(*self.rest))
+        self.own = np.where(inner, np.exp(HALF + block - mixed), 1.0)
+        self.weighted = np.where(inner, mixed, block)
+
+
 class ContextTree:
-    """The weighted tree for counts ``n`` of byte ``x`` after context ``c`` of ``d`` bytes."""
+    """The weighted tree for counts ``n`` of byte ``x`` after context ``c`` of ``d`` bytes.
+
+    With ``top``, the weighed levels of the shortest contexts, the counts are those of the deeper levels only: of a branch,
+    the contexts that end alike.
+    """
 
-    def __init__(self, depth: int, d: np.ndarray, c: np.ndarray, x: np.ndarray, n: np.ndarray):
+    def __init__(self, depth: int, d: np.ndarray, c: np.ndarray, x: np.ndarray, n: np.ndarray, top: Sequence[Level] = ()):
         self.depth = depth
-        self.contexts, self.keys, self.pairs, self.logs = [], [], [], []
-        self.counts, self.own, self.rest = [], [], []
-        counts: list[tuple[np.ndarray, np.ndarray]] = []
-        for level in range(depth + 1):
-            here = d == level
-            contexts, at = np.unique(c[here], return_inverse=True)
-            byte, number = x[here].astype(np.int64), n[here].astype(np.float64)
-            nodes = np.concatenate([(at << 8) | (1 << j) | (byte >> (8 - j)) for j in range(8)])
-            bits = np.concatenate([(byte >> (7 - j)) & 1 for j in range(8)])
-            keys, place = np.unique(nodes, return_inverse=True)
-            weight = np.tile(number, 8)
-            ones = np.bincount(place, weight * bits, len(keys))
-            counts.append((np.bincount(place, weight, len(keys)) - ones, ones))
-            self.contexts.append(contexts)
-            self.keys.append(keys)
-            self.pairs.append(np.sort((at << 8) | byte))
-        self._weigh(counts)
-        for level in range(depth + 1):
-            pair = self.pairs[level]
-            context = self.contexts[level][pair >> 8] if len(pair) else pair
-            self.logs.append(self._mixed(level, context, pair & 0xFF))
-
-    def _weigh(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Each node's share of its own estimate in its mixture, and the counts its unnamed contexts leave."""
-        weighted = None
-        for level in range(self.depth, -1, -1):
-            zeros, ones = counts[level]
-            block = log_block(zeros, ones)
-            own, rest = np.ones(len(zeros)), (zeros, ones)
-            if level < self.depth and len(self.keys[level + 1]):
-                child = self.keys[level + 1]
-                parent = np.searchsorted(self.contexts[level], self.contexts[level + 1][child >> 8] & ((1 << 8 * level) - 1))
-                place = np.searchsorted(self.keys[level], (parent << 8) | (child & 0xFF))
-                size = len(zeros)
-                below = [np.bincount(place, w, size) for w in (*counts[level + 1], weighted)]
-                rest = np.maximum(zeros - below[0], 0), np.maximum(ones - below[1], 0)
-                split = np.zeros(len(self.contexts[level]), bool)
-                split[parent] = True
-                inner = split[self.keys[level] >> 8]
-                mixed = np.logaddexp(HALF + block, HALF + below[2] + log_block(*rest))
-                own = np.where(inner, np.exp(HALF + block - mixed), 1.0)
-                block = np.where(inner, mixed, block)
-            weighted = block
-            self.counts.insert(0, np.stack([zeros, ones]).astype(np.float32))
-            self.own.insert(0, own.astype(np.float32))
-            self.rest.insert(0, np.stack(rest).astype(np.float32))
+        own = [Level(k, c[d == k], x[d == k], n[d == k]) for k in range(len(top), depth + 1)]
+        self.levels = [*top, *own]
+        for k in range(depth - 1, len(top) - 1, -1):
+            self.levels[k].weigh(self.levels[k + 1].below())
+        self.known = np.zeros(0, np.int64), np.zeros(0)
 
     def _mixed(self, level: int, context: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """log10 of the chance of bytes after contexts of which ``level`` bytes are the longest node."""
         total = np.zeros(len(byte))
-        at = [np.searchsorted(self.contexts[k], context & ((1 << 8 * k) - 1)) for k in range(level + 1)]
+        at = [np.searchsorted(self.levels[k].contexts, context & ((1 << 8 * k) - 1)) for k in range(level + 1)]
         for j in range(8):
             node, bit = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
             chance = np.full(len(byte), 0.5)
             for k in range(level, -1, -1):
+                nodes = self.levels[k]
                 key = (at[k] << 8) | node
-                place = np.minimum(np.searchsorted(self.keys[k], key), len(self.keys[k]) - 1)
-                seen = self.keys[k][place] == key
-                numbers, own = self.counts[k][:, place].astype(np.float64), self.own[k][place].astype(np.float64)
-                here = (np.where(bit, numbers[1], numbers[0]) + 0.5) / (numbers[0] + numbers[1] + 1)
+                place = np.minimum(np.searchsorted(nodes.keys, key), len(nodes.keys) - 1)
+                seen = nodes.keys[place] == key
+                zeros, ones, own = nodes.zeros[place], nodes.ones[place], nodes.own[place]
+                here = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
                 if k == level:
-                    left = self.rest[k][:, place].astype(np.float64)
+                    left = nodes.rest[:, place]
                     chance = (np.where(bit, left[1], left[0]) + 0.5) / (left[0] + left[1] + 1)
                 chance = np.where(seen, own * here + (1 - own) * chance, 0.5)
             total += np.log10(chance)
         return total
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the chance of each byte after its context, both in one number as ``grams`` gives it."""
+    def _computed(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), 8 * np.log10(0.5))
         open_ = np.arange(len(keys))
         for level in range(self.depth, -1, -1):
-            nodes = self.contexts[level]
+            nodes = self.levels[level].contexts
             if not len(nodes) or not len(open_):
                 continue
             context = (keys[open_] >> 8) & ((1 << 8 * level) - 1)
             at = np.minimum(np.searchsorted(nodes, context), len(nodes) - 1)
             hit = nodes[at] == context
-            rows, context, at = open_[hit], context[hit], at[hit]
-            byte = keys[rows] & 0xFF
-            pair = (at << 8) | byte
-            place = np.minimum(np.searchsorted(self.pairs[level], pair), len(self.pairs[level]) - 1)
-            known = self.pairs[level][place] == pair
-            out[rows] = self.logs[level][place]
-            if not known.all():
-                new = ~known
-                out[rows[new]] = self._mixed(level, context[new], byte[new])
+            out[open_[hit]] = self._mixed(level, context[hit], keys[open_[hit]] & 0xFF)
             open_ = open_[~hit]
         return out
 
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """log10 of the chance of each byte after its context, both in one number as ``grams`` gives it; worked out once for each."""
+        known, logs = self.known
+        place = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        new = known[place] != keys if len(known) else np.ones(len(keys), bool)
+        if new.any():
+            more = np.unique(keys[new])
+            known, logs = np.append(known, more), np.append(logs, self._computed(more))
+            order = np.argsort(known, kind="stable")
+            known, logs = self.known = known[order], logs[order]
+            place = np.searchsorted(known, keys)
+        return logs[place] if len(keys) else np.zeros(0)
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 of the chance of each text and its end."""
         keys, sizes = grams(texts, self.depth)
-        if not len(sizes):
-            return np.zeros(0)
-        different, back = np.unique(keys, return_inverse=True)
-        return np.add.reduceat(self.log10(different)[back], np.cumsum(sizes) - sizes)
-
-    def size(self) -> int:
-        """Bytes of the arrays that scoring needs."""
-        return sum(a.nbytes for part in (self.contexts, self.keys, self.pairs, self.logs, self.counts, self.own, self.rest) for a in part)
+        return sums(self.log10(keys), sizes)
+
+
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the values of each text, of which there is one at least."""
+    return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)

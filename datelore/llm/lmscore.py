@@ -1,9 +1,15 @@
-"""Scoring texts with a context-tree language model, beside a plain count of words."""
+"""Scoring texts with a context-tree language model, beside a plain count of words.
+
+The model is a table: the grams (a byte after ``depth`` others) of the corpus and their counts, dealt to buckets by
+the last bytes of the context, so that a bucket holds whole branches of the tree. Its size follows the corpus. Texts
+ask for the grams they hold, each once for a block of texts, and get their logarithms back from the bucket's branches.
+"""
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,21 +18,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datelore.llm.common import LOWER_BYTES, extend, saved, slices, texts_of
-from datelore.llm.contexttree import ContextTree, grams
+from datelore.llm.contexttree import ContextTree, Level, grams, sums
 
 #: Different grams a task holds before it hands them on.
-HELD = 3_000_000
+HELD = 1_500_000
+#: Different words likewise.
+HELD_WORDS = 300_000
+#: Bytes of text for each bucket of grams.
+BUCKET_BYTES = 8 << 20
+#: Bytes of the context that tell a branch, and so the levels above branches: contexts of 0 to 2 bytes.
+CUT = 3
+#: Bytes of a block of texts, which asks for each of its grams once; a longer text is a block of its own.
+BLOCK_BYTES = 16 << 20
+#: A context is a node of its own if it was seen at least so often.
+LEAST = 2
 
 
 @dataclass
 class LanguageModel:
     """A context tree and the counts of words it was learnt beside.
 
-    ``words`` is the whole table of training words with their counts, ``frequent`` those that
+    ``branches(bucket, grams, n)`` is the table of all grams, sorted, one row for each bucket; ``top`` the levels of contexts
+    shorter than ``cut``. ``words`` is the whole table of training words with their counts, ``frequent`` those that
     make up at least one token in ``frequent`` of ``fit``, of which there are no more than that many.
     """
 
-    tree: ContextTree
+    depth: int
+    buckets: int
+    branches: DataFrame
+    top: list[Level]
     words: DataFrame
     frequent: dict[bytes, int]
     tokens: int
@@ -46,28 +66,45 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def corpus_counts(df: DataFrame, text: str, depth: int) -> DataFrame:
-    """How often each gram (a byte after ``depth`` others) and each word stands in the texts: ``(gram, word, n)``."""
+def cut_of(depth: int) -> int:
+    return min(CUT, depth)
+
+
+def by_bucket(keys: np.ndarray, depth: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Which of some sorted grams belong to each bucket, still in order. All contexts with the same last bytes share one."""
+    ending = (keys >> 8) & ((1 << 8 * cut_of(depth)) - 1)
+    bucket = ((ending.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def corpus_counts(df: DataFrame, text: str, depth: int, buckets: int) -> DataFrame:
+    """``(bucket, grams, n, word, times)``: how often each gram and each word stands in the texts, summed in tasks as far as they hold them.
+
+    Grams come as sorted lists for each bucket, packed as longs; words one by one.
+    """
 
     def count(batches):
         parts, words = [], Counter()
 
+        def table(size, bucket=None, packed=None, n=None, word=None, times=None):
+            columns = [(bucket, pa.int32()), (packed, pa.binary()), (n, pa.binary()), (word, pa.binary()), (times, pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.nulls(size, k) if c is None else pa.array(c, k) for c, k in columns], names=["bucket", "grams", "n", "word", "times"])
+
         def out(final: bool):
             nonlocal parts, words
             if parts:
                 parts = [_merged(parts)]
                 if final or len(parts[0][0]) > HELD // 2:
                     keys, n = parts.pop()
-                    for a in range(0, len(keys), 100_000):
-                        some = keys[a : a + 100_000]
-                        yield table(pa.array(some), pa.nulls(len(some), pa.binary()), pa.array(n[a : a + 100_000]))
-            if words and (final or len(words) > HELD // 10):
-                yield table(pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64()))
+                    for bucket, at in by_bucket(keys, depth, buckets):
+                        yield table(1, [bucket], [keys[at].tobytes()], [n[at].tobytes()])
+            if words and (final or len(words) > HELD_WORDS):
+                yield table(len(words), word=list(words), times=list(words.values()))
                 words = Counter()
 
-        def table(*columns):
-            return pa.RecordBatch.from_arrays(list(columns), names=["gram", "word", "n"])
-
         held = 0
         for batch in batches:
             for part in slices(batch, "text"):
@@ -76,58 +113,223 @@ def corpus_counts(df: DataFrame, text: str, depth: int) -> DataFrame:
                 held += len(parts[-1][0])
                 for x in texts:
                     words.update(x.split())
-                if held > HELD or len(words) > HELD // 10:
+                if held > HELD or len(words) > HELD_WORDS:
                     yield from out(False)
                     held = sum(len(k) for k, _ in parts)
         yield from out(True)
 
-    counted = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "gram long, word binary, n long")
-    return saved(counted.groupBy("gram", "word").agg(F.sum("n").alias("n")), "counts")
+    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "bucket int, grams binary, n binary, word binary, times long")
+
+
+def _longs(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.int64)
 
 
-def fit(df: DataFrame, learn: Column, text: str = "text", depth: int = 6, contexts: int = 1 << 17, frequent: int = 1 << 19) -> LanguageModel:
+def merged_buckets(counts: DataFrame) -> DataFrame:
+    """One row for each bucket of ``counts(bucket, grams, n)``, with all its grams and their sums."""
+
+    def merge(batches):
+        key, parts = None, []
+
+        def row():
+            keys, n = _merged(parts)
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["bucket", "grams", "n"])
+
+        for batch in batches:
+            for bucket, packed, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != key and parts:
+                    yield row()
+                    parts = []
+                key = bucket
+                parts.append((_longs(packed), _longs(n)))
+                if len(parts) > 1 and sum(len(k) for k, _ in parts[1:]) > max(HELD, len(parts[0][0])):
+                    parts = [_merged(parts)]
+        if parts:
+            yield row()
+
+    dealt = counts.select("bucket", "grams", "n").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(merge, "bucket int, grams binary, n binary")
+
+
+def branch(depth: int, keys: np.ndarray, n: np.ndarray, top: list[Level] | None = None) -> ContextTree:
+    """The tree of the grams of a bucket below the levels ``top``: contexts seen at least ``LEAST`` times are nodes.
+
+    Without ``top`` it can be weighed but not asked.
+    """
+    top = [None] * cut_of(depth) if top is None else top
+    byte, rows = keys & 0xFF, []
+    for d in range(cut_of(depth), depth + 1):
+        pair, place = np.unique((((keys >> 8) & ((1 << 8 * d) - 1)) << 8) | byte, return_inverse=True)
+        number = np.bincount(place, n, len(pair)) if len(pair) else np.zeros(0)
+        context, at = np.unique(pair >> 8, return_inverse=True)
+        often = (np.bincount(at, number, len(context)) >= LEAST)[at] if len(pair) else np.zeros(0, bool)
+        rows.append((np.full(often.sum(), d), pair[often] >> 8, pair[often] & 0xFF, number[often]))
+    return ContextTree(depth, *(np.concatenate(c) for c in zip(*rows)), top=top)
+
+
+def top_levels(branches: DataFrame, depth: int) -> list[Level]:
+    """The levels above the branches, weighed.
+
+    What they need of the branches is summed up by Spark for each context of ``CUT - 1`` bytes and following byte or
+    prefix, which are 65,536 x 511 at most however large the corpus, and some hundred thousand in real texts.
+    """
+    cut = cut_of(depth)
+    if not cut:
+        return []
+    mask = (1 << 8 * (cut - 1)) - 1
+
+    def tell(batches):
+        for batch in batches:
+            for packed, n in zip(batch.column("grams").to_pylist(), batch.column("n").to_pylist()):
+                keys, n = _longs(packed), _longs(n)
+                pair, place = np.unique(keys & ((mask << 8) | 0xFF), return_inverse=True)
+                parent, prefix, told = branch(depth, keys, n).levels[cut].below()
+                spot, where = np.unique((parent << 8) | prefix, return_inverse=True)
+                added = [np.bincount(where, w, len(spot)) if len(spot) else np.zeros(0) for w in told]
+                size = len(pair)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.append(np.zeros(size, bool), np.ones(len(spot), bool))),
+                        pa.array(np.append(pair, spot)),
+                        *[pa.array(np.append(a, b)) for a, b in zip((np.bincount(place, n, size), np.zeros(size), np.zeros(size)), added)],
+                    ],
+                    names=["below", "key", "x", "y", "z"],
+                )
+
+    found = branches.mapInArrow(tell, "below boolean, key long, x double, y double, z double").groupBy("below", "key").agg(*[F.sum(c).alias(c) for c in "xyz"]).toArrow()
+    below, key, x, y, z = (c.to_numpy() for c in found.columns)
+    below = below.astype(bool)
+    levels, pair, n = [], key[~below], x[~below]
+    for d in range(cut):
+        pairs, place = np.unique(pair & ((((1 << 8 * d) - 1) << 8) | 0xFF), return_inverse=True)
+        number = np.bincount(place, n, len(pairs)) if len(pairs) else np.zeros(0)
+        context, at = np.unique(pairs >> 8, return_inverse=True)
+        often = (np.bincount(at, number, len(context)) >= LEAST)[at] if len(pairs) else np.zeros(0, bool)
+        levels.append(Level(d, pairs[often] >> 8, pairs[often] & 0xFF, number[often]))
+    told = key[below] >> 8, key[below] & 0xFF, np.stack([x[below], y[below], z[below]])
+    for level in reversed(levels):
+        level.weigh(told)
+        told = level.below() if level.depth else None
+    return levels
+
+
+def fit(df: DataFrame, learn: Column, text: str = "text", depth: int = 6, frequent: int = 1 << 19) -> LanguageModel:
     """Learn from all texts where ``learn`` holds; A-Z count as a-z, null as empty.
 
-    Grams and words are counted in tasks, then by Spark. A context is a node of the tree if it holds
-    at least one byte in ``contexts``, so a depth has at most that many nodes, with up to 256
-    following bytes each; these are gathered, the rest of the counts stays in the shared folder.
+    All grams are counted, in tasks and then by bucket, and all of them are the model: a context seen twice or more is a
+    node of its own, at any depth and in a corpus of any size. The number of buckets follows the bytes of
+    text. Without training texts there are no grams, and each byte has an even chance.
     """
-    counts = corpus_counts(df.filter(learn), text, depth)
-    last = F.col("gram").bitwiseAND(F.lit(255))
-    total = counts.agg(
-        F.sum(F.when(F.col("gram").isNotNull(), F.col("n"))).alias("bytes"),
-        F.sum(F.when(F.col("gram").isNotNull() & (last == 255), F.col("n"))).alias("documents"),
-        F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("words"),
-        F.count("word").alias("distinct"),
-    ).first()
-    documents = total["documents"] or 0
+    held = df.filter(learn)
+    size = held.agg(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0
+    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    counts = saved(corpus_counts(held, text, depth, buckets), "counts")
+    branches = saved(merged_buckets(counts.filter("grams is not null")), "branches")
+    top = top_levels(branches, depth)
+    words = saved(counts.filter("word is not null").groupBy("word").agg(F.sum("times").alias("c")), "words")
+    total = words.agg(F.sum("c").alias("words"), F.count(F.lit(1)).alias("distinct")).first()
+    documents = held.count()
     tokens, distinct = (total["words"] or 0) + documents, total["distinct"] + (documents > 0)
+    often = words.filter(F.col("c") >= max(tokens / frequent, 1)).toArrow()
+    return LanguageModel(depth, buckets, branches, top, words, dict(zip(often.column("word").to_pylist(), often.column("c").to_pylist())), tokens, distinct, documents)
+
+
+def asked_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """``(bucket, block, grams)``: the different grams of each block of ``texts(block, text)``, rows of a block side by side."""
+
+    def ask(batches):
+        key, parts, held = None, [], 0
+
+        def out():
+            nonlocal parts, held
+            if parts:
+                keys = np.unique(np.concatenate(parts))
+                for bucket, at in by_bucket(keys, depth, buckets):
+                    columns = [pa.array([bucket], pa.int32()), pa.array([key], pa.int64()), pa.array([keys[at].tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "grams"])
+            parts, held = [], 0
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                blocks, texts = part.column("block").to_numpy(), lowered(part, "text")
+                cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(texts)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if blocks[a] != key:
+                        yield from out()
+                        key = int(blocks[a])
+                    parts.append(np.unique(grams(texts[a:b], depth)[0]))
+                    held += len(parts[-1])
+                    if held > HELD:
+                        parts = [np.unique(np.concatenate(parts))]
+                        held = len(parts[0])
+                        if held > HELD // 2:
+                            yield from out()
+        yield from out()
+
+    return texts.mapInArrow(ask, "bucket int, block long, grams binary")
+
+
+def answered_grams(asked: DataFrame, model: LanguageModel) -> DataFrame:
+    """``(block, grams, logs)``: log10 of the chance of each gram asked for, from the branches of its bucket."""
+    depth, top = model.depth, model.top
+    none = F.lit(None).cast("binary")
+    rows = model.branches.select("bucket", F.lit(-1).cast("long").alias("block"), "grams", "n").union(asked.select("bucket", "block", "grams", none.alias("n")))
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("n").isNull())
+
+    def answer(batches):
+        key, tree = None, None
+        for batch in batches:
+            for bucket, block, packed, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != key:
+                    key, tree = bucket, None
+                if n is not None:
+                    tree = branch(depth, _longs(packed), _longs(n), top)
+                    tree.log10(_longs(packed))
+                    continue
+                if tree is None:  # nothing was learnt in this bucket
+                    tree = branch(depth, np.zeros(0, np.int64), np.zeros(0, np.int64), top)
+                logs = tree.log10(_longs(packed))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed], pa.binary()), pa.array([logs.tobytes()], pa.binary())], names=["block", "grams", "logs"])
+
+    return dealt.mapInArrow(answer, "block long, grams binary, logs binary")
+
+
+def text_scores(texts: DataFrame, model: LanguageModel) -> DataFrame:
+    """``(row, score)`` for ``texts(block, row, text)``: log10 of the chance of each text and its end by the tree.
+
+    A block's answers, of as many grams as its texts hold, come before its texts, which are scored as they pass.
+    """
+    depth = model.depth
+    answers = answered_grams(asked_grams(texts.select("block", "text"), depth, model.buckets), model)
+    empty = F.lit(None)
+    rows = answers.select("block", "grams", "logs", empty.cast("long").alias("row"), empty.cast("string").alias("text")).union(
+        texts.select("block", empty.cast("binary").alias("grams"), empty.cast("binary").alias("logs"), "row", F.coalesce("text", F.lit("")).alias("text"))
+    )
+    dealt = rows.repartition("block").sortWithinPartitions("block", F.col("grams").isNull())
 
-    def context(width: int) -> Column:
-        return F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * width) - 1))
-
-    longest = counts.filter("gram is not null").select(F.lit(depth).alias("d"), context(depth).alias("c"), last.alias("x"), "n", "gram")
-    levels = [longest.drop("gram")]
-    if depth:
-        shorter = longest.groupBy(context(depth - 1).alias("c"), "x").agg(F.sum("n").alias("n"))
-        shorter = saved(shorter, "counts")
-        levels.append(shorter.select(F.lit(depth - 1).alias("d"), "c", "x", "n"))
-        if depth > 1:
-            below = [F.struct(F.lit(w).alias("d"), F.col("c").bitwiseAND(F.lit((1 << 8 * w) - 1)).alias("c")) for w in range(depth - 1)]
-            spread = shorter.select(F.explode(F.array(*below)).alias("at"), "x", "n")
-            levels.append(spread.groupBy("at.d", "at.c", "x").agg(F.sum("n").alias("n")).select("d", "c", "x", "n"))
-    nodes = []
-    for level in levels:
-        large = level.groupBy("d", "c").agg(F.sum("n").alias("all")).filter(F.col("all") >= (total["bytes"] or 0) / contexts).select("d", "c")
-        nodes.append(level.join(large, ["d", "c"], "left_semi"))
-    rows = nodes[0]
-    for more in nodes[1:]:
-        rows = rows.unionByName(more)
-    found = rows.toArrow()
-    tree = ContextTree(depth, *[found.column(c).to_numpy().astype(np.int64) for c in ("d", "c", "x", "n")])
-    words = counts.filter("word is not null").select("word", F.col("n").alias("c"))
-    top = words.filter(F.col("c") >= max(tokens / frequent, 1)).toArrow()
-    return LanguageModel(tree, words, dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist())), tokens, distinct, documents)
+    def score(batches):
+        key, parts, keys, logs = None, [], None, None
+        for batch in batches:
+            for part in slices(batch, "text"):
+                blocks, packed = part.column("block").to_numpy(), part.column("grams")
+                is_text = part.column("text").is_valid().to_numpy(zero_copy_only=False)
+                new = (np.diff(blocks) != 0) | (np.diff(is_text.astype(np.int8)) != 0)
+                cuts = [0, *(np.flatnonzero(new) + 1).tolist(), part.num_rows]
+                for a, b in zip(cuts, cuts[1:]):
+                    if blocks[a] != key:
+                        key, parts, keys = int(blocks[a]), [], None
+                    some = part.slice(a, b - a)
+                    if not is_text[a]:
+                        parts += [(_longs(g), np.frombuffer(x)) for g, x in zip(packed.slice(a, b - a).to_pylist(), some.column("logs").to_pylist())]
+                        continue
+                    if keys is None:
+                        keys, first = np.unique(np.concatenate([k for k, _ in parts]), return_index=True)
+                        logs, parts = np.concatenate([x for _, x in parts])[first], []
+                    asked, sizes = grams(lowered(some, "text"), depth)
+                    found = sums(logs[np.searchsorted(keys, asked)], sizes)
+                    yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(found)], names=["row", "score"])
+
+    return dealt.mapInArrow(score, "row long, score double")
 
 
 def score_texts(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -139,15 +341,21 @@ def score_texts(df: DataFrame, model: LanguageModel, text: str = "text") -> Data
     and have one token; rows that repeat are scored alike; columns with these names are replaced.
 
     Frequent words are counted where the text is; the others meet the table of words in a
-    join, as one row for each document and word, and come back as sums by row.
+    join, as one row for each document and word, and come back as sums by row. The tree is asked by blocks of
+    texts, see ``text_scores``; an empty table gives no rows.
     """
-    tree, frequent = model.tree, {w: model.log_share(c) for w, c in model.frequent.items()}
+    frequent = {w: model.log_share(c) for w, c in model.frequent.items()}
     end = model.log_share(model.documents)
     end_known = int(model.documents > 0)
-    outputs = "n_tokens long, near_known long, near_base double, score double, n_bytes long, rare array<binary>, times array<long>"
+    outputs = "n_tokens long, near_known long, near_base double, n_bytes long, block long, rare array<binary>, times array<long>"
+
+    open_block = {"bytes": BLOCK_BYTES, "first": 0}  # each task has its own
 
     def compute(batch):
         texts = lowered(batch, text)
+        if open_block["bytes"] >= BLOCK_BYTES:
+            open_block.update(bytes=0, first=batch.column("row")[0].as_py())
+        open_block["bytes"] += sum(map(len, texts))
         lines = []
         for x in texts:
             words = Counter(x.split())
@@ -164,14 +372,16 @@ def score_texts(df: DataFrame, model: LanguageModel, text: str = "text") -> Data
         columns = list(zip(*lines)) if lines else [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
         n_tokens, known, base, rare, times = (pa.array(c, kind) for c, kind in zip(columns, kinds))
-        return [n_tokens, known, base, pa.array(tree.score(texts)), pa.array([len(x) + 1 for x in texts], pa.int64()), rare, times]
+        return [n_tokens, known, base, pa.array([len(x) + 1 for x in texts], pa.int64()), pa.array([open_block["first"]] * len(texts), pa.int64()), rare, times]
 
     named = ["n_known", "train_tokens", "base_score", "bits_per_byte"]
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in named])
     others = [c for c in kept.columns if c != text and c.lower() not in ("n_tokens", "score")]
     # Numbers of rows are only relied on after they are written down.
     packed = kept.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("kept"), F.col(f"`{text}`").alias(text), F.monotonically_increasing_id().alias("row"))
-    near = saved(extend(packed, text, outputs, compute).drop(text), "scores")
+    near = saved(extend(packed, text, outputs, compute), "scores")
+    by_tree = text_scores(near.select("block", "row", F.col(text).alias("text")), model)
+    near = near.drop(text)
 
     rare = near.select("row", F.explode(F.arrays_zip("rare", "times")).alias("at")).select("row", F.col("at.rare").alias("word"), F.col("at.times").alias("n"))
     joined = rare.join(model.words, "word", "left")
@@ -179,7 +389,7 @@ def score_texts(df: DataFrame, model: LanguageModel, text: str = "text") -> Data
     far = joined.groupBy("row").agg(
         F.sum(F.col("n") * share).alias("far_base"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("far_known")
     )
-    return near.join(far, "row", "left").select(
+    return near.join(by_tree, "row").join(far, "row", "left").select(
         *[F.col("kept")[c].alias(c) for c in others],
         "n_tokens",
         (F.col("near_known") + F.coalesce("far_known", F.lit(0))).alias("n_known"),

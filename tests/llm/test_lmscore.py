@@ -11,6 +11,9 @@ from datelore.llm import lmscore
 from datelore.llm.contexttree import EDGE, ContextTree, grams
 
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def plain_tree(texts, depth):
     """P(byte | context) by the textbook recursion, all contexts being nodes."""
     counts = Counter()
@@ -99,7 +102,53 @@ def test_base_scores_and_odd_rows(odd, rows, nothing, monkeypatch):
     assert {r["n_known"] for r in blank} == {0} and all(math.isclose(r["bits_per_byte"], 8) for r in blank)
 
 
-def test_corpus_counts_do_not_depend_on_parts(odd, monkeypatch):
-    whole = {tuple(r) for r in lmscore.corpus_counts(odd, "text", 3).collect()}
-    parts = {tuple(r) for r in lmscore.corpus_counts(odd.repartition(9), "text", 3).collect()}
-    assert whole == parts
+def test_counts_do_not_depend_on_parts(odd, monkeypatch):
+    def counted(rows, buckets):
+        found = lmscore.merged_buckets(lmscore.corpus_counts(rows, "text", 3, buckets).filter("grams is not null"))
+        return sorted(x for r in found.collect() for x in zip(np.frombuffer(r["grams"], np.int64).tolist(), np.frombuffer(r["n"], np.int64).tolist()))
+
+    whole = counted(odd, 1)
+    keys, n = np.unique(grams([(r["text"] or "").translate(LOWER).encode() for r in odd.collect()], 3)[0], return_counts=True)
+    assert whole == list(zip(keys.tolist(), n.tolist()))
+    assert counted(odd.repartition(9), 5) == whole
+    monkeypatch.setattr(lmscore, "HELD", 50)
+    assert counted(odd.repartition(2), 3) == whole
+
+
+def test_spark_scores_equal_the_plain_recursion(spark, monkeypatch):
+    """Every context stands twice, so every context is a node of the textbook's tree."""
+    texts = ["abracadabra", "banana band", "cab", "bandana"] * 2
+    plain = plain_tree([t.encode() for t in texts], 4)
+    asked = ["abra", "banana", "", "abracadabra band"]
+
+    def score(text):
+        padded = bytes([EDGE]) * 4 + text.encode() + bytes([EDGE])
+        chance = [plain(padded[i - 4 : i], padded[i]) for i in range(4, len(padded))]
+        return None if min(chance) <= 0 else sum(map(math.log10, chance))
+
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", 20)
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 10)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + asked)], "doc_id long, text string").repartition(3)
+    model = lmscore.fit(docs, F.col("doc_id") < len(texts), depth=4)
+    found = {r["text"]: r["score"] for r in lmscore.score_texts(docs, model).join(docs.withColumnRenamed("doc_id", "i"), F.col("doc_id") == F.col("i")).collect()}
+    for t in {*texts, "abra", "banana", ""}:
+        assert math.isclose(found[t], score(t), rel_tol=1e-6), t
+
+
+def test_branches_equal_the_whole_tree(spark, sample, monkeypatch):
+    """Buckets, blocks and levels in Spark give what one tree of all nodes gives, and nodes grow with the corpus."""
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", 40_000)
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 30_000)
+    docs = spark.read.parquet(f"{sample}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: (r["text"] or "").translate(LOWER).encode() for r in docs.collect()}
+    nodes = []
+    for least in (150, 50):
+        model = lmscore.fit(docs, F.col("doc_id") >= least)
+        whole = tree_of([t for i, t in texts.items() if i >= least], 6, 2)
+        found = {r["doc_id"]: r["score"] for r in lmscore.score_texts(docs, model).select("doc_id", "score").collect()}
+        wanted = dict(zip(texts, whole.score(list(texts.values())).tolist()))
+        assert len(found) == len(wanted) and all(math.isclose(found[i], w, rel_tol=1e-9) for i, w in wanted.items())
+        held = [lmscore.branch(6, np.frombuffer(r["grams"], np.int64), np.frombuffer(r["n"], np.int64)) for r in model.branches.collect()]
+        nodes.append(sum(len(level.contexts) for tree in held for level in tree.levels[3:]))
+        assert nodes[-1] + sum(len(level.contexts) for level in model.top) == sum(len(level.contexts) for level in whole.levels)
+    assert nodes[1] > 1.5 * nodes[0]
