@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of candidates, and queries of a block of queries.
 BLOCK, QUERIES = 4096, 256
-#: Groups of candidate blocks; every block of queries is sent to each once.
-PARTS = 32
+#: Candidates of a part, which a task holds while all queries pass by; small tables are cut finer, into so many parts.
+PART_ROWS, LEAST_PARTS = 1 << 16, 64
 SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1
 
 
@@ -162,43 +163,54 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", vec
 
     The score is the Euclidean distance of the original vectors; ties go to the smaller id; with fewer
     rows there are fewer answers. Vectors that are null, zero, of another length than most or not finite
-    take no part, nor do null ids; of rows with the query's own id none answers it; rows that repeat
-    another id each count. An empty table gives no rows.
+    take no part, nor do null ids. Query rows that repeat an id ask once, with the smallest usable vector
+    of that id; no row with the query's own id answers it; rows that repeat another id each
+    count. An empty table gives no rows.
 
-    Every block of candidates meets every block of queries in a join by group of blocks,
-    and a meeting leaves at most ``k`` rows for each query. A row is measured unless its bound
-    proves it too far, so no number of candidates is fixed.
+    Candidates are dealt to parts of a bounded number of rows, whose number follows the table; a task holds the codes and
+    vectors of its part and all queries pass by, which leaves at most ``k`` rows for each query and part. A
+    row is measured unless its bound proves it too far, so no number of candidates is fixed.
     """
     rotation = rotation or fit_rotation(df, vector)
     if rotation is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    base = code_blocks(df, rotation, id, vector).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(PARTS)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))
-    asked = query_blocks(df.filter(queries), rotation, id, vector).withColumn("part", every)
+    rows = df.count()
+    parts = max(math.ceil(rows / PART_ROWS), min(math.ceil(rows / BLOCK), LEAST_PARTS), 1)
+    base = code_blocks(df, rotation, id, vector).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
+    values = F.col(f"`{vector}`")
+    sound = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(values, lambda x: x != 0)
+    own = df.filter(queries & sound & (F.size(values) == rotation.dimension)).groupBy(F.col(f"`{id}`").alias(id)).agg(F.min(values).alias(vector))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    asked = query_blocks(own, rotation, id, vector).withColumn("part", every)
+    none = F.lit(None).cast("binary")
+    packed = ["ids", "codes", "factors", "vectors"]
+    both = base.select("part", *packed, none.alias("query_ids"), none.alias("queries")).union(asked.select("part", *[none.alias(c) for c in packed], "query_ids", "queries"))
+    dealt = both.repartition(parts, "part").sortWithinPartitions("part", F.col("ids").isNull())
 
     def search(batches):
+        part, blocks = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], "<i8")
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                factors = np.frombuffer(row["factors"], "<f8").reshape(len(ids), 2)
-                width = len(row["vectors"]) // len(ids) // rotation.dimension
-                vectors = np.frombuffer(row["vectors"], f"<f{width}").reshape(len(ids), -1)
+                if row["part"] != part:
+                    part, blocks = row["part"], []
+                if row["ids"] is not None:
+                    ids = np.frombuffer(row["ids"], "<i8")
+                    width = len(row["vectors"]) // len(ids) // rotation.dimension
+                    codes, factors = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["factors"], "<f8").reshape(len(ids), 2)
+                    blocks.append((ids, codes, factors, np.frombuffer(row["vectors"], f"<f{width}").reshape(len(ids), -1)))
+                    continue
                 query_ids = np.frombuffer(row["query_ids"], "<i8")
-                asked = np.frombuffer(row["queries"], "<f8").reshape(len(query_ids), -1)
-                norms, turned = rotation.turned(asked)
-                found = [
-                    (q, *nearest_in_block(rotation, k, ids, codes, factors, vectors, q, asked[i], norms[i], turned[i])) for i, q in enumerate(query_ids.tolist())
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([q for q, _, _ in found], [len(x) for _, x, _ in found]).astype(np.int64)),
-                        pa.array(np.concatenate([x for _, x, _ in found])),
-                        pa.array(np.concatenate([y for _, _, y in found])),
-                    ],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    met = base.join(asked, "part").drop("part").mapInArrow(search, "query_id long, vec_id long, score double")
+                vectors = np.frombuffer(row["queries"], "<f8").reshape(len(query_ids), -1)
+                norms, turned = rotation.turned(vectors)
+                found = []
+                for i, q in enumerate(query_ids.tolist()):
+                    near = [nearest_in_block(rotation, k, *block, q, vectors[i], norms[i], turned[i]) for block in blocks]
+                    ids, distance = (np.concatenate([x[j] for x in near] or [np.zeros(0)]) for j in (0, 1))
+                    first = np.lexsort((ids, distance))[:k]
+                    found.append((np.full(len(first), q), ids[first], distance[first]))
+                columns = [np.concatenate([x[j] for x in found] or [np.zeros(0)]) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.float64))], names=["query_id", "vec_id", "score"])
+
+    met = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -58,3 +58,16 @@ def test_odd_vectors_ties_and_few_rows(spark, monkeypatch):
     assert few.groupBy("query_id").count().filter("count = 2").count() == 3
     assert {r["vec_id"] for r in rotated.nearest(df, F.col("vec_id") == 0, k=3).collect()}.isdisjoint({0})
     assert rotated.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_repeated_query_rows_ask_once(spark, monkeypatch):
+    """Rows that repeat, also the query's own, and an id with several vectors."""
+    monkeypatch.setattr(rotated, "BLOCK", 4)
+    rows = [(i, [float(i), 1.0]) for i in range(30)]
+    again = rows[:1] * 3 + rows[5:6] + [(0, None), (0, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows + again, "vec_id long, embedding array<double>").repartition(4)
+    found = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rotated.nearest(df, F.col("vec_id") % 20 == 0, k=6).orderBy("query_id", "rank").collect()]
+    assert [r[:3] for r in found if r[0] == 0] == [(0, i + 1, v) for i, v in enumerate([1, 2, 3, 4, 5, 5])]
+    assert [r[2] for r in found if r[0] == 20] == [19, 21, 18, 22, 17, 23]
+    several = df.filter("vec_id <> 0").union(spark.createDataFrame([(0, [9.5, 1.0]), (0, [3.0, 1.0])], df.schema))
+    assert [r["vec_id"] for r in rotated.nearest(several, F.col("vec_id") == 0, k=3).orderBy("rank").collect()] == [3, 2, 4]
