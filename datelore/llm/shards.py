@@ -21,6 +21,8 @@ from datelore.llm.common import saved, texts_of
 from datelore.llm.words import word_encoder
 
 NO_ID = -(1 << 63)
+#: Documents that a task reads back; a shard with more is read by several.
+PIECE = 4096
 
 
 def file_system(uri: str):
@@ -75,29 +77,40 @@ def write_token_shards(df: DataFrame, folder: str, vocabulary: str, end_id: int
 def read_token_shards(shards: DataFrame, folder: str, id: str = "doc_id") -> DataFrame:
     """One row for each document of the files: id, ``start`` (ids before it in all shards), ``n_tokens`` and ``ids`` (unsigned 32-bit little-endian).
 
-    Bases are the prefix sums over the table of shards, one row each; shards are read side by
-    side, memory-mapped where the folder is a local or mounted one.
+    Bases are the prefix sums over the table of shards, one row each. Shards are cut into ranges of ``PIECE``
+    documents, each of which is a task of its own, as many as there are; files are memory-mapped where the
+    folder is a local or mounted one, else the bytes of the range are read. No shards give no rows.
     """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    firsts = F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(PIECE).cast("long"))
+    pieces = saved(based.withColumn("first", F.explode(firsts)), "pieces")
+    tasks = max(pieces.count(), 1)
 
     def read(batches):
         files, path = file_system(folder)
         local = folder.startswith("file:")
 
-        def numbers(name: str, kind: str, dtype: str):
+        def numbers(name: str, kind: str, dtype: str, a: int, b: int):
+            """The numbers from ``a`` to ``b`` of a file."""
+            size = np.dtype(dtype).itemsize
+            if b <= a:
+                return np.zeros(0, dtype)
             if local:
-                return np.memmap(f"{path}/{name}.{kind}", dtype, "r")
-            return np.frombuffer(files.open_input_file(f"{path}/{name}.{kind}").read_buffer(), dtype)
+                return np.memmap(f"{path}/{name}.{kind}", dtype, "r", a * size, (b - a,))
+            with files.open_input_file(f"{path}/{name}.{kind}") as file:
+                return np.frombuffer(file.read_at((b - a) * size, a * size), dtype)
 
         for batch in batches:
             for row in batch.to_pylist():
-                offsets, docs = numbers(row["name"], "offsets", "<i8"), numbers(row["name"], "docs", "<i8")
-                tokens = numbers(row["name"], "tokens", f"<u{row['bits'] // 8}") if row["n_tokens"] else np.zeros(0, "<u4")
+                first, last = row["first"], min(row["first"] + PIECE, row["n_docs"])
+                offsets, docs = numbers(row["name"], "offsets", "<i8", first, last + 1), numbers(row["name"], "docs", "<i8", first, last)
+                opening = int(offsets[0])
+                tokens = numbers(row["name"], "tokens", f"<u{row['bits'] // 8}", opening, int(offsets[-1]))
                 for a in range(0, len(docs), 1000):
                     some = np.array(docs[a : a + 1000])
                     cuts = np.array(offsets[a : a + len(some) + 1])
-                    flat = tokens[cuts[0] : cuts[-1]].astype("<u4").tobytes()
+                    flat = tokens[cuts[0] - opening : cuts[-1] - opening].astype("<u4").tobytes()
                     at = 4 * (cuts - cuts[0])
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -109,4 +122,4 @@ def read_token_shards(shards: DataFrame, folder: str, id: str = "doc_id") -> Dat
                         names=[id, "start", "n_tokens", "ids"],
                     )
 
-    return based.repartition("shard").mapInArrow(read, f"`{id}` long, start long, n_tokens long, ids binary")
+    return pieces.repartitionByRange(tasks, "shard", "first").mapInArrow(read, f"`{id}` long, start long, n_tokens long, ids binary")
