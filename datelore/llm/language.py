@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datelore.llm.common import extend, texts_of
@@ -20,10 +20,15 @@ CHARS_AT_ONCE = 1 << 20
 
 @dataclass
 class Settings:
-    """``buckets`` bounds the model, ``sample_per_class`` the labelled rows it is fitted on (in expectation; drawn by hash)."""
+    """``buckets`` bounds the model; ``sample_per_class`` and ``sample_bytes`` (for all classes) bound the labelled rows it is fitted on.
+
+    The model and what it is fitted with grow with the number of classes, of which there are ``classes`` at most.
+    """
 
     buckets: int = 1 << 15
     sample_per_class: int = 1000
+    sample_bytes: int = 128 << 20
+    classes: int = 1000
     longest: int = 3
     epochs: int = 3
     alpha: float = 0.3
@@ -154,9 +159,11 @@ def fit_language_model(df: DataFrame, learn: Column, text: str = "text", lang: s
     """Learn from the rows where ``learn`` holds and ``lang`` is not null.
 
     Document frequencies cover all of them: tasks add up their own and Spark sums these by
-    bucket. The weights are fitted on about ``sample_per_class`` rows of each class, drawn by a
-    hash of id and text, a fifth of which only sets the temperature. Texts without letters teach
-    nothing. Without labelled rows the model has no classes and answers ``und``.
+    bucket. The weights are fitted on up to ``sample_per_class`` different rows of each class, those with the
+    smallest hash of id and text, as far as their n-grams fit into the class's share of ``sample_bytes``; a
+    fifth of them only sets the temperature. Rows that repeat in id, text and language count once in
+    the sample. Texts without letters teach nothing. Without labelled rows the model has no classes and
+    answers ``und``. More than ``classes`` languages are an error.
     """
     s = settings or Settings()
     rows = df.filter(learn & F.col(f"`{lang}`").isNotNull()).select(
@@ -164,6 +171,8 @@ def fit_language_model(df: DataFrame, learn: Column, text: str = "text", lang: s
     )
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     classes = sorted(sizes)
+    if len(classes) > s.classes:
+        raise ValueError(f"{len(classes)} languages to learn; the setting allows {s.classes}")
 
     def frequencies(batches):
         found, docs = np.zeros(s.buckets, np.int64), 0
@@ -188,11 +197,14 @@ def fit_language_model(df: DataFrame, learn: Column, text: str = "text", lang: s
                 out.append((index.astype("<i4").tobytes(), counts[index].astype("<i4").tobytes()) if has_letter(x) else (b"", b""))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["lang", "draw", "at", "n"])
 
-    share = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(False)
-    for c, n in sizes.items():
-        wanted = wanted | ((F.col("lang") == c) & (share < min(1.0, s.sample_per_class / n)))
-    sample = rows.filter(wanted).mapInArrow(sampled, "lang string, draw long, at binary, n binary").collect() if classes else []
+    # A row brings eight bytes for each different n-gram.
+    weight = 8 * F.least(F.char_length("text") * s.longest + s.longest, F.lit(s.buckets))
+    once = rows.filter("text is not null").groupBy("lang", "draw").agg(F.max(weight).alias("weight"))
+    by_draw = Window.partitionBy("lang").orderBy("draw")
+    drawn = once.withColumn("rank", F.row_number().over(by_draw)).filter(F.col("rank") <= s.sample_per_class)
+    fitting = drawn.withColumn("held", F.sum("weight").over(by_draw)).filter((F.col("held") <= s.sample_bytes / max(len(classes), 1)) | (F.col("rank") == 1))
+    wanted = rows.join(fitting.select("lang", "draw"), ["lang", "draw"], "left_semi").dropDuplicates(["lang", "draw"])
+    sample = wanted.select("text", "lang", "draw").mapInArrow(sampled, "lang string, draw long, at binary, n binary").collect() if classes else []
     sample = sorted((r for r in sample if r["at"]), key=lambda r: (r["draw"], r["lang"]))
     data = []
     for r in sample:
