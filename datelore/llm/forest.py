@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,8 +65,8 @@ class Forest:
         return sum((differ >> (BITS * (self.deep - d)) == 0).astype(np.int32) for d in range(1, self.deep + 1))
 
 
-def text_shingles(text: str, width: int) -> np.ndarray:
-    """The different hashes of a text's shingles of ``width`` words, sorted; a shorter text is one shingle, none without words."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """The hashes of a text's shingles of ``width`` words, repeats included; a shorter text is one shingle, none without words."""
     import xxhash
 
     words = text.encode().translate(LOWER_BYTES).split()
@@ -73,7 +74,12 @@ def text_shingles(text: str, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s, SEED) for s in shingles], np.uint64))
+    return np.array([digest(s, SEED) for s in shingles], "<u8")
+
+
+def text_shingles(text: str, width: int) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def lists_of(arrays: list[np.ndarray]) -> pa.Array:
@@ -81,19 +87,28 @@ def lists_of(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def set_marks(df: DataFrame, width: int, forest: Forest) -> DataFrame:
-    """``df`` less its text, with ``s1`` and ``s2`` (a hash of the set of shingles), ``n_shingles`` and ``labels``."""
+def set_marks(df: DataFrame, width: int, forest: Forest, also: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """``df`` less its text, with ``s1`` and ``s2`` (a hash of the set of shingles), ``n_shingles`` and ``labels``.
+
+    With ``also`` there is ``bits`` too, what it makes of the hashes of all shingles (0 without any).
+    """
 
     def compute(batch):
         import xxhash
 
         functions = forest.functions()
-        sets = [text_shingles(x, width) for x in texts_of(batch, "text")]
+        sets, bits = [], []
+        for x in texts_of(batch, "text"):
+            every = shingle_hashes(x, width)
+            sets.append(np.unique(every))
+            bits.append(also(every) if also is not None and len(every) else 0)
         hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets), "<i8").reshape(-1, 2)
         labels = [forest.labels(s, functions).view(np.uint64) for s in sets]
-        return [pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array([len(s) for s in sets], pa.int64()), lists_of(labels)]
+        told = [pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array([len(s) for s in sets], pa.int64()), lists_of(labels)]
+        return told if also is None else [*told, pa.array(np.array(bits, np.uint64).view(np.int64))]
 
-    return extend(df, "text", "s1 long, s2 long, n_shingles long, labels array<long>", compute).drop("text")
+    outputs = "s1 long, s2 long, n_shingles long, labels array<long>" + (", bits long" if also is not None else "")
+    return extend(df, "text", outputs, compute).drop("text")
 
 
 def neighbours(nodes: DataFrame, forest: Forest) -> DataFrame:

@@ -30,7 +30,11 @@ def text_bits(text: str, width: int) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], "<u8")
+    return majority_bits(np.array([digest(s, SEED) for s in shingles], "<u8"))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for a in range(0, len(hashes), 1 << 16):
         part = hashes[a : a + (1 << 16)]

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datelore.llm.common import extend, row_keys, saved, texts_of
+from datelore.llm.common import row_keys, saved
 from datelore.llm.components import components
 from datelore.llm.forest import Forest, set_marks, similar_links
-from datelore.llm.simhash import close_links, text_bits
+from datelore.llm.simhash import close_links, majority_bits
 
 #: Texts with similarity 0.8 share no region with a chance of 2e-6, less above.
 FOREST = Forest(trees=44, shallow=5, deep=6)
@@ -42,8 +40,7 @@ def drop_similar(df: DataFrame, id: str = "doc_id", text: str = "text", width: i
     """
     first, second = row_keys(F.col(f"`{id}`"), F.col(f"`{text}`"))
     rows = df.select(F.col(f"`{id}`").alias("id"), first.alias("k1"), second.alias("k2"), F.col(f"`{text}`").alias("text"))
-    told = extend(rows, "text", "bits long", lambda batch: [pa.array(np.array([text_bits(x, width) for x in texts_of(batch, "text")], np.uint64).view(np.int64))])
-    marked = saved(set_marks(told, width, forest), "marks")
+    marked = saved(set_marks(rows, width, forest, majority_bits), "marks")
     leader = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("leader")
     once = [F.first(c).alias(c) for c in ("n_shingles", "labels")]
     # Texts of one set can differ in how often they repeat a shingle, and so in bits; any of them will do.
