@@ -1,10 +1,10 @@
 """Order-dependent operators that never hold a whole calendar in one task.
 
-A window over all events of a calendar would put a hot calendar into one task.
-The operators here work in two levels: inside each hour of a calendar first, then
-over one summary row per busy hour to carry state across hours. The second level
-has at most one row per hour of the calendar, however many events there are, and
-the first spreads even a single crowded day over many tasks.
+A window over all events of a calendar would put a hot calendar into one task, and a window
+per hour a crowded midnight. The operators here are prefix scans: rows are dealt to ranges of
+their whole order, each range is folded into a small carry, the carries of a calendar (one for each
+range it reaches) are scanned, and each range takes up the carry before it. A range holds
+about an even share of all rows, whichever calendar, hour or moment they belong to.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 from datelore.functions.timebins import MICROS_PER_DAY, micros_between
 from datelore.operators.common import reading_all
+from datelore.session import ensure_checkpoint_dir
+
+#: Number of the range a row lies in; ranges are numbered in order.
+SLICE = "_slice"
 
 
 def runs(series: DataFrame, group: Sequence[str], order: str, state: str) -> DataFrame:
@@ -39,6 +43,36 @@ def hour_of(ts: Column) -> Column:
     return F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)
 
 
+def in_slices(rows: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``rows`` with ``_slice``, the number of the range of ``order`` they were dealt to.
+
+    Ranges follow each other in ``order`` and hold about the same number of rows each (ranges are
+    cut by a sample of the rows); rows equal in ``order`` are told apart by their place in
+    the input, so that any number of them spreads over many ranges. The rows are checkpointed, because
+    other tasks rely on the cuts, which would be drawn anew if they were computed again.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    told = rows.withColumn("_place", F.monotonically_increasing_id())
+    dealt = told.repartitionByRange(*order, "_place").drop("_place")
+    return dealt.withColumn(SLICE, F.spark_partition_id()).checkpoint()
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rank") -> DataFrame:
+    """``rows`` with ``name``, the place of each row in its calendar's ``order``, from 1.
+
+    Rows are numbered inside their range, and the counts of the ranges before it are added; no
+    calendar is numbered in one task. Rows equal in ``order`` get different places.
+    """
+    keys = list(keys)
+    sliced = in_slices(rows, [*keys, *order])
+    sizes = sliced.groupBy(*keys, SLICE).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order))
+    met = sliced.withColumn("_inside", inside).join(before, [*keys, SLICE])
+    return met.withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside", SLICE)
+
+
 def stays(events: DataFrame, keys: Sequence[str], place: str, gap_days: float, tie: str = "id") -> DataFrame:
     """Consecutive events at one place merged into stays.
 
@@ -48,22 +82,22 @@ def stays(events: DataFrame, keys: Sequence[str], place: str, gap_days: float, t
     """
     keys = list(keys)
     gap = F.lit(int(gap_days * MICROS_PER_DAY))
-    rows = events.select(*keys, place, F.col("start"), F.col("end"), tie).withColumn("_hour", hour_of(F.col("start")))
-    by_hour = Window.partitionBy(*keys, "_hour").orderBy("start", tie)
-    so_far = by_hour.rowsBetween(Window.unboundedPreceding, 0)
+    rows = in_slices(events.select(*keys, place, F.col("start"), F.col("end"), tie), [*keys, "start", tie])
+    in_slice = Window.partitionBy(*keys, SLICE).orderBy("start", tie)
+    so_far = in_slice.rowsBetween(Window.unboundedPreceding, 0)
 
-    # Level 1: place changes inside an hour; the first event of an hour waits for the carry.
-    previous = F.lag(F.struct(place)).over(by_hour)
+    # Fold: place changes inside a range; the first event of a range waits for the carry.
+    previous = F.lag(F.struct(place)).over(in_slice)
     marked = rows.withColumn(
         "_change", (previous.isNotNull() & ~F.col(place).eqNullSafe(previous[place])).cast("int")
     ).withColumn("_changes", F.sum("_change").over(so_far))
-    # Events of an hour at one place that lie closer than the gap collapse to one piece.
-    at_place = Window.partitionBy(*keys, "_hour", "_changes").orderBy("start", tie)
+    # Events of a range at one place that lie closer than the gap collapse to one piece.
+    at_place = Window.partitionBy(*keys, SLICE, "_changes").orderBy("start", tie)
     latest = F.max("end").over(at_place.rowsBetween(Window.unboundedPreceding, -1))
     pieces = (
         marked.withColumn("_break", (micros_between(latest, F.col("start")) > gap).cast("int"))
         .withColumn("_piece", F.sum(F.coalesce("_break", F.lit(0))).over(at_place.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "_hour", "_changes", "_piece")
+        .groupBy(*keys, SLICE, "_changes", "_piece")
         .agg(
             F.first(place).alias(place),
             F.min("start").alias("start"),
@@ -72,34 +106,34 @@ def stays(events: DataFrame, keys: Sequence[str], place: str, gap_days: float, t
         )
     )
 
-    # Level 2: one row per hour tells whether it opens with a change and how many came before.
-    hours = (
+    # Scan: one row per range tells whether it opens with a change and how many came before.
+    carries = (
         reading_all(pieces)
-        .groupBy(*keys, "_hour")
+        .groupBy(*keys, SLICE)
         .agg(
-            F.max("_changes").alias("_in_hour"),
+            F.max("_changes").alias("_in_slice"),
             F.min_by(F.struct(place), F.struct("_changes", "_piece")).alias("_first"),
             F.max_by(F.struct(place), F.struct("_changes", "_piece")).alias("_last"),
         )
     )
-    over_hours = Window.partitionBy(*keys).orderBy("_hour")
-    before = F.lag("_last").over(over_hours)
-    hours = hours.withColumn("_opens", (before.isNull() | ~F.col("_first").eqNullSafe(before)).cast("int"))
-    hours = hours.withColumn(
+    over_slices = Window.partitionBy(*keys).orderBy(SLICE)
+    before = F.lag("_last").over(over_slices)
+    carries = carries.withColumn("_opens", (before.isNull() | ~F.col("_first").eqNullSafe(before)).cast("int"))
+    carries = carries.withColumn(
         "_base",
         F.coalesce(
-            F.sum(F.col("_in_hour") + F.col("_opens")).over(over_hours.rowsBetween(Window.unboundedPreceding, -1)),
+            F.sum(F.col("_in_slice") + F.col("_opens")).over(over_slices.rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0),
         )
         + F.col("_opens"),
     )
-    # The pieces stay where level 1 put them, so only the summaries move for this join.
-    pieces = pieces.join(hours.select(*keys, "_hour", "_base"), [*keys, "_hour"]).withColumn(
+    # Apply: the pieces stay where the fold put them, so only the carries move for this join.
+    pieces = pieces.join(carries.select(*keys, SLICE, "_base"), [*keys, SLICE]).withColumn(
         "_island", F.col("_base") + F.col("_changes")
     )
 
-    # Stays: the same rule over the pieces of an island, a few per hour.
-    over_pieces = Window.partitionBy(*keys, "_island").orderBy("_hour", "_piece")
+    # Stays: the same rule over the pieces of an island, one for each range and gap.
+    over_pieces = Window.partitionBy(*keys, "_island").orderBy(SLICE, "_piece")
     latest = F.max("end").over(over_pieces.rowsBetween(Window.unboundedPreceding, -1))
     return (
         pieces.withColumn("_break", (micros_between(latest, F.col("start")) > gap).cast("int"))
@@ -171,37 +205,34 @@ def nearest(
     single = keyed.groupBy(*group, F.col(right_ts).alias("_ts")).agg(F.min_by(entry, F.col("_order")).alias("_right"))
     own = [name for name in left.columns if name not in group]
     lefts = left.select(*group, F.col(left_ts).alias("_ts"), F.struct(*own).alias("_left"), F.lit(1).alias("_kind"))
-    both = (
-        single.withColumn("_kind", F.lit(0))
-        .unionByName(lefts, allowMissingColumns=True)
-        .withColumn("_hour", hour_of(F.col("_ts")))
-    )
-    hour = Window.partitionBy(*group, "_hour")
+    merged = single.withColumn("_kind", F.lit(0)).unionByName(lefts, allowMissingColumns=True)
+    both = in_slices(merged, [*group, "_ts", "_kind"])
+    part = Window.partitionBy(*group, SLICE)
     running = (Window.unboundedPreceding, Window.currentRow)
     windowed = both.withColumns(
         {
-            "_prev": F.last("_right", ignorenulls=True).over(hour.orderBy("_ts", "_kind").rowsBetween(*running)),
+            "_prev": F.last("_right", ignorenulls=True).over(part.orderBy("_ts", "_kind").rowsBetween(*running)),
             "_next": F.last("_right", ignorenulls=True).over(
-                hour.orderBy(F.col("_ts").desc(), "_kind").rowsBetween(*running)
+                part.orderBy(F.col("_ts").desc(), "_kind").rowsBetween(*running)
             ),
         }
     )
     seen = windowed.filter(F.col("_kind") == 1)
-    # One summary per hour: the first moment's next and the last moment's previous right row.
+    # One carry per range: the first moment's next and the last moment's previous right row.
     moment = F.struct("_ts", "_kind")
-    hours = reading_all(windowed).groupBy(*group, "_hour").agg(
+    carries = reading_all(windowed).groupBy(*group, SLICE).agg(
         F.min_by("_next", moment).alias("_first"), F.max_by("_prev", moment).alias("_last")
     )
     across = Window.partitionBy(*group)
-    earlier = across.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    later = across.orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = hours.select(
+    earlier = across.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    later = across.orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = carries.select(
         *group,
-        "_hour",
+        SLICE,
         F.last("_last", ignorenulls=True).over(earlier).alias("_carry_prev"),
         F.last("_first", ignorenulls=True).over(later).alias("_carry_next"),
     )
-    joined = seen.join(carried, [*group, "_hour"]).withColumns(
+    joined = seen.join(carried, [*group, SLICE]).withColumns(
         {"_prev": F.coalesce("_prev", "_carry_prev"), "_next": F.coalesce("_next", "_carry_next")}
     )
 

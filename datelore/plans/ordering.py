@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datelore.operators.common import limit_per_key
 from datelore.operators.recurring import report_order
+from datelore.operators.sequences import ranked
 from datelore.plans.reports import Report
 
 
@@ -50,6 +51,7 @@ def _orders() -> dict[str, list[Column]]:
         "by_reason": [down("places"), up("reason")],
         "failures": [up("location")],
         "approximate": [up("location")],
+        "events": [up("start"), up("id")],
         "upcoming_invites": [up("event_start"), up("event_title"), up("person")],
     }
 
@@ -76,12 +78,8 @@ def ordered_report(report: Report, keys: Sequence[str] = ()) -> Report:
 
 
 def numbered(name: str, table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One report table with ``rank``, the place of each row in its calendar's display order.
-
-    A calendar's rows are numbered in one task; these are tables of a report, already
-    reduced to one row for each series, week, person or place.
-    """
-    return table.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*display_order(name, table))))
+    """One report table with ``rank``, the place of each row in its calendar's display order."""
+    return ranked(table, keys, display_order(name, table))
 
 
 def first_rows(name: str, table: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:

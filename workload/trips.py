@@ -128,6 +128,25 @@ def recurring_ranked(spark, folder):
     return ordering.numbered("series", recurring_series(spark, folder), ["owner_id"])
 
 
+@query(
+    "ordered_events",
+    f"""WITH {CAL} SELECT owner_id, id, title, {ts('"start"')} AS "start", row_number() OVER (PARTITION BY owner_id ORDER BY "start", id) AS rank FROM cal""",
+)
+def ordered_events(spark, folder):
+    events = t.order_calendar(spark, folder).select("owner_id", "id", "title", "start")
+    return ordering.numbered("events", events, ["owner_id"])
+
+
+@query(
+    "recurring_ranked_all",
+    f"""SELECT *, row_number() OVER (ORDER BY CASE status WHEN 'stopped' THEN 0 WHEN 'slowing down' THEN 1 ELSE 2 END,
+      days_since_last DESC, title, category) AS rank FROM ({ORACLES["recurring_series_orders"]})""",
+)
+def recurring_ranked_all(spark, folder):
+    """One calendar of all orders, numbered without keys."""
+    return ordering.numbered("series", recurring_series_orders(spark, folder), [])
+
+
 # The places of one nation lie within the radius and nations lie apart, so the nation is the metro.
 METRO = f"""{CAL}, {GEO}, pv AS (SELECT c.location, count(*) AS visits, sum(duration_hours) AS h, min("start") AS f, max("start") AS l,
       any_value(nation) AS nation, any_value(city) AS city, any_value(country) AS country, any_value(neighbourhood) AS neighbourhood

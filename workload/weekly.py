@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from datelore.operators import weekly as op
 from datelore.plans import ordering
 from datelore.sources import tables as t
@@ -81,6 +83,16 @@ def category_anomalies(spark, folder):
     return op.category_anomalies(t.order_calendar(spark, folder), keys=["owner_id"])
 
 
+@query(
+    "ranked_anomalies",
+    f"""SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY abs(z_score) DESC, category, week) AS rank FROM ({ORACLES["category_anomalies"]})""",
+)
+def ranked_anomalies(spark, folder):
+    """Unusual weeks of all categories, the most unusual first whichever way."""
+    found = category_anomalies(spark, folder).withColumn("z_score", F.round("z_score", 6))
+    return ordering.numbered("by_category", found, ["owner_id"])
+
+
 def _runs(source: str, part: str, state: str, name: str) -> str:
     by = f"PARTITION BY {part}" if part else ""
     k = f"{part}, " if part else ""
