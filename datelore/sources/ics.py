@@ -6,26 +6,14 @@ any size splits across tasks and no task ever holds a whole file.
 
 from __future__ import annotations
 
-import zoneinfo
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datelore.functions import text
 from datelore.schema import RAW_EVENT
+from datelore.sources import zones
 from datelore.sources.records import iso_text
-
-
-@cache
-def _zone_names() -> list[str]:
-    return sorted(zoneinfo.available_timezones())
-
-
-def _property(block: Column, name: str, group: int = 2) -> Column:
-    """Value (group 2) or parameters (group 1) of a property; null when it is absent."""
-    pattern = rf'(?im)^{name}((?:;(?:"[^"]*"|[^":])*)?):(.*?)\r?$'
-    return F.when(block.rlike(pattern), F.regexp_extract(block, pattern, group))
+from datelore.sources.zones import property_of as _property
 
 
 def unescape(value: Column) -> Column:
@@ -36,17 +24,16 @@ def unescape(value: Column) -> Column:
     return F.replace(value, F.lit("\x00"), F.lit("\\"))
 
 
-def iso_utc(params: Column, value: Column) -> Column:
+def iso_utc(params: Column, value: Column, own_zones: Column) -> Column:
     """DTSTART/DTEND value to "yyyy-MM-ddTHH:mm:ssZ".
 
-    A known TZID is converted to UTC, a floating time is kept and a plain date
-    becomes midnight.
+    A time with a TZID is converted to UTC by its IANA or Windows zone or by the file's own rules
+    (see ``zones``); a floating time, or one of a zone that none of them names, is kept, and a plain
+    date becomes midnight.
     """
-    stamp = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2}).*$", "$1-$2-$3T$4:$5:$6")
-    ntz = F.when(value.rlike(r"^\d{8}T\d{6}"), stamp.try_cast("timestamp_ntz"))
-    zone = F.regexp_extract(params, r'(?i);TZID="?([^";:]+)"?', 1)
-    shifted = F.convert_timezone(zone, F.lit("UTC"), ntz)
-    moment = F.when(zone.isin(_zone_names()) & ~value.endswith("Z"), shifted).otherwise(ntz)
+    wall = zones.wall_time(value)
+    zone = text.none_if_empty(F.trim(F.regexp_extract(params, r'(?i);TZID="?([^";:]+)"?', 1)))
+    moment = F.when(zone.isNotNull() & ~value.endswith("Z"), zones.to_utc(wall, zone, own_zones)).otherwise(wall)
     date = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     day = F.when(value.rlike(r"^\d{8}$"), date.try_cast("timestamp_ntz"))
     return iso_text(F.coalesce(moment, day))
@@ -64,33 +51,45 @@ def _attendees(block: Column) -> Column:
     return F.transform(lines, name)
 
 
+def raw_records(reader, path) -> DataFrame:
+    """Text records ``(value, file, block)`` that end at each event's begin, from a batch or a stream reader."""
+    metadata = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return reader.option("lineSep", "BEGIN:VEVENT").text(path).select("value", *metadata)
+
+
 def read_ics(spark: SparkSession, path, source_id: str, default_title: str) -> DataFrame:
     """One raw record per VEVENT with a start; also ``source_id``."""
-    records = (
-        spark.read.option("lineSep", "BEGIN:VEVENT")
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-            F.regexp_replace("value", r"\r?\n[ \t]", "").alias("body"),
-        )
-    )
+    return parse_ics(raw_records(spark.read, path), F.lit(source_id), F.lit(default_title)).select(*RAW_EVENT.fieldNames(), "source_id")
+
+
+def parse_ics(raw: DataFrame, source_id: Column, default_title: Column) -> DataFrame:
+    """Events of ``raw_records`` in file order; ``source_id`` and ``default_title`` may depend on ``file``. Also gives ``file``.
+
+    What holds for a whole file (its name, its time zones and the years its events lie in) is summed up
+    in one row for each file, which meets the events again.
+    """
+    records = raw.select("file", "block", F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", r"\r?\n[ \t]", "").alias("body"))
     header = r"(?im)^X-WR-CALNAME(?:;[^:\r\n]*)?:(.*?)\r?$"
-    names = (
-        records.filter(F.col("body").rlike(header))
-        .groupBy("file")
-        .agg(F.min_by(unescape(F.regexp_extract("body", header, 1)), F.struct("block", "seq")).alias("calendar_name"))
+    body = F.col("body")
+    blocks = F.regexp_extract_all(body, F.lit(zones.ZONE_BLOCK), F.lit(0))
+    years = F.transform(F.regexp_extract_all(body, F.lit(r"(?im)^DT(?:START|END)(?:;[^:\r\n]*)?:(\d{4})"), F.lit(1)), lambda y: y.cast("int"))
+    bounds = F.when(body.rlike(r"(?im)^END:VEVENT"), F.struct(F.array_min(years).alias("low"), F.array_max(years).alias("high")))
+    files = records.groupBy("file").agg(
+        F.min_by(F.when(body.rlike(header), unescape(F.regexp_extract(body, header, 1))), F.when(body.rlike(header), F.struct("block", "seq"))).alias("calendar_name"),
+        F.flatten(F.collect_list(F.when(F.size(blocks) > 0, blocks))).alias("zone_blocks"),
+        F.min(bounds["low"]).alias("first_year"),
+        F.max(bounds["high"]).alias("last_year"),
     )
+    own = zones.zone_table(files.select("file", F.explode("zone_blocks").alias("zone_block"), "first_year", "last_year"))
+    known = files.select("file", "calendar_name").join(own, "file", "left")
     events = records.filter(F.col("body").rlike(r"(?im)^END:VEVENT")).withColumn(
         "body", F.regexp_replace(F.regexp_replace("body", r"(?is)END:VEVENT.*\z", ""), r"(?is)BEGIN:VALARM.*?END:VALARM", "")
     )
-    titled = events.join(names, "file", "left")
-    body = F.col("body")
+    titled = events.join(known, "file", "left")
     notes = text.none_if_empty(unescape(_property(body, "DESCRIPTION")))
     start_text = _property(body, "DTSTART")
-    start = iso_utc(_property(body, "DTSTART", 1), start_text)
-    end = iso_utc(_property(body, "DTEND", 1), _property(body, "DTEND"))
+    start = iso_utc(_property(body, "DTSTART", 1), start_text, F.col("zones"))
+    end = iso_utc(_property(body, "DTEND", 1), _property(body, "DTEND"), F.col("zones"))
     uid = _property(body, "UID")
     parsed = titled.filter(start_text.isNotNull()).select(
         "file",
@@ -103,17 +102,17 @@ def read_ics(spark: SparkSession, path, source_id: str, default_title: str) -> D
         start.alias("startDate"),
         F.coalesce(end, start).alias("endDate"),
         start_text.rlike(r"^\d{8}$").alias("isAllDay"),
-        F.coalesce(text.none_if_empty(F.col("calendar_name")), F.lit(default_title)).alias("calendarTitle"),
+        F.coalesce(text.none_if_empty(F.col("calendar_name")), default_title).alias("calendarTitle"),
         F.lit(None).cast("string").alias("calendarColorHex"),
         _attendees(body).alias("attendees"),
         _property(body, "RRULE").isNotNull().alias("isRecurring"),
         text.none_if_empty(_property(body, "URL")).alias("url"),
         text.parse_note_tags(notes).alias("noteTags"),
     )
-    return _with_ids(parsed, events, source_id).select(*RAW_EVENT.fieldNames(), "source_id")
+    return _with_ids(parsed, events, source_id)
 
 
-def _with_ids(parsed: DataFrame, events: DataFrame, source_id: str) -> DataFrame:
+def _with_ids(parsed: DataFrame, events: DataFrame, source_id: Column) -> DataFrame:
     """Ids from UID; an event without one is numbered by its position in the file.
 
     Records of one file block are consecutive in their partition, so a position is
@@ -132,10 +131,5 @@ def _with_ids(parsed: DataFrame, events: DataFrame, source_id: str) -> DataFrame
         .select("file", "block", "seq", (F.col("offset") + F.col("seq") - F.col("first_seq")).alias("position"))
     )
     joined = parsed.join(positions, ["file", "block", "seq"], "left")
-    fallback = F.concat_ws("-", F.lit(source_id), F.col("position").cast("string"))
-    return joined.withColumns(
-        {
-            "id": F.concat_ws(":", F.lit(source_id), F.coalesce("uid", fallback)),
-            "source_id": F.lit(source_id),
-        }
-    )
+    fallback = F.concat_ws("-", source_id, F.col("position").cast("string"))
+    return joined.withColumns({"id": F.concat_ws(":", source_id, F.coalesce("uid", fallback)), "source_id": source_id})

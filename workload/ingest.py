@@ -118,6 +118,65 @@ def ics_events(spark, folder):
     return _record_columns(ics.read_ics(spark, path, "cal", "Orders"))
 
 
+ZONES = """BEGIN:VCALENDAR
+X-WR-CALNAME:Port
+BEGIN:VTIMEZONE
+TZID:Harbour
+BEGIN:DAYLIGHT
+DTSTART:19700308T020000
+RRULE:FREQ=YEARLY;BYMONTH=3;BYDAY=2SU
+TZOFFSETFROM:+0300
+TZOFFSETTO:+0400
+END:DAYLIGHT
+BEGIN:STANDARD
+DTSTART:19701025T030000
+RRULE:FREQ=YEARLY;BYMONTH=10;BYDAY=-1SU
+TZOFFSETFROM:+0400
+TZOFFSETTO:+0300
+END:STANDARD
+END:VTIMEZONE
+BEGIN:VTIMEZONE
+TZID:Pier
+BEGIN:STANDARD
+DTSTART:19950101T000000
+TZOFFSETFROM:+0200
+TZOFFSETTO:+0230
+END:STANDARD
+END:VTIMEZONE"""
+
+
+@query(
+    "ics_zoned_events",
+    f"""WITH o AS (SELECT o_orderkey, o_orderdate + to_hours(o_orderkey % 24) AS w, o_orderkey % 7 AS kind, CAST(year(o_orderdate) AS BIGINT) AS y FROM orders),
+    d AS (SELECT *, make_date(y, 3, 8) AS m8, make_date(y, 4, 1) AS a1, make_date(y, 10, 31) AS o31 FROM o),
+    s AS (SELECT *, m8 + CAST((7 - dayofweek(m8)) % 7 AS INTEGER) AS second_march, a1 + CAST((7 - dayofweek(a1)) % 7 AS INTEGER) AS first_april, o31 - CAST(dayofweek(o31) AS INTEGER) AS last_october FROM d),
+    u AS (SELECT o_orderkey, kind, w, w - CASE
+        WHEN kind = 0 THEN CASE WHEN w >= second_march + INTERVAL 3 HOUR AND w < last_october + INTERVAL 3 HOUR THEN INTERVAL 4 HOUR ELSE INTERVAL 3 HOUR END
+        WHEN kind = 1 THEN CASE WHEN w >= first_april + INTERVAL 3 HOUR AND w < last_october + INTERVAL 2 HOUR THEN INTERVAL (-7) HOUR ELSE INTERVAL (-8) HOUR END
+        WHEN kind = 2 THEN INTERVAL 9 HOUR
+        WHEN kind = 3 THEN CASE WHEN w >= TIMESTAMP '1995-01-01 00:30:00' THEN INTERVAL 150 MINUTE ELSE INTERVAL 2 HOUR END
+        ELSE INTERVAL 0 HOUR END AS utc FROM s)
+    SELECT 'port:z' || o_orderkey AS id, 'Port' AS calendar, kind = 6 AS is_all_day,
+      strftime(CASE WHEN kind = 6 THEN CAST(CAST(w AS DATE) AS TIMESTAMP) ELSE utc END, '%Y-%m-%dT%H:%M:%SZ') AS start_text FROM u""",
+)
+def ics_zoned_events(spark, folder):
+    """Local times of a file's own zones, a Windows and an IANA zone, times without a zone or of an unknown one, and days."""
+    key, kind = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 7
+    day_text = F.date_format("o_orderdate", "yyyyMMdd")
+    wall = F.concat(day_text, F.lit("T"), F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit("0000"))
+    zone = F.element_at(F.array(*[F.lit(z) for z in (";TZID=Harbour:", ';TZID="Pacific Standard Time":', ";TZID=Asia/Tokyo:", ";TZID=Pier:", ":", ";TZID=Nowhere:", ";VALUE=DATE:")]), (kind + 1).cast("int"))
+    value = F.when(kind == 6, day_text).otherwise(wall)
+    event = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:z"), key), F.concat(F.lit("DTSTART"), zone, value), F.lit("END:VEVENT"))
+    events = t.table(spark, folder, "orders").select((F.col("o_orderkey") % 5).alias("file"), F.lit(1).alias("line"), event.alias("value"))
+    heads = spark.range(5).select(F.col("id").alias("file"), F.lit(0).alias("line"), F.lit(ZONES).alias("value"))
+    path = landed(spark)
+    # One file each, its zones first.
+    dealt = events.union(heads).repartition("file").sortWithinPartitions("file", "line")
+    dealt.drop("line").write.partitionBy("file").text(path)
+    found = ics.read_ics(spark, path, "port", "Harbour")
+    return found.select("id", F.col("calendarTitle").alias("calendar"), F.col("isAllDay").alias("is_all_day"), F.col("startDate").alias("start_text"))
+
+
 @query(
     "normalize_events",
     rf"""WITH {NORMAL} SELECT owner_id, id, title, notes, location, {ts('"start"')} AS "start", {ts('"end"')} AS "end",

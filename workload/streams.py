@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from datelore.session import ensure_checkpoint_dir
 from datelore.sources import tables as t
-from datelore.streaming import jobs
+from datelore.streaming import calendars, jobs
 from workload.registry import query
 from workload.sql import EVT, day, n, r, ts
 from workload.trips import STAY_COLUMNS, STAYS
@@ -109,3 +109,62 @@ def stream_enrichment(spark, folder):
     )
     rows = event_stream(spark, folder).select("owner_id", "id", "location")
     return drained(spark, jobs.enrich_stream(rows, places)).select("owner_id", "id", "location", "lat", "lon", "city")
+
+
+# Two versions of each nation's orders, the second of the even nations only; nation 1 then sends no calendar and nation 3 an empty one.
+_VERSIONS = """v AS (SELECT CAST(c_nationkey AS VARCHAR) AS source_id, c_nationkey AS nk, o_orderkey AS k, o_orderdate AS d FROM orders JOIN customer ON o_custkey = c_custkey),
+    first_ AS (SELECT source_id, nk, source_id || ':s' || k AS id, 'Order ' || k AS title, d FROM v WHERE k % 3 <> 0),
+    second_ AS (SELECT source_id, nk, source_id || ':s' || k AS id, CASE WHEN k % 5 = 0 THEN 'Changed ' ELSE 'Order ' END || k AS title, d FROM v WHERE k % 4 <> 0 AND nk % 2 = 0)"""
+
+
+def _landed_versions(spark, folder):
+    """Versions of calendars land one after another, each drained by the same stream."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/sources-{uuid.uuid4().hex}"
+    orders = t.table(spark, folder, "orders").join(t.table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    key = F.col("o_orderkey")
+    changed = F.when(key % 5 == 0, F.lit("Changed ")).otherwise(F.lit("Order "))
+    versions = [
+        (orders.filter(key % 3 != 0), F.lit("Order ")),
+        (orders.filter((key % 4 != 0) & (F.col("c_nationkey") % 2 == 0)), changed),
+        (None, None),
+    ]
+    for number, (rows, title) in enumerate(versions):
+        if rows is None:
+            text = F.when(F.col("id") == 1, F.lit("<html>not found</html>")).otherwise(F.lit("BEGIN:VCALENDAR\nEND:VCALENDAR"))
+            files = spark.range(1, 4, 2).select(F.col("id").alias("source"), F.lit(0).alias("line"), text.alias("value"))
+        else:
+            start = F.date_format("o_orderdate", "yyyyMMdd'T'000000'Z'")
+            lines = [F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:s"), key), F.concat(F.lit("SUMMARY:"), title, key), F.concat(F.lit("DTSTART:"), start), F.lit("END:VEVENT")]
+            files = rows.select(F.col("c_nationkey").alias("source"), F.lit(1).alias("line"), F.concat_ws("\r\n", *lines).alias("value"))
+            files = files.unionByName(files.select("source").distinct().withColumns({"line": F.lit(0), "value": F.lit("BEGIN:VCALENDAR")}))
+        dealt = files.repartition("source").sortWithinPartitions("source", "line").withColumn("version", F.lit(f"v{number}"))
+        dealt.drop("line").write.mode("append").partitionBy("source", "version").text(f"{base}/sources")
+        calendars.land_ics(calendars.stream_ics(spark, f"{base}/sources"), f"{base}/table", f"{base}/state").awaitTermination()
+    return f"{base}/table"
+
+
+@query(
+    "stream_ics",
+    f"""WITH {_VERSIONS} SELECT source_id, id, title, strftime(d, '%Y-%m-%dT%H:%M:%SZ') AS start_text
+    FROM (SELECT * FROM first_ WHERE nk % 2 <> 0 AND nk <> 3 UNION ALL SELECT * FROM second_)""",
+)
+def stream_ics(spark, folder):
+    found = calendars.landed_ics(spark, _landed_versions(spark, folder))
+    return found.select("source_id", "id", "title", F.col("startDate").alias("start_text"))
+
+
+@query(
+    "stream_ics_log",
+    f"""WITH {_VERSIONS},
+    a AS (SELECT source_id, count(*) AS c FROM first_ GROUP BY 1),
+    b AS (SELECT s.source_id, count(*) AS c, count(*) FILTER (WHERE f.id IS NULL) AS added, count(*) FILTER (WHERE f.title <> s.title) AS changed
+      FROM second_ s LEFT JOIN first_ f USING (source_id, id) GROUP BY 1),
+    gone AS (SELECT f.source_id, count(*) AS c FROM first_ f LEFT JOIN second_ s USING (source_id, id) WHERE f.nk % 2 = 0 AND s.id IS NULL GROUP BY 1)
+    SELECT source_id, 'v0' AS version, c AS event_count, c AS added, 0 AS changed, 0 AS removed, CAST(NULL AS VARCHAR) AS last_sync_error FROM a
+    UNION ALL SELECT b.source_id, 'v1', b.c, added, changed, coalesce(gone.c, 0), NULL FROM b LEFT JOIN gone USING (source_id)
+    UNION ALL SELECT '1', 'v2', NULL, NULL, NULL, NULL, 'no calendar in the file'
+    UNION ALL SELECT '3', 'v2', 0, 0, 0, c, NULL FROM a WHERE source_id = '3'""",
+)
+def stream_ics_log(spark, folder):
+    return calendars.sync_log(spark, _landed_versions(spark, folder)).drop("epoch")
