@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datelore.operators.common import top_value
 from datelore.operators.filters import history, upcoming_events
 from datelore.operators.people import days_since_seen, exploded_people, last_event_with, shared_categories
 from datelore.operators.regions import guess_regions, metro_map
+from datelore.operators.sequences import ranked
 
 # --- Fixed values ---
 MAX_DAYS_SINCE_SEEN = 730
@@ -39,21 +41,10 @@ def usual_region(df: DataFrame, regions: DataFrame, keys: Sequence[str] = ()) ->
     return top_value(counted, [*keys, "person"], "region", "_n")
 
 
-def invite_candidates(
-    df: DataFrame,
-    as_of: Column,
-    metros: DataFrame | None = None,
-    days_ahead: int = DAYS_AHEAD,
-    max_days_since_seen: float = MAX_DAYS_SINCE_SEEN,
-    keys: Sequence[str] = (),
-) -> DataFrame:
-    """Everyone eligible for each upcoming event.
-
-    Eligible: seen within the limit, met before in the event's category, not on the
-    guest list and, when the event's region is known, usually met in that region.
-    ``metros`` (location, metro) comes from the history; without it only the other
-    rules apply.
-    """
+def _sides(
+    df: DataFrame, as_of: Column, metros: DataFrame | None, days_ahead: int, max_days_since_seen: float, keys: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Upcoming events with their region, and who may be invited in each category, with the region they are usually met in."""
     keys = list(keys)
     past = history(df, as_of)
     upcoming = upcoming_events(df, as_of, days_ahead).select(
@@ -78,6 +69,26 @@ def invite_candidates(
         upcoming = upcoming.join(by_place, [*keys, "event_location"], "left")
         usual = usual_region(past, regions, keys).withColumnRenamed("region", "_usual")
         eligible = eligible.join(usual, [*keys, "person"], "left")
+    return upcoming, eligible
+
+
+def invite_candidates(
+    df: DataFrame,
+    as_of: Column,
+    metros: DataFrame | None = None,
+    days_ahead: int = DAYS_AHEAD,
+    max_days_since_seen: float = MAX_DAYS_SINCE_SEEN,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Everyone eligible for each upcoming event, which is a row for each of them; see ``ring_candidates`` for a few.
+
+    Eligible: seen within the limit, met before in the event's category, not on the
+    guest list and, when the event's region is known, usually met in that region.
+    ``metros`` (location, metro) comes from the history; without it only the other
+    rules apply.
+    """
+    keys = list(keys)
+    upcoming, eligible = _sides(df, as_of, metros, days_ahead, max_days_since_seen, keys)
     pairs = upcoming.join(eligible, [*keys, "event_category"])
     fits = F.col("region").isNull() | F.coalesce(F.col("region") == F.col("_usual"), F.lit(False))
     return pairs.filter(~F.array_contains("_guests", F.col("person")) & fits).select(
@@ -93,43 +104,73 @@ def invite_candidates(
     )
 
 
-def served_in_order(candidates: DataFrame, top_n: int, seed: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Up to ``top_n`` of each event's candidates; those not picked for an earlier event come first.
+def ring_candidates(upcoming: DataFrame, eligible: DataFrame, top_n: int, seed: int, keys: Sequence[str] = ()) -> DataFrame:
+    """As many eligible people for each event as serving it can need: with ``turn`` of the event and ``rank`` of the person.
 
-    Candidates of an event are in the order of a draw, the md5 of seed, event and person. The j-th
-    event of a calendar can only need its first ``top_n * j`` candidates, because the events before
-    it have taken at most ``top_n * (j - 1)`` people; the others go by rank, and only ids and
-    draws of the rest are gathered by calendar. Serving is a fold over the calendar's upcoming events.
+    The people of a category, and those of them usually met in one region, stand on a ring in the order of a
+    draw (the md5 of seed and person). An event starts at a place drawn for it and takes people from there on. The
+    j-th event of a calendar can only need its first ``top_n * j`` people who are not its guests,
+    because the events before it have taken ``top_n * (j - 1)`` at most; so rows follow events and not people.
     """
     keys = list(keys)
-    when = [*keys, "event_start", "event_id"]
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("event_id"), F.col("person")))
-    drawn = candidates.select(*when, "person", draw.alias("draw"))
-    turns = drawn.groupBy(*when).agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "turn", F.row_number().over(Window.partitionBy(*keys).orderBy("event_start", "event_id"))
-    ).drop("_n")
-    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy(*when).orderBy("draw", "person")))
-    needed = ranked.join(turns, when).filter(F.col("rank") <= F.col("turn") * top_n)
-    events = needed.groupBy(*when, "turn").agg(F.sort_array(F.collect_list(F.struct("rank", "person"))).alias("_ranked"))
-    lists = events.select(*when, "turn", F.transform("_ranked", lambda x: x["person"]).alias("people"))
-    calendars = lists.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "event_start", "event_id", "people"))).alias("_events")
+    at_ring = [*keys, "event_category", "_ring"]
+    everyone = F.lit("all")
+    own = F.concat(F.lit("="), F.col("_usual"))
+    standing = eligible.withColumn("_ring", F.explode(F.when(F.col("_usual").isNull(), F.array(everyone)).otherwise(F.array(everyone, own))))
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("person")))
+    drawn = standing.select(*at_ring, "person", "days_since_seen", draw.alias("_draw"))
+    members = ranked(drawn, at_ring, ["_draw", "person"], "_place").drop("_draw")
+    sizes = drawn.groupBy(*at_ring).agg(F.count("*").alias("_size"))
+
+    events = ranked(upcoming, keys, ["event_start", "event_id"], "turn")
+    placed = events.withColumn("_ring", F.coalesce(F.concat(F.lit("="), F.col("region")), everyone)).join(sizes, at_ring)
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("event_id"))), 1, 13), 16, 10).cast("long")
+    need = F.least("_size", F.col("turn") * top_n + F.size("_guests"))
+    asked = placed.withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), need - 1)))
+    asked = asked.withColumn("_place", (start + F.col("rank")) % F.col("_size") + 1)
+    met = asked.join(members, [*at_ring, "_place"]).filter(~F.array_contains("_guests", F.col("person")))
+    return met.select(
+        *keys, "event_id", "event_title", "event_category", "event_start", "event_location", "region", "person", "days_since_seen", "turn", "rank"
     )
-    nobody = F.array().cast("array<string>")
-    picked_type = "array<struct<event_start:timestamp_ntz,event_id:string,people:array<string>>>"
-    start = F.struct(nobody.alias("known"), F.array().cast(picked_type).alias("picked"))
 
-    def serve(state: Column, event: Column) -> Column:
-        fresh = F.filter(event["people"], lambda p: ~F.array_contains(state["known"], p))
-        again = F.filter(event["people"], lambda p: F.array_contains(state["known"], p))
-        picks = F.slice(F.concat(fresh, again), 1, top_n)
-        return F.struct(
-            F.array_union(state["known"], picks).alias("known"),
-            F.concat(state["picked"], F.array(F.struct(event["event_start"].alias("event_start"), event["event_id"].alias("event_id"), picks.alias("people")))).alias("picked"),
-        )
 
-    served = calendars.select(*keys, F.explode(F.aggregate("_events", start, serve)["picked"]).alias("_e"))
-    return served.select(*keys, "_e.event_start", "_e.event_id", F.explode("_e.people").alias("person"))
+def served_in_order(candidates: DataFrame, top_n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The rows of up to ``top_n`` people for each event; those not picked for an earlier event of the calendar come first.
+
+    Candidates pass once, sorted by calendar, turn and rank. What is held is the people picked in the calendar and
+    ``top_n`` rows of either kind for one event, however many events and candidates there are.
+    """
+    keys = list(keys)
+    dealt = candidates.repartition(*keys) if keys else candidates.repartition(1)
+    passing = dealt.sortWithinPartitions(*keys, "turn", "rank")
+
+    def serve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calendar, turn, known, fresh, again = None, None, set(), [], []
+
+        def picks() -> list[dict]:
+            chosen = (fresh + again)[:top_n]
+            known.update(row["person"] for row in chosen)
+            return chosen
+
+        schema = None
+        for batch in batches:
+            schema, out = batch.schema, []
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if (own, row["turn"]) != (calendar, turn):
+                    out += picks()
+                    fresh, again = [], []
+                    if own != calendar:
+                        known = set()
+                    calendar, turn = own, row["turn"]
+                side = again if row["person"] in known else fresh
+                if len(side) < top_n:
+                    side.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if schema is not None:
+            yield pa.RecordBatch.from_pylist(picks(), schema=schema)
+
+    return passing.mapInArrow(serve, candidates.schema).drop("turn", "rank")
 
 
 def invite_suggestions(
@@ -150,10 +191,9 @@ def invite_suggestions(
     keys = list(keys)
     past = history(df, as_of)
     metros = None if geo is None else metro_map(past, geo, keys)
-    candidates = invite_candidates(df, as_of, metros, days_ahead, max_days_since_seen, keys)
-    picked = served_in_order(candidates, top_n, seed, keys)
-    described = candidates.join(picked, [*keys, "event_start", "event_id", "person"], "left_semi")
-    return described.join(last_event_with(past, keys), [*keys, "person"], "left")
+    upcoming, eligible = _sides(df, as_of, metros, days_ahead, max_days_since_seen, keys)
+    picked = served_in_order(ring_candidates(upcoming, eligible, top_n, seed, keys), top_n, keys)
+    return picked.join(last_event_with(past, keys), [*keys, "person"], "left")
 
 
 def suggestions_by_event(suggestions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

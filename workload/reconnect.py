@@ -83,8 +83,14 @@ def reconnect_candidates_category(spark, folder):
 
 
 def served(candidates: str, seed: int) -> str:
-    """The picks of every event: five people by draw, those not picked for an earlier event first."""
-    return f"""dr AS (SELECT owner_id, event_start, event_id, person, md5('{seed}|' || event_id || '|' || person) AS draw FROM {candidates}),
+    """The picks of every event: five people along the ring from the event's own place, those not picked for an earlier event first."""
+    return f"""el AS (SELECT met.owner_id, met.person, met.category, usual.region AS usual FROM met JOIN seen ON seen.owner_id = met.owner_id AND seen.person = met.person
+      LEFT JOIN usual ON usual.owner_id = met.owner_id AND usual.person = met.person WHERE days <= 730),
+    rg AS (SELECT owner_id, category, 'all' AS ring, person FROM el UNION ALL SELECT owner_id, category, '=' || usual, person FROM el WHERE usual IS NOT NULL),
+    rp AS (SELECT *, row_number() OVER (PARTITION BY owner_id, category, ring ORDER BY md5('{seed}|' || person), person) - 1 AS pos,
+      count(*) OVER (PARTITION BY owner_id, category, ring) AS m FROM rg),
+    dr AS (SELECT c.owner_id, event_start, event_id, c.person, (pos - CAST('0x' || substr(md5('{seed}|' || event_id), 1, 13) AS BIGINT) % m + m) % m AS draw
+      FROM {candidates} c JOIN rp ON rp.owner_id = c.owner_id AND rp.category = event_category AND rp.ring = coalesce('=' || region, 'all') AND rp.person = c.person),
     li0 AS (SELECT owner_id, event_start, event_id, list(person ORDER BY draw, person) AS people FROM dr GROUP BY ALL),
     li AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY event_start, event_id) AS turn FROM li0),
     sv AS (SELECT owner_id, event_id, turn, people[1:5] AS picks, people[1:5] AS known FROM li WHERE turn = 1
