@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from datelore.functions import address as ad
 from datelore.functions.geo import KM_PER_DEGREE
 from datelore.functions.text import none_if_empty
-from datelore.operators.common import attach_per_key
+from datelore.operators.common import attach_per_key, reading_all
 from datelore.operators.filters import is_complete_address
 from datelore.schema import GEO_FIELDS
 from datelore.sources.geo import has_coordinates
@@ -178,7 +178,7 @@ def resolve_locations(
     on = [*keys, "location"]
     open_places = to_resolve(requested, cached, overrides, keys, force).select(*on, "category")
     anchored = open_places.withColumn("_anchor", match_anchor(F.col("location"), F.col("category"), anchors))
-    queried = anchored.withColumn("_query", anchored_query(F.col("location"), F.col("_anchor")))
+    queried = anchored.withColumns({"_query": anchored_query(F.col("location"), F.col("_anchor")), "_complete": is_complete_address(F.col("location"))})
 
     known = cached.filter(has_coordinates()).select(*on, "lat", "lon")
     fixed = overrides.filter(has_coordinates()).select(*on, "lat", "lon")
@@ -199,13 +199,14 @@ def resolve_locations(
         best = F.min_by("_place", F.when(counts, F.struct("_try", outside, "_rank", "_place")))
         return met.groupBy(*on).agg(best.alias("_place"), *[F.first(c).alias(c) for c in carried])
 
-    # Most places match at once; only the rest is worth rewriting.
-    tried = looked_up(queried.select(*on, "_anchor", "_query", F.lit(0).alias("_try"), F.col("_query").alias("_text")), ["_anchor", "_query"])
-    rewritable = F.col("_place").isNull() & is_complete_address(F.col("location"))
+    # Most places match at once; only the rest is worth rewriting. Both read one aggregate, so what tells them apart is part of it.
+    first = queried.select(*on, "_anchor", "_query", "_complete", F.lit(0).alias("_try"), F.col("_query").alias("_text"))
+    tried = reading_all(looked_up(first, ["_anchor", "_query", "_complete"]))
+    rewritable = F.col("_place").isNull() & F.col("_complete")
     listed = retry_queries(tried.filter(rewritable).drop("_place"), "_query", "_retries")
     again = listed.select(*on, "_anchor", "_query", "_retries", F.posexplode_outer("_retries").alias("_try", "_option"))
     again = looked_up(again.withColumn("_text", F.col("_option")["query"]), ["_anchor", "_query", "_retries"])
-    settled = tried.filter(~rewritable).withColumn("_retries", F.array().cast(again.schema["_retries"].dataType))
+    settled = tried.filter(~rewritable).drop("_complete").withColumn("_retries", F.array().cast(again.schema["_retries"].dataType))
     joined = settled.unionByName(again)
     anchor = F.col("_anchor")
     has_anchor = anchor["lat"].isNotNull() & anchor["lon"].isNotNull()

@@ -212,21 +212,21 @@ def customer_addresses(spark: SparkSession, folder: str) -> DataFrame:
     def pick(number: Column, values: list[str]) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
 
-    name = pick(key, ["", "", "10 Speed Coffee ", "Balboa Park ", "Home ", "22nd Street Grill "])
+    name = pick(key, ["", "", "7 Hills Bakery ", "Juniper Park ", "Cottage ", "9th Street Books "])
     number = (customer % 900 + 1).cast("string")
-    street = pick(customer, [" Sawtelle Blvd", " 4th St NW", " Wilshire Blvd W", " El Prado", " Shumway Lane", " Santana Row"])
-    unit = pick(F.floor(key / 3), ["", "", ", Unit 1420", " Apt. 309", " #E208", ", Unit A&D"])
+    street = pick(customer, [" Marigold Blvd", " 8th St SE", " Orchard Blvd N", " Las Flores", " Quarry Lane", " Tanner Row"])
+    unit = pick(F.floor(key / 3), ["", "", ", Unit 733", " Apt. 52", " #K17", ", Unit C&F"])
     gap = pick(F.floor(key / 5), [", ", " ", ",  "])
-    city = pick(customer, ["Los Angeles", "Washington", "Van Nuys", "San Diego", "Mountain View"])
-    state = pick(customer, [", CA", ", DC", ", CA", " CA", " CA"])
+    city = pick(customer, ["Los Angeles", "Boulder", "Van Nuys", "Fresno", "Grass Valley"])
+    state = pick(customer, [", CA", ", CO", ", CA", " CA", " CA"])
     code = F.when(key % 4 != 0, F.concat(F.lit(" 9"), F.lpad((customer % 9999).cast("string"), 4, "0"))).otherwise("")
     country = pick(F.floor(key / 7), [", United States", " United States", ", USA", ""])
     full = F.concat(name, number, street, unit, gap, city, state, code, country)
-    bare = F.concat(pick(customer, ["Boelter ", "North Campus ", "UCLA Hall ", "Amgen Center "]), (customer % 300).cast("string"))
+    bare = F.concat(pick(customer, ["Lecture Room ", "East Lawn ", "UCLA Annex ", "Amgen Lobby "]), (customer % 300).cast("string"))
     return orders.select(
         F.col("c_nationkey").cast("bigint").alias("owner_id"),
         F.when(key % 9 == 0, bare).otherwise(full).alias("location"),
-        pick(key, ["Work", "UCLA classes", "Social"]).alias("category"),
+        pick(key, ["Work", "UCLA lectures", "Social"]).alias("category"),
     )
 
 
@@ -238,9 +238,9 @@ def gazetteer(spark: SparkSession, folder: str) -> DataFrame:
     def pick(values: list[str]) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
 
-    street = pick([" Sawtelle Blvd", " 4th St", " Wilshire Blvd", " El Prado", " Shumway Lane", " Santana Row"])
-    city = pick(["Los Angeles", "Washington", "Los Angeles", "San Diego", "Mountain View"])
-    state = pick(["CA", "DC", "CA", "CA", "CA"])
+    street = pick([" Marigold Blvd", " 8th St", " Orchard Blvd", " Las Flores", " Quarry Lane", " Tanner Row"])
+    city = pick(["Los Angeles", "Boulder", "Los Angeles", "Fresno", "Grass Valley"])
+    state = pick(["CA", "CO", "CA", "CA", "CA"])
     code = F.concat(F.lit(" 9"), F.lpad((key % 9999).cast("string"), 4, "0"))
     query = F.concat(
         (key % 900 + 1).cast("string"), street, F.lit(", "), city, F.lit(", "), state, code, F.lit(", United States")

@@ -213,9 +213,9 @@ def test_trips_away_leave_home_out(spark):
 
 def test_guess_region_needs_exactly_one_match(spark):
     metros = spark.createDataFrame([("Los Angeles, United States",), ("Portland, Oregon",), ("Portland, Maine",), ("Rome",)], "metro string")
-    places = spark.createDataFrame([("1903 Hyperion Ave los angeles, CA",), ("9 Main, Portland",), ("Nowhere",), ("Romeo",), ("",)], "location string")
+    places = spark.createDataFrame([("77 Larkspur Ave los angeles, CA",), ("9 Main, Portland",), ("Nowhere",), ("Romeo",), ("",)], "location string")
     got = {row.location: row.metro for row in regions.guess_regions(places, metros).collect()}
-    assert got == {"1903 Hyperion Ave los angeles, CA": "Los Angeles, United States", "Romeo": "Rome"}
+    assert got == {"77 Larkspur Ave los angeles, CA": "Los Angeles, United States", "Romeo": "Rome"}
 
 
 AS_OF = dt.datetime(2024, 8, 1)
@@ -256,7 +256,7 @@ def test_suggestions_match_region_when_known(spark):
         record(3, "Coffee", WITHIN, people=["Frank"], location="Some Cafe"),
         record(4, "Coffee", WITHIN, people=["Gina"], location="5 Hill St Los Angeles"),
         soon(5, "Dinner", location="Cafe A"),
-        soon(6, "Lunch", days=6, location="1903 Hyperion Ave Los Angeles, CA"),
+        soon(6, "Lunch", days=6, location="77 Larkspur Ave Los Angeles, CA"),
     ]
     picked = {(row.event_title, row.person, row.region) for row in suggest(spark, rows)}
     la = "Los Angeles, United States"
@@ -411,18 +411,18 @@ def test_costs_from_a_table_equal_costs_from_a_mapping(spark):
 
 
 def test_anchor_stands_in_for_an_unknown_room(spark):
-    requested = spark.createDataFrame([("Boelter 5800", "UCLA"), ("Mono Lake", "Trip"), ("1 Main St, LA, CA 90001", "UCLA")], "location string, category string")
+    requested = spark.createDataFrame([("Annex 12", "UCLA"), ("Blue Mesa", "Trip"), ("1 Main St, LA, CA 90001", "UCLA")], "location string, category string")
     gazetteer = spark.createDataFrame(
-        [("mono lake", 1, 38.0, -119.0), ("Mono Lake", 2, 0.0, 0.0)], "query string, rank int, lat double, lon double"
+        [("blue mesa", 1, 38.0, -119.0), ("Blue Mesa", 2, 0.0, 0.0)], "query string, rank int, lat double, lon double"
     )
     for name in ("display_name", "city", "country", "neighbourhood", "state", "place_type"):
         gazetteer = gazetteer.withColumn(name, F.lit(None).cast("string"))
     nothing = spark.createDataFrame([], "location string, lat double, lon double")
     out = {row.location: row for row in resolve.resolve_locations(requested, gazetteer, nothing, nothing).collect()}
-    room = out["Boelter 5800"]
+    room = out["Annex 12"]
     assert (room.status, room.lat, room.placed_at) == ("approximate", 34.0689, "UCLA, Los Angeles, CA")
     assert "approximate" in room.display_name and room.reason is None and room.place_type == "unknown"
-    assert (out["Mono Lake"].status, out["Mono Lake"].lat) == ("resolved", 38.0)
+    assert (out["Blue Mesa"].status, out["Blue Mesa"].lat) == ("resolved", 38.0)
     assert out["1 Main St, LA, CA 90001"].status == "failed" and "no match" in out["1 Main St, LA, CA 90001"].reason
     cached = resolve.update_geo(nothing, resolve.resolve_locations(requested, gazetteer, nothing, nothing))
     again = resolve.to_resolve(requested, cached, nothing)

@@ -143,17 +143,17 @@ def test_normalized_columns(spark):
 
 def test_bare_first_name_in_group_gets_most_common_full_name(spark):
     rows = [
-        raw(1, "Dinner with Alice Smith"),
-        raw(2, "Dinner with Alice Smith"),
-        raw(3, "Coffee with Alice Rodriguez"),
-        raw(4, "Game night with Alice, Bob"),
-        raw(5, "Coffee with Alice"),
-        raw(6, "Game night with Alice, Alice Smith, Bob"),
+        raw(1, "Dinner with Iris Novak"),
+        raw(2, "Dinner with Iris Novak"),
+        raw(3, "Coffee with Iris Okafor"),
+        raw(4, "Game night with Iris, Tomek"),
+        raw(5, "Coffee with Iris"),
+        raw(6, "Game night with Iris, Iris Novak, Tomek"),
     ]
     people = people_of(spark, rows)
-    assert people["evt-4"] == ["Alice Smith", "Bob"]
-    assert people["evt-5"] == ["Alice"]
-    assert people["evt-6"] == ["Alice Smith", "Bob"]
+    assert people["evt-4"] == ["Iris Novak", "Tomek"]
+    assert people["evt-5"] == ["Iris"]
+    assert people["evt-6"] == ["Iris Novak", "Tomek"]
 
 
 def test_dedupe_keeps_the_primary_copy(spark):
