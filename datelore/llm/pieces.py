@@ -14,6 +14,30 @@ NORMAL, BYTE = 1, 6
 BPE = 2
 
 
+def plain_alignment(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``normalise`` for many texts at once where the character map is empty, blanks are kept and one is put in front.
+
+    For each byte of the normalised texts, one after another: where its source character begins and ends, and the source byte
+    itself, in its own text; and the size of each normalised text. A blank is three bytes; the one in front has no source.
+    """
+    raw = [x.encode() for x in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    lengths = np.array([len(x) for x in raw], np.int64)
+    base = np.cumsum(lengths) - lengths
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    char = np.cumsum((data & 0xC0) != 0x80) - 1
+    shift = np.repeat(base, lengths)
+    begin, end = lead[char] - shift, np.append(lead, len(data))[char + 1] - shift
+    place, width = np.arange(len(data)) - shift, np.where(data == 0x20, 3, 1)
+    some = base[lengths > 0]
+    width = np.insert(width, some, 3)
+    begin, end, place = (np.repeat(np.insert(x, some, 0), width) for x in (begin, end, place))
+    sizes = np.add.reduceat(width, np.arange(len(some)) + some) if len(some) else np.zeros(0, np.int64)
+    every = np.zeros(len(texts), np.int64)
+    every[lengths > 0] = sizes
+    return begin, end, place, every
+
+
 class PieceEncoder:
     """Ids and source spans of texts by a SentencePiece model.
 
@@ -35,8 +59,9 @@ class PieceEncoder:
         self.characters = CharacterMap(rules.precompiled_charsmap)
         self.rules = {"dummy_prefix": rules.add_dummy_prefix, "remove_extra": rules.remove_extra_whitespaces, "escape": rules.escape_whitespaces}
         spelt = [(p.piece, p.type) for p in model.pieces]
-        #: Source bytes of a piece where the character map changes nothing: a blank is one byte, a byte piece too.
-        self.source = np.array([1 if kind == BYTE else len(piece.replace(BLANK, " ").encode()) for piece, kind in spelt], np.int64)
+        #: Bytes of the normalised text that a piece stands for, and whether it is a byte.
+        self.spelt = np.array([1 if kind == BYTE else len(piece.encode()) for piece, kind in spelt], np.int64)
+        self.bytes = np.array([kind == BYTE for _, kind in spelt], bool)
         self.plain = not rules.precompiled_charsmap and rules.add_dummy_prefix and not rules.remove_extra_whitespaces and rules.escape_whitespaces
         self.by_words = (
             self.plain
@@ -78,19 +103,22 @@ class PieceEncoder:
         return found
 
     def spans_all(self, texts: list[str], flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each piece of each text begins and ends in the text's UTF-8 bytes."""
+        """Where each piece of each text begins and ends in the text's UTF-8 bytes, through the alignment of the normalised texts."""
         first = np.cumsum(counts) - counts
-        lengths = self.source[flat]
-        full = counts > 0
-        lengths[first[full]] -= 1  # the blank in front has no source
-        ends = np.cumsum(lengths)
-        base = np.concatenate([[0], ends])[first]
-        begins = ends - lengths - np.repeat(base, counts)
-        ends = ends - np.repeat(base, counts)
-        for k, text in enumerate(texts):
-            if full[k] and (not self.plain or BLANK in text):
-                a, b = int(first[k]), int(first[k] + counts[k])
-                begins[a:b], ends[a:b] = self.aligned(text, flat[a:b].tolist())
+        if not self.plain:
+            found = [self.aligned(text, flat[a : a + n].tolist()) for text, a, n in zip(texts, first.tolist(), counts.tolist())]
+            none = np.zeros(0, np.int64)
+            return np.concatenate([none, *(b for b, _ in found)]), np.concatenate([none, *(e for _, e in found)])
+        begin, end, place, sizes = plain_alignment(texts)
+        stop = np.cumsum(self.spelt[flat])
+        start = stop - self.spelt[flat]
+        # Pieces cover each normalised text from end to end.
+        covered = np.append(0, stop)[np.append(first[1:], len(flat))] if len(first) else first
+        if not np.array_equal(covered, np.cumsum(sizes)):
+            raise ValueError("pieces do not cover the normalised text")
+        begins, ends = begin[start], end[np.maximum(stop - 1, 0)]
+        single = self.bytes[flat]
+        begins[single], ends[single] = place[start[single]], place[start[single]] + 1
         return begins, ends
 
     def aligned(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:

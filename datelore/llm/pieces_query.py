@@ -21,4 +21,6 @@ def sentencepiece_round_trip(spark, folder):
         F.sha2("decoded", 256).alias("decoded_sha256"),
         # The last span ends where the text does.
         F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),
+        # Where all pieces begin, then where all end, joined by commas.
+        F.sha2(F.array_join(F.concat("begins", "ends"), ","), 256).alias("spans_sha256"),
     )

@@ -98,6 +98,60 @@ def test_longest_prefix_normalisation_keeps_the_source():
     assert spelt.decode() == "▁b▁c" and begins.tolist() == [2, 2, 2, 2, 3, 3, 3, 5] and ends.tolist()[-2:] == [5, 6]
 
 
+def test_alignment_of_many_texts_equals_that_of_each():
+    texts = odd_texts()
+    begin, end, place, sizes = pieces.plain_alignment(texts)
+    at = 0
+    for text, n in zip(texts, sizes.tolist()):
+        spelt, b, e = normalise(text, CharacterMap(b""))
+        assert (begin[at : at + n].tolist(), end[at : at + n].tolist()) == (b.tolist(), e.tolist()) and n == len(spelt)
+        data = text.encode()
+        assert all(data[p] == c for p, c in zip(place[at : at + n].tolist(), spelt) if c < 0x80 and c != 0x20)
+        at += n
+    assert at == len(begin) == len(end)
+
+
+def test_spans_through_a_map_that_changes_texts(spark, tmp_path):
+    """The model with a map of its own: every piece's source, normalised, is the piece, and the sources cover the text."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    rules = {"é".encode(): b"e", "Ａ".encode(): b"A", b"\t": b" ", "ß".encode(): b"ss", b"colour": b"color"}
+    model = sentencepiece_model_pb2.ModelProto.FromString(open(PIECES, "rb").read())
+    model.normalizer_spec.precompiled_charsmap = compiled(rules)
+    path = str(tmp_path / "mapped.model")
+    (tmp_path / "mapped.model").write_bytes(model.SerializeToString())
+    encoder = pieces.PieceEncoder(path)
+    texts = ["café au lait", "Ａ colour\tof the sea", "plain words", "", "日é", "the colourful\ntéé"]
+    found = pieces.encode_pieces(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), path).collect()
+    assert len(found) == len(texts) and not encoder.plain
+    for r in found:
+        assert r["ids"] == encoder.library.encode(r["text"])
+        data, at = r["text"].encode(), 0
+        for k, (i, a, b) in enumerate(zip(r["ids"], r["begins"], r["ends"])):
+            assert a == at and b >= a
+            at = b
+            piece = encoder.library.id_to_piece(i)
+            if encoder.library.is_byte(i):
+                assert data[a:b] == bytes([int(piece[3:5], 16)])
+                continue
+            spelt, _, _ = normalise(data[a:b].decode(), encoder.characters, dummy_prefix=False)
+            assert spelt == (piece[1:] if k == 0 else piece).encode()
+        assert at == len(data)
+    assert any(r["ends"][k] - r["begins"][k] != len(encoder.library.id_to_piece(i).encode()) for r in found for k, i in enumerate(r["ids"]))
+
+
+def test_query_s_spans_equal_plain_ones(spark, sample):
+    import hashlib
+
+    from datelore.llm.queries import QUERIES
+
+    encoder = pieces.PieceEncoder(PIECES)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sample}/documents.parquet").collect()}
+    for r in QUERIES["op4_sentencepiece"](spark, sample).collect():
+        begins, ends = encoder.aligned(texts[r["doc_id"]], encoder.library.encode(texts[r["doc_id"]]))
+        assert r["spans_sha256"] == hashlib.sha256(",".join(map(str, [*begins.tolist(), *ends.tolist()])).encode()).hexdigest()
+
+
 def test_encoding_and_decoding_tables(odd, rows, nothing):
     library = pieces.PieceEncoder(PIECES).library
     found = pieces.encode_and_decode(odd, PIECES).collect()
