@@ -169,10 +169,13 @@ def fit_language_model(df: DataFrame, learn: Column, text: str = "text", lang: s
     rows = df.filter(learn & F.col(f"`{lang}`").isNotNull()).select(
         F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.lit(s.seed), F.col(f"`{id}`"), F.col(f"`{text}`")).alias("draw")
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    classes = sorted(sizes)
+    # A row brings eight bytes for each different n-gram.
+    weight = F.coalesce(8 * F.least(F.char_length("text") * s.longest + s.longest, F.lit(s.buckets)), F.lit(0))
+    once = rows.groupBy("lang", "draw").agg(F.max(weight).alias("weight"))
+    known = {r["lang"]: r["n"] for r in once.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(s.classes + 1).collect()}
+    classes = sorted(known)
     if len(classes) > s.classes:
-        raise ValueError(f"{len(classes)} languages to learn; the setting allows {s.classes}")
+        raise ValueError(f"more languages to learn than the {s.classes} that the setting allows")
 
     def frequencies(batches):
         found, docs = np.zeros(s.buckets, np.int64), 0
@@ -197,13 +200,15 @@ def fit_language_model(df: DataFrame, learn: Column, text: str = "text", lang: s
                 out.append((index.astype("<i4").tobytes(), counts[index].astype("<i4").tobytes()) if has_letter(x) else (b"", b""))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["lang", "draw", "at", "n"])
 
-    # A row brings eight bytes for each different n-gram.
-    weight = 8 * F.least(F.char_length("text") * s.longest + s.longest, F.lit(s.buckets))
-    once = rows.filter("text is not null").groupBy("lang", "draw").agg(F.max(weight).alias("weight"))
+    # Twice as many as wanted are drawn by a bound on the hash, and of these the smallest.
+    share = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
+    likely = F.lit(False)
+    for c, n in known.items():
+        likely = likely | ((F.col("lang") == c) & (share < min(1.0, 2 * s.sample_per_class / n)))
     by_draw = Window.partitionBy("lang").orderBy("draw")
-    drawn = once.withColumn("rank", F.row_number().over(by_draw)).filter(F.col("rank") <= s.sample_per_class)
+    drawn = once.filter(likely).withColumn("rank", F.row_number().over(by_draw)).filter(F.col("rank") <= s.sample_per_class)
     fitting = drawn.withColumn("held", F.sum("weight").over(by_draw)).filter((F.col("held") <= s.sample_bytes / max(len(classes), 1)) | (F.col("rank") == 1))
-    wanted = rows.join(fitting.select("lang", "draw"), ["lang", "draw"], "left_semi").dropDuplicates(["lang", "draw"])
+    wanted = rows.filter(likely).dropDuplicates(["lang", "draw"]).join(fitting.select("lang", "draw"), ["lang", "draw"], "left_semi")
     sample = wanted.select("text", "lang", "draw").mapInArrow(sampled, "lang string, draw long, at binary, n binary").collect() if classes else []
     sample = sorted((r for r in sample if r["at"]), key=lambda r: (r["draw"], r["lang"]))
     data = []
