@@ -520,6 +520,44 @@ def place_type(spark, folder):
     return parts.groupBy("osm_class", "osm_type", kind.alias("place_type")).agg(F.count("*").alias("places"))
 
 
+_ADDRESS_FIELDS = ["city", "town", "village", "municipality", "county", "suburb", "neighbourhood", "quarter", "city_district", "borough"]
+
+
+@query(
+    "structured_addresses",
+    f"""WITH f AS (SELECT c_custkey AS k, {', '.join(f"CASE WHEN (c_custkey // {i + 1}) % 3 = 0 THEN '{name} ' || c_nationkey WHEN (c_custkey // {i + 1}) % 3 = 1 THEN '' END AS {name}" for i, name in enumerate(_ADDRESS_FIELDS))} FROM customer)
+    SELECT k AS customer, coalesce(nullif(city, ''), nullif(town, ''), nullif(village, ''), nullif(municipality, ''), nullif(county, '')) AS city,
+      coalesce(nullif(suburb, ''), nullif(neighbourhood, ''), nullif(quarter, ''), nullif(city_district, ''), nullif(borough, '')) AS neighbourhood FROM f""",
+)
+def structured_addresses(spark, folder):
+    """City and neighbourhood of structured addresses of which any field may be missing or empty."""
+
+    def filled(i, name):
+        third = F.floor(F.col("c_custkey") / (i + 1)) % 3
+        return F.when(third == 0, F.concat(F.lit(f"{name} "), F.col("c_nationkey").cast("string"))).when(third == 1, "").alias(name)
+
+    address = F.struct(*[filled(i, name) for i, name in enumerate(_ADDRESS_FIELDS)])
+    customers = t.table(spark, folder, "customer").select(F.col("c_custkey").alias("customer"), address.alias("address"))
+    return customers.select("customer", geo_fn.address_city(F.col("address")).alias("city"), geo_fn.address_neighbourhood(F.col("address")).alias("neighbourhood"))
+
+
+@query(
+    "geo_entries",
+    f"""WITH {GEO} SELECT location, CASE WHEN lat >= 0 THEN {r('lat')} END AS lat, CASE WHEN lat >= 0 THEN {r('lon')} END AS lon,
+      CASE WHEN lat >= 0 THEN city END AS city, CASE WHEN lat >= 0 THEN country END AS country FROM geo""",
+)
+def geo_entries(spark, folder):
+    """Place files as JSON objects, one for each nation, in which places without coordinates are null."""
+    places = t.order_geo(spark, folder)
+    entry = F.when(F.col("lat") >= 0, F.to_json(F.struct("lat", "lon", "city", "country"))).otherwise(F.lit("null"))
+    # A name in quotes as JSON writes it.
+    name = F.regexp_extract(F.to_json(F.struct(F.col("location").alias("k"))), r'^\{"k":(.*)\}$', 1)
+    files = places.groupBy("lat").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat(name, F.lit(": "), entry)), ",\n"), F.lit("}")).alias("value"))
+    path = landed(spark)
+    files.repartition("lat").select(F.floor("lat").alias("nation"), "value").write.partitionBy("nation").text(path)
+    return geo_src.read_geo_json(spark, f"{path}/*/*.txt").select("location", "lat", "lon", "city", "country")
+
+
 @query(
     "region_labels",
     f"""WITH {GEO}, g AS (SELECT *, lat < -20 AS bare, lat < 20 AS cityless FROM geo)
