@@ -62,11 +62,16 @@ class Level:
 
     def __init__(self, depth: int, c: np.ndarray, x: np.ndarray, n: np.ndarray):
         self.depth = depth
-        self.contexts, at = np.unique(c, return_inverse=True)
-        byte, number = x.astype(np.int64), n.astype(np.float64)
+        self.pairs = (c.astype(np.int64) << 8) | x
+        order = np.argsort(self.pairs, kind="stable")
+        self.pairs = self.pairs[order]
+        self.contexts, at = np.unique(self.pairs >> 8, return_inverse=True)
+        byte, number = self.pairs & 0xFF, n[order].astype(np.float64)
         nodes = np.concatenate([(at << 8) | (1 << j) | (byte >> (8 - j)) for j in range(8)])
         bits = np.concatenate([(byte >> (7 - j)) & 1 for j in range(8)])
         self.keys, place = np.unique(nodes, return_inverse=True)
+        #: For each bit of each pair of context and byte, its place among the keys.
+        self.place = place.reshape(8, -1)
         weight = np.tile(number, 8)
         self.ones = np.bincount(place, weight * bits, len(self.keys))
         self.zeros = np.bincount(place, weight, len(self.keys)) - self.ones
@@ -145,18 +150,58 @@ class ContextTree:
             open_ = open_[~hit]
         return out
 
+    def _learnt(self, rows: list[np.ndarray], byte: np.ndarray) -> np.ndarray:
+        """The same for pairs that the tree was learnt from: ``rows`` has their places at each level, -1 where the context is no node."""
+        bits = (byte >> np.arange(7, -1, -1)[:, None]) & 1 == 1
+        chance, deepest = np.full(bits.shape, 0.5), np.ones(len(byte), bool)
+        for nodes, row in zip(self.levels[::-1], rows[::-1]):
+            here = np.flatnonzero(row >= 0)
+            at, bit, below = nodes.place[:, row[here]], bits[:, here], chance[:, here]
+            zeros, ones, own = nodes.zeros[at], nodes.ones[at], nodes.own[at]
+            end = deepest[here]
+            left = nodes.rest[:, at[:, end]]
+            below[:, end] = (np.where(bit[:, end], left[1], left[0]) + 0.5) / (left[0] + left[1] + 1)
+            chance[:, here] = own * (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1) + (1 - own) * below
+            deepest[here] = False
+        return np.log10(chance).sum(axis=0)
+
+    def _worked_out(self, keys: np.ndarray) -> np.ndarray:
+        rows, met = [], np.ones(len(keys), bool)
+        for level in self.levels:
+            mask = (1 << 8 * level.depth) - 1
+            pair = ((keys >> 8 & mask) << 8) | (keys & 0xFF)
+            row = np.minimum(np.searchsorted(level.pairs, pair), max(len(level.pairs) - 1, 0))
+            found = level.pairs[row] == pair if len(level.pairs) else np.zeros(len(keys), bool)
+            rows.append(np.where(found, row, -1))
+            none = np.flatnonzero(~found)
+            context = keys[none] >> 8 & mask
+            if len(level.contexts):
+                # A byte that never followed a node's context.
+                at = np.minimum(np.searchsorted(level.contexts, context), len(level.contexts) - 1)
+                met[none[level.contexts[at] == context]] = False
+        out = np.empty(len(keys))
+        out[met] = self._learnt([row[met] for row in rows], keys[met] & 0xFF)
+        out[~met] = self._computed(keys[~met])
+        return out
+
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the chance of each byte after its context, both in one number as ``grams`` gives it; worked out once for each."""
+        """log10 of the chance of each byte after its context, both in one number as ``grams`` gives it.
+
+        What is asked for is remembered, unless it is little beside what is known.
+        """
         known, logs = self.known
         place = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
         new = known[place] != keys if len(known) else np.ones(len(keys), bool)
+        out = np.where(new, 0.0, logs[place]) if len(known) else np.zeros(len(keys))
         if new.any():
-            more = np.unique(keys[new])
-            known, logs = np.append(known, more), np.append(logs, self._computed(more))
-            order = np.argsort(known, kind="stable")
-            known, logs = self.known = known[order], logs[order]
-            place = np.searchsorted(known, keys)
-        return logs[place] if len(keys) else np.zeros(0)
+            more, back = np.unique(keys[new], return_inverse=True)
+            found = self._worked_out(more)
+            out[new] = found[back]
+            if 50 * len(more) > len(known):
+                known, logs = np.append(known, more), np.append(logs, found)
+                order = np.argsort(known, kind="stable")
+                self.known = known[order], logs[order]
+        return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 of the chance of each text and its end."""

@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datelore.llm.common import LOWER_BYTES, extend, saved, slices, texts_of
-from datelore.llm.contexttree import ContextTree, Level, grams, sums
+from datelore.llm.contexttree import EDGE, ContextTree, Level, grams, sums
 
 #: Different grams a task holds before it hands them on.
-HELD = 1_500_000
+HELD = 2_000_000
 #: Different words likewise.
 HELD_WORDS = 300_000
 #: Bytes of text for each bucket of grams.
@@ -29,7 +29,7 @@ BUCKET_BYTES = 8 << 20
 #: Bytes of the context that tell a branch, and so the levels above branches: contexts of 0 to 2 bytes.
 CUT = 3
 #: Bytes of a block of texts, which asks for each of its grams once; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: A context is a node of its own if it was seen at least so often.
 LEAST = 2
 
@@ -62,8 +62,82 @@ def lowered(batch: pa.RecordBatch, text: str) -> list[bytes]:
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(keys, kind="stable")  # sorted runs, which it takes one after another
+    keys, n = keys[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The different numbers of some arrays, sorted."""
+    keys = np.sort(np.concatenate(parts))
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def _compressed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _restored(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first, so that the many equal ones compress."""
+    return _compressed(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+
+
+def unpacked(x: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(_restored(x), np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+
+
+def packed_grams(keys: np.ndarray) -> bytes:
+    """Sorted grams as the steps between them."""
+    return packed(np.diff(keys, prepend=0))
+
+
+def unpacked_grams(x: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(x, "<i8"))
+
+
+class Places:
+    """Where each of some numbers stands, in a table of their hashes: for many lookups in no order."""
+
+    AT_ONCE = 1 << 18
+
+    def __init__(self, numbers: np.ndarray):
+        self.numbers = numbers
+        self.bits = max(int(2.5 * len(numbers)).bit_length(), 4)
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        left, step, first = np.arange(len(numbers), dtype=np.int32), 0, self._first(numbers)
+        while len(left):
+            slot = (first[left] + step) & (len(self.table) - 1)
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            left, step = left[self.table[slot] != left], step + 1
+
+    def _first(self, numbers: np.ndarray) -> np.ndarray:
+        return ((numbers.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """Places of numbers that are all there."""
+        out = np.empty(len(numbers), np.int32)
+        for a in range(0, len(numbers), self.AT_ONCE):
+            some = numbers[a : a + self.AT_ONCE]
+            first, step = self._first(some), 1
+            found = self.table[first]
+            left = np.flatnonzero(self.numbers[found] != some)
+            while len(left):
+                found[left] = self.table[(first[left] + step) & (len(self.table) - 1)]
+                left, step = left[self.numbers[found[left]] != some[left]], step + 1
+            out[a : a + self.AT_ONCE] = found
+        return out
 
 
 def cut_of(depth: int) -> int:
@@ -80,49 +154,57 @@ def by_bucket(keys: np.ndarray, depth: int, buckets: int) -> Iterator[tuple[int,
         yield int(bucket[order[a]]), order[a:b]
 
 
-def corpus_counts(df: DataFrame, text: str, depth: int, buckets: int) -> DataFrame:
-    """``(bucket, grams, n, word, times)``: how often each gram and each word stands in the texts, summed in tasks as far as they hold them.
+def gram_counts(df: DataFrame, text: str, depth: int, buckets: int) -> DataFrame:
+    """``(bucket, grams, n)``: how often each gram stands in the texts, summed in tasks as far as they hold them.
 
-    Grams come as sorted lists for each bucket, packed as longs; words one by one.
+    Grams come as sorted lists for each bucket, packed.
     """
 
     def count(batches):
-        parts, words = [], Counter()
+        parts, held = [], 0
 
-        def table(size, bucket=None, packed=None, n=None, word=None, times=None):
-            columns = [(bucket, pa.int32()), (packed, pa.binary()), (n, pa.binary()), (word, pa.binary()), (times, pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.nulls(size, k) if c is None else pa.array(c, k) for c, k in columns], names=["bucket", "grams", "n", "word", "times"])
+        def out():
+            keys, n = parts.pop()
+            for bucket, at in by_bucket(keys, depth, buckets):
+                columns = [pa.array([bucket], pa.int32()), pa.array([packed_grams(keys[at])], pa.binary()), pa.array([packed(n[at])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "grams", "n"])
 
-        def out(final: bool):
-            nonlocal parts, words
-            if parts:
-                parts = [_merged(parts)]
-                if final or len(parts[0][0]) > HELD // 2:
-                    keys, n = parts.pop()
-                    for bucket, at in by_bucket(keys, depth, buckets):
-                        yield table(1, [bucket], [keys[at].tobytes()], [n[at].tobytes()])
-            if words and (final or len(words) > HELD_WORDS):
-                yield table(len(words), word=list(words), times=list(words.values()))
-                words = Counter()
-
-        held = 0
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = lowered(part, "text")
-                parts.append(np.unique(grams(texts, depth)[0], return_counts=True))
+                parts.append(np.unique(grams(lowered(part, "text"), depth)[0], return_counts=True))
                 held += len(parts[-1][0])
-                for x in texts:
-                    words.update(x.split())
-                if held > HELD or len(words) > HELD_WORDS:
-                    yield from out(False)
+                if held > HELD:
+                    parts = [_merged(parts)]
+                    if len(parts[0][0]) > HELD // 2:
+                        yield from out()
                     held = sum(len(k) for k, _ in parts)
-        yield from out(True)
+        if parts:
+            parts = [_merged(parts)]
+            yield from out()
 
-    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "bucket int, grams binary, n binary, word binary, times long")
+    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "bucket int, grams binary, n binary")
 
 
-def _longs(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.int64)
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """``(word, c)``: how often each word stands in the texts, summed in tasks as far as they hold them, then by Spark."""
+
+    def count(batches):
+        words = Counter()
+
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for x in lowered(part, "text"):
+                    words.update(x.split())
+                if len(words) > HELD_WORDS:
+                    yield table()
+                    words = Counter()
+        yield table()
+
+    counted = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word binary, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def merged_buckets(counts: DataFrame) -> DataFrame:
@@ -133,21 +215,21 @@ def merged_buckets(counts: DataFrame) -> DataFrame:
 
         def row():
             keys, n = _merged(parts)
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["bucket", "grams", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([packed_grams(keys)], pa.binary()), pa.array([packed(n)], pa.binary())], names=["bucket", "grams", "n"])
 
         for batch in batches:
-            for bucket, packed, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, steps, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != key and parts:
                     yield row()
                     parts = []
                 key = bucket
-                parts.append((_longs(packed), _longs(n)))
+                parts.append((unpacked_grams(steps), unpacked(n, "<i8")))
                 if len(parts) > 1 and sum(len(k) for k, _ in parts[1:]) > max(HELD, len(parts[0][0])):
                     parts = [_merged(parts)]
         if parts:
             yield row()
 
-    dealt = counts.select("bucket", "grams", "n").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = counts.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(merge, "bucket int, grams binary, n binary")
 
 
@@ -180,8 +262,8 @@ def top_levels(branches: DataFrame, depth: int) -> list[Level]:
 
     def tell(batches):
         for batch in batches:
-            for packed, n in zip(batch.column("grams").to_pylist(), batch.column("n").to_pylist()):
-                keys, n = _longs(packed), _longs(n)
+            for steps, n in zip(batch.column("grams").to_pylist(), batch.column("n").to_pylist()):
+                keys, n = unpacked_grams(steps), unpacked(n, "<i8")
                 pair, place = np.unique(keys & ((mask << 8) | 0xFF), return_inverse=True)
                 parent, prefix, told = branch(depth, keys, n).levels[cut].below()
                 spot, where = np.unique((parent << 8) | prefix, return_inverse=True)
@@ -223,10 +305,9 @@ def fit(df: DataFrame, learn: Column, text: str = "text", depth: int = 6, freque
     held = df.filter(learn)
     size = held.agg(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    counts = saved(corpus_counts(held, text, depth, buckets), "counts")
-    branches = saved(merged_buckets(counts.filter("grams is not null")), "branches")
+    branches = saved(merged_buckets(gram_counts(held, text, depth, buckets)), "branches", "zstd")
     top = top_levels(branches, depth)
-    words = saved(counts.filter("word is not null").groupBy("word").agg(F.sum("times").alias("c")), "words")
+    words = saved(word_counts(held, text), "words")
     total = words.agg(F.sum("c").alias("words"), F.count(F.lit(1)).alias("distinct")).first()
     documents = held.count()
     tokens, distinct = (total["words"] or 0) + documents, total["distinct"] + (documents > 0)
@@ -243,9 +324,9 @@ def asked_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
         def out():
             nonlocal parts, held
             if parts:
-                keys = np.unique(np.concatenate(parts))
+                keys = distinct(parts)
                 for bucket, at in by_bucket(keys, depth, buckets):
-                    columns = [pa.array([bucket], pa.int32()), pa.array([key], pa.int64()), pa.array([keys[at].tobytes()], pa.binary())]
+                    columns = [pa.array([bucket], pa.int32()), pa.array([key], pa.int64()), pa.array([packed_grams(keys[at])], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "grams"])
             parts, held = [], 0
 
@@ -257,20 +338,18 @@ def asked_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
                     if blocks[a] != key:
                         yield from out()
                         key = int(blocks[a])
-                    parts.append(np.unique(grams(texts[a:b], depth)[0]))
+                    parts.append(distinct([grams(texts[a:b], depth)[0]]))
                     held += len(parts[-1])
-                    if held > HELD:
-                        parts = [np.unique(np.concatenate(parts))]
+                    if held > HELD + len(parts[0]):
+                        parts = [distinct(parts)]
                         held = len(parts[0])
-                        if held > HELD // 2:
-                            yield from out()
         yield from out()
 
     return texts.mapInArrow(ask, "bucket int, block long, grams binary")
 
 
 def answered_grams(asked: DataFrame, model: LanguageModel) -> DataFrame:
-    """``(block, grams, logs)``: log10 of the chance of each gram asked for, from the branches of its bucket."""
+    """``(block, grams, logs)``: log10 of the chance of each gram asked for, in single precision, from the branches of its bucket."""
     depth, top = model.depth, model.top
     none = F.lit(None).cast("binary")
     rows = model.branches.select("bucket", F.lit(-1).cast("long").alias("block"), "grams", "n").union(asked.select("bucket", "block", "grams", none.alias("n")))
@@ -279,21 +358,39 @@ def answered_grams(asked: DataFrame, model: LanguageModel) -> DataFrame:
     def answer(batches):
         key, tree = None, None
         for batch in batches:
-            for bucket, block, packed, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, block, steps, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != key:
                     key, tree = bucket, None
+                keys = unpacked_grams(steps)
                 if n is not None:
-                    tree = branch(depth, _longs(packed), _longs(n), top)
-                    tree.log10(_longs(packed))
+                    tree = branch(depth, keys, unpacked(n, "<i8"), top)
+                    tree.log10(keys)
                     continue
                 if tree is None:  # nothing was learnt in this bucket
-                    tree = branch(depth, np.zeros(0, np.int64), np.zeros(0, np.int64), top)
-                logs = tree.log10(_longs(packed))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed], pa.binary()), pa.array([logs.tobytes()], pa.binary())], names=["block", "grams", "logs"])
+                    tree = branch(depth, keys[:0], keys[:0], top)
+                logs = tree.log10(keys).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([steps], pa.binary()), pa.array([packed(logs)], pa.binary())], names=["block", "grams", "logs"])
 
     return dealt.mapInArrow(answer, "block long, grams binary, logs binary")
 
 
+def bundles(texts: DataFrame) -> DataFrame:
+    """``(block, rows, texts)``: lowered texts of ``texts(block, row, text)``, a few megabytes compressed together, with their rows."""
+
+    def bundle(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                blocks, rows, texts = part.column("block").to_numpy(), part.column("row").to_numpy(), lowered(part, "text")
+                cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(texts)]
+                for a, b in zip(cuts, cuts[1:]):
+                    # No UTF-8 text holds the edge.
+                    held = _compressed(bytes([EDGE]).join(texts[a:b]))
+                    columns = [pa.array([blocks[a]], pa.int64()), pa.array([rows[a:b].astype("<i8").tobytes()], pa.binary()), pa.array([held], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["block", "rows", "texts"])
+
+    return texts.mapInArrow(bundle, "block long, rows binary, texts binary")
+
+
 def text_scores(texts: DataFrame, model: LanguageModel) -> DataFrame:
     """``(row, score)`` for ``texts(block, row, text)``: log10 of the chance of each text and its end by the tree.
 
@@ -301,33 +398,27 @@ def text_scores(texts: DataFrame, model: LanguageModel) -> DataFrame:
     """
     depth = model.depth
     answers = answered_grams(asked_grams(texts.select("block", "text"), depth, model.buckets), model)
-    empty = F.lit(None)
-    rows = answers.select("block", "grams", "logs", empty.cast("long").alias("row"), empty.cast("string").alias("text")).union(
-        texts.select("block", empty.cast("binary").alias("grams"), empty.cast("binary").alias("logs"), "row", F.coalesce("text", F.lit("")).alias("text"))
-    )
+    none = F.lit(None).cast("binary")
+    asked = bundles(texts).select("block", none.alias("grams"), none.alias("logs"), "rows", "texts")
+    rows = answers.select("block", "grams", "logs", none.alias("rows"), none.alias("texts")).union(asked)
     dealt = rows.repartition("block").sortWithinPartitions("block", F.col("grams").isNull())
 
     def score(batches):
-        key, parts, keys, logs = None, [], None, None
+        key, parts, places, logs = None, [], None, None
         for batch in batches:
-            for part in slices(batch, "text"):
-                blocks, packed = part.column("block").to_numpy(), part.column("grams")
-                is_text = part.column("text").is_valid().to_numpy(zero_copy_only=False)
-                new = (np.diff(blocks) != 0) | (np.diff(is_text.astype(np.int8)) != 0)
-                cuts = [0, *(np.flatnonzero(new) + 1).tolist(), part.num_rows]
-                for a, b in zip(cuts, cuts[1:]):
-                    if blocks[a] != key:
-                        key, parts, keys = int(blocks[a]), [], None
-                    some = part.slice(a, b - a)
-                    if not is_text[a]:
-                        parts += [(_longs(g), np.frombuffer(x)) for g, x in zip(packed.slice(a, b - a).to_pylist(), some.column("logs").to_pylist())]
-                        continue
-                    if keys is None:
-                        keys, first = np.unique(np.concatenate([k for k, _ in parts]), return_index=True)
-                        logs, parts = np.concatenate([x for _, x in parts])[first], []
-                    asked, sizes = grams(lowered(some, "text"), depth)
-                    found = sums(logs[np.searchsorted(keys, asked)], sizes)
-                    yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(found)], names=["row", "score"])
+            for i in range(batch.num_rows):
+                block, steps, told, numbers, held = (c[i].as_py() for c in batch.columns)
+                if block != key:
+                    key, parts, places = block, [], None
+                if steps is not None:
+                    parts.append((unpacked_grams(steps), unpacked(told, "<f4")))
+                    continue
+                if places is None:
+                    places, logs = Places(np.concatenate([k for k, _ in parts])), np.concatenate([x for _, x in parts])
+                    parts = []
+                asked, sizes = grams(_restored(held).split(bytes([EDGE])), depth)
+                found = logs[places.of(asked)].astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(numbers, "<i8")), pa.array(sums(found, sizes))], names=["row", "score"])
 
     return dealt.mapInArrow(score, "row long, score double")
 
@@ -379,7 +470,7 @@ def score_texts(df: DataFrame, model: LanguageModel, text: str = "text") -> Data
     others = [c for c in kept.columns if c != text and c.lower() not in ("n_tokens", "score")]
     # Numbers of rows are only relied on after they are written down.
     packed = kept.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("kept"), F.col(f"`{text}`").alias(text), F.monotonically_increasing_id().alias("row"))
-    near = saved(extend(packed, text, outputs, compute), "scores")
+    near = saved(extend(packed, text, outputs, compute), "scores", "zstd")
     by_tree = text_scores(near.select("block", "row", F.col(text).alias("text")), model)
     near = near.drop(text)
 

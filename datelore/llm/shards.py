@@ -22,7 +22,7 @@ from datelore.llm.words import word_encoder
 
 NO_ID = -(1 << 63)
 #: Documents that a task reads back; a shard with more is read by several.
-PIECE = 4096
+PIECE = 1 << 14
 
 
 def file_system(uri: str):
