@@ -80,7 +80,7 @@ def compiled(rules):
                 lay(offset ^ b, child, b)
 
     lay(0, trie, 0)
-    array = np.zeros(max(units) + 257, "<u4")
+    array = np.zeros(-(-(max(units) + 257) // 256) * 256, "<u4")
     for at, unit in units.items():
         array[at] = unit
     return len(array.tobytes()).to_bytes(4, "little") + array.tobytes() + blob
