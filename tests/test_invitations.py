@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from datelore.operators.reconnect import ring_candidates, served_in_order
+from datelore.operators.reconnect import drawn_candidates, ring_candidates, served_in_order
 
 T0 = dt.datetime(2024, 8, 1)
 UPCOMING = "owner int, event_id string, event_title string, event_category string, event_start timestamp_ntz, event_location string, _guests array<string>, region string"
@@ -67,3 +67,28 @@ def test_rows_follow_events_and_not_people(spark):
     picked = served_in_order(candidates, 5)
     sums = picked.agg(F.count("*").alias("n"), F.countDistinct("person").alias("people")).first()
     assert (sums["n"], sums["people"]) == (3000, 3000)
+
+
+def test_every_event_draws_from_all_its_people(spark):
+    """Each event has an order of its own over everyone eligible, which a ring of people does not give; events with one id are two events."""
+    rng = random.Random(3)
+    people = [f"p{i}" for i in range(23)]
+    eligible = [(o, c, p, 1.0, rng.choice([None, "here", "there"])) for o in (0, 1) for c in "xy" for p in people if rng.random() < 0.7]
+    upcoming = [
+        (o, f"e{k}", "t", rng.choice("xyz"), T0 + dt.timedelta(hours=rng.randrange(20)), "l", rng.sample(people, rng.choice([0, 3, 20])), rng.choice([None, "here", "nowhere"]))
+        for o in (0, 1)
+        for k in range(30)
+    ]
+    upcoming += [(2, "e", "t", "x", T0, "l", [], None)] * 2
+    eligible += [(2, "x", p, 1.0, None) for p in people]
+    expected, known = [], {}
+    for owner, event, _, category, _, _, guests, region in sorted(upcoming, key=lambda e: (e[0], e[4], e[1])):
+        asked = [p for o, c, p, _, usual in eligible if (o, c) == (owner, category) and (region is None or usual == region) and p not in guests]
+        asked.sort(key=lambda p: (digest(5, event, p), p))
+        met = known.setdefault(owner, set())
+        picks = ([p for p in asked if p not in met] + [p for p in asked if p in met])[:4]
+        met.update(picks)
+        expected += [(owner, event, p) for p in picks]
+    candidates = drawn_candidates(spark.createDataFrame(upcoming, UPCOMING), spark.createDataFrame(eligible, ELIGIBLE), 4, 5, ["owner"])
+    found = served_in_order(candidates, 4, ["owner"]).collect()
+    assert sorted((r["owner"], r["event_id"], r["person"]) for r in found) == sorted(expected)
