@@ -6,10 +6,11 @@ any size splits across tasks and no task ever holds a whole file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datelore.functions import text
+from datelore.operators.common import reading_all
 from datelore.schema import RAW_EVENT
 from datelore.sources import zones
 from datelore.sources.records import iso_text
@@ -33,7 +34,7 @@ def iso_utc(params: Column, value: Column, own_zones: Column) -> Column:
     """
     wall = zones.wall_time(value)
     zone = text.none_if_empty(F.trim(F.regexp_extract(params, r'(?i);TZID="?([^";:]+)"?', 1)))
-    moment = F.when(zone.isNotNull() & ~value.endswith("Z"), zones.to_utc(wall, zone, own_zones)).otherwise(wall)
+    moment = F.when(~value.endswith("Z") & zone.isNotNull(), zones.to_utc(wall, zone, own_zones)).otherwise(wall)
     date = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     day = F.when(value.rlike(r"^\d{8}$"), date.try_cast("timestamp_ntz"))
     return iso_text(F.coalesce(moment, day))
@@ -65,71 +66,77 @@ def read_ics(spark: SparkSession, path, source_id: str, default_title: str) -> D
 def parse_ics(raw: DataFrame, source_id: Column, default_title: Column) -> DataFrame:
     """Events of ``raw_records`` in file order; ``source_id`` and ``default_title`` may depend on ``file``. Also gives ``file``.
 
-    What holds for a whole file (its name, its time zones and the years its events lie in) is summed up
-    in one row for each file, which meets the events again.
+    What holds for a whole file (its name, its source, its time zones and the years its events lie in) and where the events of
+    each of its blocks begin to count is summed up in one row for each block, which meets the events again. So the text is
+    read twice, and only once for the events.
     """
-    records = raw.select("file", "block", F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", r"\r?\n[ \t]", "").alias("body"))
+    # Asked of all uses alike, so that Spark adds no such filter to one of them and sums up blocks twice.
+    placed = raw.filter("file is not null and block is not null")
+    records = placed.select("file", "block", F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", r"\r?\n[ \t]", "").alias("body"))
     header = r"(?im)^X-WR-CALNAME(?:;[^:\r\n]*)?:(.*?)\r?$"
     body = F.col("body")
-    blocks = F.regexp_extract_all(body, F.lit(zones.ZONE_BLOCK), F.lit(0))
+    is_event = body.rlike(r"(?im)^END:VEVENT")
+    zone_blocks = F.regexp_extract_all(body, F.lit(zones.ZONE_BLOCK), F.lit(0))
     years = F.transform(F.regexp_extract_all(body, F.lit(r"(?im)^DT(?:START|END)(?:;[^:\r\n]*)?:(\d{4})"), F.lit(1)), lambda y: y.cast("int"))
-    bounds = F.when(body.rlike(r"(?im)^END:VEVENT"), F.struct(F.array_min(years).alias("low"), F.array_max(years).alias("high")))
-    files = records.groupBy("file").agg(
-        F.min_by(F.when(body.rlike(header), unescape(F.regexp_extract(body, header, 1))), F.when(body.rlike(header), F.struct("block", "seq"))).alias("calendar_name"),
-        F.flatten(F.collect_list(F.when(F.size(blocks) > 0, blocks))).alias("zone_blocks"),
-        F.min(bounds["low"]).alias("first_year"),
-        F.max(bounds["high"]).alias("last_year"),
+    told = records.select("file", "block", "seq", "body", zone_blocks.alias("found"), F.when(is_event, years).alias("years"), body.rlike(header).alias("named"))
+    blocks = told.groupBy("file", "block").agg(
+        F.min_by(F.when(F.col("named"), unescape(F.regexp_extract(body, header, 1))), F.when(F.col("named"), F.col("seq"))).alias("calendar_name"),
+        F.flatten(F.collect_list(F.when(F.size("found") > 0, F.col("found")))).alias("zone_blocks"),
+        F.min(F.array_min("years")).alias("first_year"),
+        F.max(F.array_max("years")).alias("last_year"),
+        F.max("named").alias("named"),
+        # The first block's leading record is the file header, not an event; only events are counted.
+        F.min(F.when(F.col("years").isNotNull(), F.col("seq"))).alias("first_seq"),
+        F.count("years").alias("n"),
+    )
+    blocks = reading_all(blocks)
+    files = blocks.groupBy("file").agg(
+        F.min_by("calendar_name", F.when(F.col("named"), F.col("block"))).alias("calendar_name"),
+        F.flatten(F.collect_list("zone_blocks")).alias("zone_blocks"),
+        F.min("first_year").alias("first_year"),
+        F.max("last_year").alias("last_year"),
     )
     own = zones.zone_table(files.select("file", F.explode("zone_blocks").alias("zone_block"), "first_year", "last_year"))
-    known = files.select("file", "calendar_name").join(own, "file", "left")
-    events = records.filter(F.col("body").rlike(r"(?im)^END:VEVENT")).withColumn(
+    title = F.coalesce(text.none_if_empty(F.col("calendar_name")), default_title)
+    known = files.select("file", title.alias("calendarTitle"), source_id.alias("source_id")).join(own, "file", "left")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.filter("n > 0").select("file", "block", "first_seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    events = records.filter(is_event).withColumn(
         "body", F.regexp_replace(F.regexp_replace("body", r"(?is)END:VEVENT.*\z", ""), r"(?is)BEGIN:VALARM.*?END:VALARM", "")
     )
-    titled = events.join(known, "file", "left")
-    notes = text.none_if_empty(unescape(_property(body, "DESCRIPTION")))
-    start_text = _property(body, "DTSTART")
-    start = iso_utc(_property(body, "DTSTART", 1), start_text, F.col("zones"))
-    end = iso_utc(_property(body, "DTEND", 1), _property(body, "DTEND"), F.col("zones"))
-    uid = _property(body, "UID")
-    parsed = titled.filter(start_text.isNotNull()).select(
+    titled = events.join(starts.join(known, "file"), ["file", "block"])
+    # Each property is looked for once.
+    names = {"summary": "SUMMARY", "place": "LOCATION", "start": "DTSTART", "end": "DTEND", "uid": "UID", "link": "URL", "rule": "RRULE"}
+    titled = titled.select(
+        "file", "block", "seq", "first_seq", "offset", "zones", "source_id", "calendarTitle",
+        *[_property(body, name).alias(f"_{column}") for column, name in names.items()],
+        *[_property(body, names[column], 1).alias(f"_{column}_params") for column in ("start", "end")],
+        text.none_if_empty(unescape(_property(body, "DESCRIPTION"))).alias("notes"),
+        _attendees(body).alias("attendees"),
+    ).filter(F.col("_start").isNotNull())
+    start = iso_utc(F.col("_start_params"), F.col("_start"), F.col("zones"))
+    end = iso_utc(F.col("_end_params"), F.col("_end"), F.col("zones"))
+    # An event without a UID is numbered by its position in the file. Records of one block are consecutive in their partition, so
+    # that is the events of earlier blocks plus the distance to its block's first event.
+    position = (F.col("offset") + F.col("seq") - F.col("first_seq")).cast("string")
+    timed = titled.withColumns({"startDate": start, "endDate": end, "_own": text.none_if_empty(F.col("_uid"))})
+    return timed.select(
         "file",
         "block",
         "seq",
-        text.none_if_empty(uid).alias("uid"),
-        F.coalesce(unescape(_property(body, "SUMMARY")), F.lit("")).alias("title"),
-        notes.alias("notes"),
-        text.none_if_empty(unescape(_property(body, "LOCATION"))).alias("location"),
-        start.alias("startDate"),
-        F.coalesce(end, start).alias("endDate"),
-        start_text.rlike(r"^\d{8}$").alias("isAllDay"),
-        F.coalesce(text.none_if_empty(F.col("calendar_name")), default_title).alias("calendarTitle"),
+        F.col("_own").alias("uid"),
+        F.coalesce(unescape(F.col("_summary")), F.lit("")).alias("title"),
+        "notes",
+        text.none_if_empty(unescape(F.col("_place"))).alias("location"),
+        "startDate",
+        F.coalesce("endDate", "startDate").alias("endDate"),
+        F.col("_start").rlike(r"^\d{8}$").alias("isAllDay"),
+        "calendarTitle",
         F.lit(None).cast("string").alias("calendarColorHex"),
-        _attendees(body).alias("attendees"),
-        _property(body, "RRULE").isNotNull().alias("isRecurring"),
-        text.none_if_empty(_property(body, "URL")).alias("url"),
-        text.parse_note_tags(notes).alias("noteTags"),
-    )
-    return _with_ids(parsed, events, source_id)
-
-
-def _with_ids(parsed: DataFrame, events: DataFrame, source_id: Column) -> DataFrame:
-    """Ids from UID; an event without one is numbered by its position in the file.
-
-    Records of one file block are consecutive in their partition, so a position is
-    the block's offset among earlier blocks plus the distance to its first record.
-    """
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # The first block's leading record is the file header, not an event; only events are counted.
-    blocks = events.groupBy("file", "block").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
-    blocks = blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    positions = (
-        parsed.filter(F.col("uid").isNull())
-        .select("file", "block", "seq")
-        .join(blocks, ["file", "block"])
-        .select("file", "block", "seq", (F.col("offset") + F.col("seq") - F.col("first_seq")).alias("position"))
+        "attendees",
+        F.col("_rule").isNotNull().alias("isRecurring"),
+        text.none_if_empty(F.col("_link")).alias("url"),
+        text.parse_note_tags(F.col("notes")).alias("noteTags"),
+        F.concat_ws(":", "source_id", F.coalesce("_own", F.concat_ws("-", "source_id", position))).alias("id"),
+        "source_id",
     )
-    joined = parsed.join(positions, ["file", "block", "seq"], "left")
-    fallback = F.concat_ws("-", source_id, F.col("position").cast("string"))
-    return joined.withColumns({"id": F.concat_ws(":", source_id, F.coalesce("uid", fallback)), "source_id": source_id})

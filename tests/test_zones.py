@@ -174,3 +174,17 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     # Events of a batch whose log is missing are not there yet.
     calendars.replaced(spark, write(3, ""), table, 2)[0].write.parquet(f"{table}/events/epoch=2")
     assert sorted(r["id"] for r in calendars.landed_ics(spark, table).collect()) == ["s:1", "s:2"]
+
+
+def test_a_batch_parses_its_files_once(spark, tmp_path, monkeypatch):
+    """The log compares the events that were written; events without a UID keep their numbers, and older versions stay out."""
+    made = []
+    monkeypatch.setattr(calendars, "_logged", lambda spark, events, *rest, _old=calendars._logged: made.append(events.inputFiles()) or _old(spark, events, *rest))
+    folder, table = str(tmp_path / "in"), str(tmp_path / "table")
+    bare = "BEGIN:VEVENT\nDTSTART:20200101T100000Z\nEND:VEVENT\n"
+    version(folder, "a", 1, bare)
+    version(folder, "a", 2, bare, event("7", "20200101T100000Z"), bare)
+    calendars.land_ics(calendars.stream_ics(spark, folder), table, str(tmp_path / "state")).awaitTermination()
+    assert len(made) == 1 and made[0] and all("/events/epoch=0/" in path for path in made[0])
+    assert sorted(r["id"] for r in calendars.landed_ics(spark, table).collect()) == ["a:7", "a:a-0", "a:a-2"]
+    assert [(r["version"], r["event_count"], r["added"]) for r in calendars.sync_log(spark, table).collect()] == [("v2", 3, 3)]
