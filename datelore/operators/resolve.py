@@ -187,8 +187,8 @@ def resolve_locations(
     place = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in GEO_FIELDS.fields])
     entries = gazetteer.select(F.lower("query").alias("_key"), F.col("rank").alias("_rank"), place.alias("_place"))
 
-    def looked_up(attempts: DataFrame, carried: Sequence[str]) -> DataFrame:
-        """The best match of each place's attempts (_try, _text), with what else belongs to the place."""
+    def looked_up(attempts: DataFrame, carried: Sequence[Column]) -> DataFrame:
+        """The best match of each place's attempts (_try, _text), with what else is gathered of them."""
         keyed = attempts.withColumn("_key", F.lower("_text"))
         keyed = keyed.join(boxes, keys, "left") if keys else attach_per_key(keyed, boxes, keys)
         met = keyed.join(entries, "_key", "left")
@@ -197,15 +197,21 @@ def resolve_locations(
         counts = F.col("_place").isNotNull() & (bounds.isNull() | inside(bounds, lat, lon))
         outside = F.when(bounds.isNotNull() | F.col("bias_box").isNull() | inside(F.col("bias_box"), lat, lon), 0).otherwise(1)
         best = F.min_by("_place", F.when(counts, F.struct("_try", outside, "_rank", "_place")))
-        return met.groupBy(*on).agg(best.alias("_place"), *[F.first(c).alias(c) for c in carried])
+        return met.groupBy(*on).agg(best.alias("_place"), *carried)
 
     # Most places match at once; only the rest is worth rewriting. Both read one aggregate, so what tells them apart is part of it.
     first = queried.select(*on, "_anchor", "_query", "_complete", F.lit(0).alias("_try"), F.col("_query").alias("_text"))
-    tried = reading_all(looked_up(first, ["_anchor", "_query", "_complete"]))
+    tried = reading_all(looked_up(first, [F.first(c).alias(c) for c in ("_anchor", "_query", "_complete")]))
     rewritable = F.col("_place").isNull() & F.col("_complete")
-    listed = retry_queries(tried.filter(rewritable).drop("_place"), "_query", "_retries")
-    again = listed.select(*on, "_anchor", "_query", "_retries", F.posexplode_outer("_retries").alias("_try", "_option"))
-    again = looked_up(again.withColumn("_text", F.col("_option")["query"]), ["_anchor", "_query", "_retries"])
+    listed = retry_queries(tried.filter(rewritable).select(*on, "_query"), "_query", "_retries")
+    # An attempt moves with its own text only: the first also has the query, and the list is put together again from its entries.
+    # Complete addresses have no anchor.
+    option, no_anchor = F.col("_option"), F.lit(None).cast(_ANCHOR_TYPE)
+    again = listed.select(*on, "_query", F.posexplode_outer("_retries").alias("_try", "_option"))
+    again = again.withColumns({"_query": F.when(F.coalesce("_try", F.lit(0)) == 0, F.col("_query")), "_text": option["query"], "_anchor": no_anchor})
+    entry = F.when(option.isNotNull(), F.struct("_try", "_option"))
+    in_order = F.transform(F.array_sort(F.collect_set(entry)), lambda e: e["_option"])
+    again = looked_up(again, [F.max("_query").alias("_query"), in_order.alias("_retries")]).withColumn("_anchor", no_anchor)
     settled = tried.filter(~rewritable).drop("_complete").withColumn("_retries", F.array().cast(again.schema["_retries"].dataType))
     joined = settled.unionByName(again)
     anchor = F.col("_anchor")

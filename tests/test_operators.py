@@ -427,3 +427,22 @@ def test_anchor_stands_in_for_an_unknown_room(spark):
     cached = resolve.update_geo(nothing, resolve.resolve_locations(requested, gazetteer, nothing, nothing))
     again = resolve.to_resolve(requested, cached, nothing)
     assert {row.location for row in again.collect()} == {"1 Main St, LA, CA 90001"}
+
+
+def test_rewritten_queries_move_without_their_list(spark):
+    """The lookup of rewrites moves each with its own text; reasons still list them in order, once each however many entries match."""
+    line = "7 Hills Bakery 12 8th St SE, Unit 733, Van Nuys, CA 91234, United States"
+    requested = spark.createDataFrame([(line, "Work"), ("UCLA Annex 3", "Work")], "location string, category string")
+    columns = "query string, rank int, lat double, lon double, display_name string, city string, country string, neighbourhood string, state string, place_type string"
+    gazetteer = spark.createDataFrame([("elsewhere", k, 1.0, 2.0, None, None, None, None, None, None) for k in range(2)], columns)
+    nothing = gazetteer.select(F.lit("x").alias("location"), "lat", "lon").limit(0)
+    resolved = resolve.resolve_locations(requested, gazetteer, nothing, nothing)
+    out = {row.location: row for row in resolved.collect()}
+    tried = resolve.retry_queries(spark.createDataFrame([(line,)], "q string").select(resolve.anchored_query(F.col("q"), resolve.match_anchor(F.col("q"), F.lit(""))).alias("q")), "q").first()
+    assert len(tried.retries) > 2
+    assert out[line].reason.split("; ")[1:] == [f'also tried {e.label} ("{e.query}"): {resolve.NO_MATCH}' for e in tried.retries]
+    assert out["UCLA Annex 3"].status == "approximate"
+    # Complete addresses have no anchor, so their rewrites are no part of the places that stand in for others.
+    assert "posexplode" not in resolve.approximate_places(resolved, requested)._jdf.queryExecution().optimizedPlan().toString()
+    again = resolve.approximate_places(resolved, requested).collect()
+    assert [row.location for row in again] == ["UCLA Annex 3"]
