@@ -18,6 +18,8 @@ import numpy as np
 #: Stands before and after a text; no UTF-8 text holds it.
 EDGE = 0xFF
 HALF = np.log(0.5)
+#: Grams worked out together, each of which takes eight bits at every level.
+AT_ONCE = 1 << 17
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -33,6 +35,8 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 def log_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
+    if np.size(zeros) > 8 * AT_ONCE:
+        return np.concatenate([log_block(zeros[a : a + 8 * AT_ONCE], ones[a : a + 8 * AT_ONCE]) for a in range(0, len(zeros), 8 * AT_ONCE)])
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1)
 
 
@@ -67,14 +71,22 @@ class Level:
         self.pairs = self.pairs[order]
         self.contexts, at = np.unique(self.pairs >> 8, return_inverse=True)
         byte, number = self.pairs & 0xFF, n[order].astype(np.float64)
-        nodes = np.concatenate([(at << 8) | (1 << j) | (byte >> (8 - j)) for j in range(8)])
-        bits = np.concatenate([(byte >> (7 - j)) & 1 for j in range(8)])
-        self.keys, place = np.unique(nodes, return_inverse=True)
+        # Prefixes of one length stand in the order of the pairs, so lengths are counted one by one and nothing is sorted but the nodes.
+        found = []
+        for j in range(8):
+            node = (at << 8) | (1 << j) | (byte >> (8 - j))
+            first = np.append(True, node[1:] != node[:-1])[: len(node)]
+            place = np.cumsum(first) - 1
+            size = int(first.sum())
+            found.append((node[first], place.astype(np.int32), np.bincount(place, number * ((byte >> (7 - j)) & 1), size), np.bincount(place, number, size)))
+        nodes, places, ones, total = zip(*found)
+        self.keys = np.concatenate(nodes)
+        order = np.argsort(self.keys, kind="stable")
+        self.keys = self.keys[order]
         #: For each bit of each pair of context and byte, its place among the keys.
-        self.place = place.reshape(8, -1)
-        weight = np.tile(number, 8)
-        self.ones = np.bincount(place, weight * bits, len(self.keys))
-        self.zeros = np.bincount(place, weight, len(self.keys)) - self.ones
+        self.place = np.stack([np.searchsorted(self.keys, some).astype(np.int32)[place] for some, place in zip(nodes, places)])
+        self.ones = np.concatenate(ones)[order]
+        self.zeros = np.concatenate(total)[order] - self.ones
         self.weigh(None)
 
     def below(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +207,7 @@ class ContextTree:
         out = np.where(new, 0.0, logs[place]) if len(known) else np.zeros(len(keys))
         if new.any():
             more, back = np.unique(keys[new], return_inverse=True)
-            found = self._worked_out(more)
+            found = np.concatenate([self._worked_out(more[a : a + AT_ONCE]) for a in range(0, len(more), AT_ONCE)])
             out[new] = found[back]
             if 50 * len(more) > len(known):
                 known, logs = np.append(known, more), np.append(logs, found)

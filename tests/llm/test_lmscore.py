@@ -152,3 +152,22 @@ def test_branches_equal_the_whole_tree(spark, sample, monkeypatch):
         nodes.append(sum(len(level.contexts) for tree in held for level in tree.levels[3:]))
         assert nodes[-1] + sum(len(level.contexts) for level in model.top) == sum(len(level.contexts) for level in whole.levels)
     assert nodes[1] > 1.5 * nodes[0]
+
+
+def test_memory_of_a_tree_follows_its_nodes():
+    """Grams are worked out some at a time, with the same logarithms as all together."""
+    import tracemalloc
+
+    from datelore.llm import contexttree
+    from datelore.llm.lmscore import branch
+
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(97, 123, (400_000, 7)) @ (256 ** np.arange(7)))
+    tree = branch(0, keys & 0xFF, np.full(len(keys), 2), [])
+    some = tree._worked_out(keys[:1000] & 0xFF)
+    tracemalloc.start()
+    found = tree.log10(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(found[:1000], some) and contexttree.AT_ONCE < len(keys)
+    assert peak < 300 * len(keys)
