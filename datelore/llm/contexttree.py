@@ -51,14 +51,15 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     keys = np.zeros(max(len(data) - depth, 0), np.int64)
     for i in range(depth + 1):
-        keys = (keys << 8) | data[i : i + len(keys)]
+        keys <<= 8
+        keys |= data[i : i + len(keys)]
     if not len(texts):
         return keys[:0], sizes
     starts = np.cumsum(sizes + depth) - (sizes + depth)
-    inside = np.zeros(len(keys) + 1, np.int64)
+    inside = np.zeros(len(keys) + 1, np.int8)
     np.add.at(inside, starts, 1)
     np.add.at(inside, starts + sizes, -1)
-    return keys[np.cumsum(inside[:-1]) > 0], sizes
+    return keys[np.cumsum(inside[:-1], dtype=np.int8) > 0], sizes
 
 
 class Level:
@@ -97,13 +98,13 @@ class Level:
     def weigh(self, below: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> None:
         """Each node's share of its own estimate in its mixture, and the counts that its unnamed contexts leave."""
         block = log_block(self.zeros, self.ones)
-        self.own, self.rest, self.weighted = np.ones(len(self.keys)), np.stack([self.zeros, self.ones]), block
+        self.own, self.rest, self.weighted = np.broadcast_to(1.0, len(self.keys)), (self.zeros, self.ones), block
         if below is None or not len(below[0]):
             return
         parent = np.searchsorted(self.contexts, below[0])
         place = np.searchsorted(self.keys, (parent << 8) | below[1])
         zeros, ones, weighted = (np.bincount(place, w, len(self.keys)) for w in below[2])
-        self.rest = np.maximum(np.stack([self.zeros - zeros, self.ones - ones]), 0)
+        self.rest = np.maximum(self.zeros - zeros, 0), np.maximum(self.ones - ones, 0)
         split = np.zeros(len(self.contexts), bool)
         split[parent] = True
         inner = split[self.keys >> 8]
@@ -125,6 +126,7 @@ class ContextTree:
         self.levels = [*top, *own]
         for k in range(depth - 1, len(top) - 1, -1):
             self.levels[k].weigh(self.levels[k + 1].below())
+            self.levels[k + 1].weighted = None  # only parents need it
         self.known = np.zeros(0, np.int64), np.zeros(0)
 
     def _mixed(self, level: int, context: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -142,7 +144,7 @@ class ContextTree:
                 zeros, ones, own = nodes.zeros[place], nodes.ones[place], nodes.own[place]
                 here = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
                 if k == level:
-                    left = nodes.rest[:, place]
+                    left = [x[place] for x in nodes.rest]
                     chance = (np.where(bit, left[1], left[0]) + 0.5) / (left[0] + left[1] + 1)
                 chance = np.where(seen, own * here + (1 - own) * chance, 0.5)
             total += np.log10(chance)
@@ -171,7 +173,7 @@ class ContextTree:
             at, bit, below = nodes.place[:, row[here]], bits[:, here], chance[:, here]
             zeros, ones, own = nodes.zeros[at], nodes.ones[at], nodes.own[at]
             end = deepest[here]
-            left = nodes.rest[:, at[:, end]]
+            left = [x[at[:, end]] for x in nodes.rest]
             below[:, end] = (np.where(bit[:, end], left[1], left[0]) + 0.5) / (left[0] + left[1] + 1)
             chance[:, here] = own * (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1) + (1 - own) * below
             deepest[here] = False

@@ -7,9 +7,12 @@ ask for the grams they hold, each once for a block of texts, and get their logar
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +35,8 @@ CUT = 3
 BLOCK_BYTES = 32 << 20
 #: A context is a node of its own if it was seen at least so often.
 LEAST = 2
+#: Grams of the branches that are built into one tree; a larger branch is a tree of its own.
+TREE_GRAMS = 1 << 16
 
 
 @dataclass
@@ -61,6 +66,24 @@ def lowered(batch: pa.RecordBatch, text: str) -> list[bytes]:
     return [x.encode().translate(LOWER_BYTES) for x in texts_of(batch, text)]
 
 
+def trim() -> None:
+    """Give back to the system what this process holds but does not use, as far as its C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(job: Callable) -> Callable:
+    """A job on batches that leaves no memory of its own behind: its worker lives on beside others when the task is over."""
+
+    @functools.wraps(job)
+    def run(batches):
+        yield from job(batches)
+        trim()
+
+    return run
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
     order = np.argsort(keys, kind="stable")  # sorted runs, which it takes one after another
@@ -115,12 +138,14 @@ class Places:
         self.numbers = numbers
         self.bits = max(int(2.5 * len(numbers)).bit_length(), 4)
         self.table = np.full(1 << self.bits, -1, np.int32)
-        left, step, first = np.arange(len(numbers), dtype=np.int32), 0, self._first(numbers)
-        while len(left):
-            slot = (first[left] + step) & (len(self.table) - 1)
-            free = self.table[slot] < 0
-            self.table[slot[free]] = left[free]
-            left, step = left[self.table[slot] != left], step + 1
+        for a in range(0, len(numbers), self.AT_ONCE):
+            first, step = self._first(numbers[a : a + self.AT_ONCE]), 0
+            left = np.arange(a, a + len(first), dtype=np.int32)
+            while len(left):
+                slot = (first[left - a] + step) & (len(self.table) - 1)
+                free = self.table[slot] < 0
+                self.table[slot[free]] = left[free]
+                left, step = left[self.table[slot] != left], step + 1
 
     def _first(self, numbers: np.ndarray) -> np.ndarray:
         return ((numbers.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -144,14 +169,40 @@ def cut_of(depth: int) -> int:
     return min(CUT, depth)
 
 
+def endings(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The last bytes of the grams' contexts, which tell their branches."""
+    return (keys >> 8) & ((1 << 8 * cut_of(depth)) - 1)
+
+
+def alike(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of some numbers, ascending, and where it stands, in order."""
+    order = np.argsort(numbers, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(numbers[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        yield int(numbers[order[a]]), order[a:b]
+
+
 def by_bucket(keys: np.ndarray, depth: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Which of some sorted grams belong to each bucket, still in order. All contexts with the same last bytes share one."""
-    ending = (keys >> 8) & ((1 << 8 * cut_of(depth)) - 1)
-    bucket = ((ending.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    starts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.zeros(0, np.int64)
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
-        yield int(bucket[order[a]]), order[a:b]
+    hashed = endings(keys, depth).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    yield from alike((hashed >> np.uint64(33)).astype(np.int64) % buckets)
+
+
+def by_branches(keys: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Which of some sorted grams go into each tree, still in order, and the first ending there. Endings ascend and are never divided."""
+    ending = endings(keys, depth)
+    order = np.argsort(ending, kind="stable")
+    ending = ending[order]
+    if not len(order):
+        yield 0, order
+    a = 0
+    while a < len(order):
+        b = min(a + TREE_GRAMS, len(order))
+        if b < len(order):
+            first, last = (int(np.searchsorted(ending, ending[b], side)) for side in ("left", "right"))
+            b = first if first > a else last
+        yield int(ending[a]), order[a:b]
+        a = b
 
 
 def gram_counts(df: DataFrame, text: str, depth: int, buckets: int) -> DataFrame:
@@ -160,6 +211,7 @@ def gram_counts(df: DataFrame, text: str, depth: int, buckets: int) -> DataFrame
     Grams come as sorted lists for each bucket, packed.
     """
 
+    @trimmed
     def count(batches):
         parts, held = [], 0
 
@@ -188,6 +240,7 @@ def gram_counts(df: DataFrame, text: str, depth: int, buckets: int) -> DataFrame
 def word_counts(df: DataFrame, text: str) -> DataFrame:
     """``(word, c)``: how often each word stands in the texts, summed in tasks as far as they hold them, then by Spark."""
 
+    @trimmed
     def count(batches):
         words = Counter()
 
@@ -210,6 +263,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 def merged_buckets(counts: DataFrame) -> DataFrame:
     """One row for each bucket of ``counts(bucket, grams, n)``, with all its grams and their sums."""
 
+    @trimmed
     def merge(batches):
         key, parts = None, []
 
@@ -249,6 +303,26 @@ def branch(depth: int, keys: np.ndarray, n: np.ndarray, top: list[Level] | None
     return ContextTree(depth, *(np.concatenate(c) for c in zip(*rows)), top=top)
 
 
+class Branches:
+    """The trees of the grams of a bucket, each of some of its branches, so that no more than these are ever worked on at once."""
+
+    def __init__(self, depth: int, keys: np.ndarray, n: np.ndarray, top: list[Level]):
+        self.depth, firsts, self.trees = depth, [], []
+        for first, at in by_branches(keys, depth):
+            some = keys[at]
+            firsts.append(first)
+            self.trees.append(branch(depth, some, n[at], top))
+            self.trees[-1].log10(some)  # and so remembered
+        self.firsts = np.array(firsts)
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        out = np.empty(len(keys))
+        tree = np.searchsorted(self.firsts, endings(keys, self.depth), "right") - 1
+        for i, at in alike(np.maximum(tree, 0)):
+            out[at] = self.trees[i].log10(keys[at])
+        return out
+
+
 def top_levels(branches: DataFrame, depth: int) -> list[Level]:
     """The levels above the branches, weighed.
 
@@ -260,12 +334,14 @@ def top_levels(branches: DataFrame, depth: int) -> list[Level]:
         return []
     mask = (1 << 8 * (cut - 1)) - 1
 
+    @trimmed
     def tell(batches):
         for batch in batches:
             for steps, n in zip(batch.column("grams").to_pylist(), batch.column("n").to_pylist()):
                 keys, n = unpacked_grams(steps), unpacked(n, "<i8")
                 pair, place = np.unique(keys & ((mask << 8) | 0xFF), return_inverse=True)
-                parent, prefix, told = branch(depth, keys, n).levels[cut].below()
+                below = [branch(depth, keys[at], n[at]).levels[cut].below() for _, at in by_branches(keys, depth)]
+                parent, prefix, told = (np.concatenate(x, axis=-1) for x in zip(*below))
                 spot, where = np.unique((parent << 8) | prefix, return_inverse=True)
                 added = [np.bincount(where, w, len(spot)) if len(spot) else np.zeros(0) for w in told]
                 size = len(pair)
@@ -318,6 +394,7 @@ def fit(df: DataFrame, learn: Column, text: str = "text", depth: int = 6, freque
 def asked_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
     """``(bucket, block, grams)``: the different grams of each block of ``texts(block, text)``, rows of a block side by side."""
 
+    @trimmed
     def ask(batches):
         key, parts, held = None, [], 0
 
@@ -355,20 +432,21 @@ def answered_grams(asked: DataFrame, model: LanguageModel) -> DataFrame:
     rows = model.branches.select("bucket", F.lit(-1).cast("long").alias("block"), "grams", "n").union(asked.select("bucket", "block", "grams", none.alias("n")))
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("n").isNull())
 
+    @trimmed
     def answer(batches):
-        key, tree = None, None
+        key, trees = None, None
         for batch in batches:
             for bucket, block, steps, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != key:
-                    key, tree = bucket, None
+                    key, trees = bucket, None
+                    trim()
                 keys = unpacked_grams(steps)
                 if n is not None:
-                    tree = branch(depth, keys, unpacked(n, "<i8"), top)
-                    tree.log10(keys)
+                    trees = Branches(depth, keys, unpacked(n, "<i8"), top)
                     continue
-                if tree is None:  # nothing was learnt in this bucket
-                    tree = branch(depth, keys[:0], keys[:0], top)
-                logs = tree.log10(keys).astype("<f4")
+                if trees is None:  # nothing was learnt in this bucket
+                    trees = Branches(depth, keys[:0], keys[:0], top)
+                logs = trees.log10(keys).astype("<f4")
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([steps], pa.binary()), pa.array([packed(logs)], pa.binary())], names=["block", "grams", "logs"])
 
     return dealt.mapInArrow(answer, "block long, grams binary, logs binary")
@@ -377,6 +455,7 @@ def answered_grams(asked: DataFrame, model: LanguageModel) -> DataFrame:
 def bundles(texts: DataFrame) -> DataFrame:
     """``(block, rows, texts)``: lowered texts of ``texts(block, row, text)``, a few megabytes compressed together, with their rows."""
 
+    @trimmed
     def bundle(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -403,19 +482,22 @@ def text_scores(texts: DataFrame, model: LanguageModel) -> DataFrame:
     rows = answers.select("block", "grams", "logs", none.alias("rows"), none.alias("texts")).union(asked)
     dealt = rows.repartition("block").sortWithinPartitions("block", F.col("grams").isNull())
 
+    @trimmed
     def score(batches):
-        key, parts, places, logs = None, [], None, None
+        key, keys, logs, places = None, [], [], None
         for batch in batches:
             for i in range(batch.num_rows):
                 block, steps, told, numbers, held = (c[i].as_py() for c in batch.columns)
                 if block != key:
-                    key, parts, places = block, [], None
+                    key, keys, logs, places = block, [], [], None
+                    trim()
                 if steps is not None:
-                    parts.append((unpacked_grams(steps), unpacked(told, "<f4")))
+                    keys.append(unpacked_grams(steps))
+                    logs.append(unpacked(told, "<f4"))
                     continue
                 if places is None:
-                    places, logs = Places(np.concatenate([k for k, _ in parts])), np.concatenate([x for _, x in parts])
-                    parts = []
+                    keys, logs = np.concatenate(keys), np.concatenate(logs)
+                    places = Places(keys)
                 asked, sizes = grams(_restored(held).split(bytes([EDGE])), depth)
                 found = logs[places.of(asked)].astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(numbers, "<i8")), pa.array(sums(found, sizes))], names=["row", "score"])

@@ -171,3 +171,43 @@ def test_memory_of_a_tree_follows_its_nodes():
     tracemalloc.stop()
     assert np.array_equal(found[:1000], some) and contexttree.AT_ONCE < len(keys)
     assert peak < 300 * len(keys)
+
+
+def test_trees_of_a_bucket_take_less_than_one_of_all_its_branches(monkeypatch):
+    """Trees of some branches each: the same logarithms, also of grams and branches never met, and no more at once than a few branches take."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    keys, n = np.unique(rng.integers(97, 105, (300_000, 7)) @ (256 ** np.arange(7)), return_counts=True)
+    asked = np.unique(np.append(keys[::3], rng.integers(96, 106, (20_000, 7)) @ (256 ** np.arange(7))))
+    whole = tree_of([b"abc", b"hgfedcba", b"hhh"], 3)
+    top = whole.levels[:3]
+    peaks, found = [], []
+    for make in (lmscore.branch, lambda *x: lmscore.Branches(*x)):
+        tracemalloc.start()
+        trees = make(6, keys, n, top)
+        trees.log10(keys)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        found.append((trees.log10(keys), trees.log10(asked)))
+    assert all(np.array_equal(a, b) for a, b in zip(*found))
+    assert len(trees.trees) > 3 and peaks[1] < 0.75 * peaks[0] and peaks[1] < 450 * len(keys)
+    runs = [at for _, at in lmscore.by_branches(keys, 6)]
+    assert np.array_equal(np.sort(np.concatenate(runs)), np.arange(len(keys)))
+    assert len({e for at in runs for e in {*lmscore.endings(keys[at], 6).tolist()}}) == sum(len({*lmscore.endings(keys[at], 6).tolist()}) for at in runs)
+    monkeypatch.setattr(lmscore, "TREE_GRAMS", 10)  # less than a branch
+    some = keys[:3000]
+    assert np.allclose(lmscore.Branches(6, some, n[:3000], top).log10(asked), lmscore.branch(6, some, n[:3000], top).log10(asked), rtol=1e-12, atol=0)
+    assert len(lmscore.Branches(6, keys[:0], n[:0], top).log10(asked)) == len(asked)
+
+
+def test_places_take_few_bytes_a_number_while_they_are_found():
+    import tracemalloc
+
+    numbers = np.random.default_rng(3).permutation(1 << 21).astype(np.int64)[: 13 << 17] * 977
+    tracemalloc.start()
+    places = lmscore.Places(numbers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(places.of(numbers[::-7]), np.arange(len(numbers))[::-7])
+    assert peak < 30 * len(numbers)
