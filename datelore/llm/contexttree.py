@@ -11,6 +11,7 @@ of the shorter contexts above it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,6 +21,8 @@ EDGE = 0xFF
 HALF = np.log(0.5)
 #: Grams worked out together, each of which takes eight bits at every level.
 AT_ONCE = 1 << 17
+#: Counts below this find their logarithms in a table.
+COUNTS = 1 << 16
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -33,11 +36,29 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(shift)
 
 
+@functools.cache
+def gammas() -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the gamma function at n + 0.5 and at n + 1, for n below ``COUNTS``."""
+    n = np.arange(COUNTS)
+    return log_gamma(n + 0.5), log_gamma(n + 1)
+
+
 def log_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
+    """Logarithm of the Krichevsky-Trofimov probability of a sequence with these counts, which are whole numbers."""
     if np.size(zeros) > 8 * AT_ONCE:
         return np.concatenate([log_block(zeros[a : a + 8 * AT_ONCE], ones[a : a + 8 * AT_ONCE]) for a in range(0, len(zeros), 8 * AT_ONCE)])
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1)
+    half, whole = gammas()
+    total = zeros + ones
+    out = half.take(zeros.astype(np.int64), mode="clip") + half.take(ones.astype(np.int64), mode="clip") - np.log(np.pi) - whole.take(total.astype(np.int64), mode="clip")
+    many = np.flatnonzero(total >= COUNTS)
+    out[many] = log_gamma(zeros[many] + 0.5) + log_gamma(ones[many] + 0.5) - np.log(np.pi) - log_gamma(total[many] + 1)
+    return out
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of sorted values, and for each value its place among them."""
+    first = np.append(True, values[1:] != values[:-1])[: len(values)]
+    return values[first], np.cumsum(first) - 1
 
 
 def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,19 +68,17 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """
     edge = bytes([EDGE])
     pad = edge * depth
-    data = np.frombuffer(b"".join(pad + t + edge for t in texts) or b"\xff", np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    keys = np.zeros(max(len(data) - depth, 0), np.int64)
-    for i in range(depth + 1):
-        keys <<= 8
-        keys |= data[i : i + len(keys)]
+    # Eight bytes are read at each place, so some stand behind the last text.
+    data = b"".join([*(pad + t + edge for t in texts), bytes(7 - depth)])
     if not len(texts):
-        return keys[:0], sizes
-    starts = np.cumsum(sizes + depth) - (sizes + depth)
-    inside = np.zeros(len(keys) + 1, np.int8)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, starts + sizes, -1)
-    return keys[np.cumsum(inside[:-1], dtype=np.int8) > 0], sizes
+        return np.zeros(0, np.int64), sizes
+    keys = np.ndarray(len(data) - 7, ">u8", data, strides=(1,)).astype("<u8")
+    keys >>= np.uint64(8 * (7 - depth))
+    inside = np.ones(len(keys), bool)
+    ends = np.cumsum(sizes + depth)[:-1] - depth
+    inside[(ends[:, None] + np.arange(depth)).ravel()] = False
+    return keys.view(np.int64)[inside], sizes
 
 
 class Level:
@@ -70,7 +89,7 @@ class Level:
         self.pairs = (c.astype(np.int64) << 8) | x
         order = np.argsort(self.pairs, kind="stable")
         self.pairs = self.pairs[order]
-        self.contexts, at = np.unique(self.pairs >> 8, return_inverse=True)
+        self.contexts, at = runs(self.pairs >> 8)
         byte, number = self.pairs & 0xFF, n[order].astype(np.float64)
         # Prefixes of one length stand in the order of the pairs, so lengths are counted one by one and nothing is sorted but the nodes.
         found = []
@@ -85,7 +104,10 @@ class Level:
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
         #: For each bit of each pair of context and byte, its place among the keys.
-        self.place = np.stack([np.searchsorted(self.keys, some).astype(np.int32)[place] for some, place in zip(nodes, places)])
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        starts = np.cumsum([0, *map(len, nodes)])
+        self.place = np.stack([rank[a : a + len(some)][place] for a, some, place in zip(starts, nodes, places)])
         self.ones = np.concatenate(ones)[order]
         self.zeros = np.concatenate(total)[order] - self.ones
         self.weigh(None)

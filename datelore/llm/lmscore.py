@@ -11,17 +11,17 @@ import contextlib
 import ctypes
 import functools
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datelore.llm.common import LOWER_BYTES, extend, saved, slices, texts_of
-from datelore.llm.contexttree import EDGE, ContextTree, Level, grams, sums
+from datelore.llm.contexttree import EDGE, ContextTree, Level, grams, runs, sums
 
 #: Different grams a task holds before it hands them on.
 HELD = 2_000_000
@@ -66,6 +66,14 @@ def lowered(batch: pa.RecordBatch, text: str) -> list[bytes]:
     return [x.encode().translate(LOWER_BYTES) for x in texts_of(batch, text)]
 
 
+def split_words(batch: pa.RecordBatch, text: str) -> tuple[pa.Array, np.ndarray]:
+    """The words of the lowered texts, one after another, and how many each text has; null is empty."""
+    split = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(batch.column(text)), ""))
+    words, row = pc.list_flatten(split), pc.list_parent_indices(split)
+    some = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty one
+    return words.filter(some), np.bincount(row.filter(some).to_numpy(zero_copy_only=False), minlength=batch.num_rows)
+
+
 def trim() -> None:
     """Give back to the system what this process holds but does not use, as far as its C library can."""
     pa.default_memory_pool().release_unused()
@@ -112,12 +120,20 @@ def _restored(data: bytes) -> bytes:
 
 def packed(values: np.ndarray) -> bytes:
     """Numbers byte by byte, all first bytes first, so that the many equal ones compress."""
-    return _compressed(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+    rows = values.view(np.uint8).reshape(-1, values.itemsize)
+    planes = np.empty(rows.shape[::-1], np.uint8)
+    for i in range(len(planes)):
+        planes[i] = rows[:, i]
+    return _compressed(planes.tobytes())
 
 
 def unpacked(x: bytes, dtype: str) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(_restored(x), np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+    planes = np.frombuffer(_restored(x), np.uint8).reshape(size, -1)
+    rows = np.empty(planes.shape[::-1], np.uint8)
+    for i in range(size):
+        rows[:, i] = planes[i]
+    return rows.reshape(-1).view(dtype)
 
 
 def packed_grams(keys: np.ndarray) -> bytes:
@@ -177,7 +193,8 @@ def endings(keys: np.ndarray, depth: int) -> np.ndarray:
 def alike(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each of some numbers, ascending, and where it stands, in order."""
     order = np.argsort(numbers, kind="stable")
-    starts = np.flatnonzero(np.append(True, np.diff(numbers[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    found = numbers[order]
+    starts = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(order) else np.zeros(0, np.int64)
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
         yield int(numbers[order[a]]), order[a:b]
 
@@ -185,7 +202,8 @@ def alike(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def by_bucket(keys: np.ndarray, depth: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Which of some sorted grams belong to each bucket, still in order. All contexts with the same last bytes share one."""
     hashed = endings(keys, depth).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    yield from alike((hashed >> np.uint64(33)).astype(np.int64) % buckets)
+    bucket = (hashed >> np.uint64(33)).astype(np.int64) % buckets
+    yield from alike(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket)  # short numbers are sorted quickest
 
 
 def by_branches(keys: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -242,19 +260,23 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
     @trimmed
     def count(batches):
-        words = Counter()
+        parts, held = [], 0
 
         def table():
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for x in lowered(part, "text"):
-                    words.update(x.split())
-                if len(words) > HELD_WORDS:
-                    yield table()
-                    words = Counter()
-        yield table()
+                found = split_words(part, "text")[0].value_counts()
+                parts.append(pa.table([found.field(0).cast(pa.binary()), found.field(1)], ["word", "n"]))
+                held += len(found)
+                if held > 2 * HELD_WORDS:
+                    parts = [table()]
+                    if len(parts[0]) > HELD_WORDS:
+                        yield from parts.pop().to_batches()
+                    held = sum(map(len, parts))
+        if parts:
+            yield from table().to_batches()
 
     counted = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("c"))
@@ -297,7 +319,7 @@ def branch(depth: int, keys: np.ndarray, n: np.ndarray, top: list[Level] | None
     for d in range(cut_of(depth), depth + 1):
         pair, place = np.unique((((keys >> 8) & ((1 << 8 * d) - 1)) << 8) | byte, return_inverse=True)
         number = np.bincount(place, n, len(pair)) if len(pair) else np.zeros(0)
-        context, at = np.unique(pair >> 8, return_inverse=True)
+        context, at = runs(pair >> 8)
         often = (np.bincount(at, number, len(context)) >= LEAST)[at] if len(pair) else np.zeros(0, bool)
         rows.append((np.full(often.sum(), d), pair[often] >> 8, pair[often] & 0xFF, number[often]))
     return ContextTree(depth, *(np.concatenate(c) for c in zip(*rows)), top=top)
@@ -529,23 +551,20 @@ def score_texts(df: DataFrame, model: LanguageModel, text: str = "text") -> Data
         if open_block["bytes"] >= BLOCK_BYTES:
             open_block.update(bytes=0, first=batch.column("row")[0].as_py())
         open_block["bytes"] += sum(map(len, texts))
-        lines = []
-        for x in texts:
-            words = Counter(x.split())
-            known, base, rare, times = end_known, end, [], []
-            for w, n in words.items():
-                share = frequent.get(w)
-                if share is None:
-                    rare.append(w)
-                    times.append(n)
-                else:
-                    known += n
-                    base += n * share
-            lines.append((words.total() + 1, known, base, rare, times))
-        columns = list(zip(*lines)) if lines else [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-        n_tokens, known, base, rare, times = (pa.array(c, kind) for c, kind in zip(columns, kinds))
-        return [n_tokens, known, base, pa.array([len(x) + 1 for x in texts], pa.int64()), pa.array([open_block["first"]] * len(texts), pa.int64()), rare, times]
+        words, n_words = split_words(batch, text)
+        coded = words.dictionary_encode()
+        different = coded.dictionary.cast(pa.binary())
+        share = np.array([frequent.get(w, 0.0) for w in different.to_pylist()], np.float64)  # of a word that is met, below 0
+        code, row = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(texts)), n_words)
+        near = share[code] < 0
+        known = end_known + np.bincount(row[near], minlength=len(texts))
+        base = end + np.bincount(row, share[code], len(texts))
+        far, times = np.unique(row[~near] * max(len(different), 1) + code[~near], return_counts=True)
+        at, word = np.divmod(far, max(len(different), 1))
+        ends = np.append(0, np.cumsum(np.bincount(at, minlength=len(texts)))).astype(np.int32)
+        rare, times = (pa.ListArray.from_arrays(ends, x) for x in (different.take(pa.array(word)), pa.array(times, pa.int64())))
+        n_bytes, first = [len(x) + 1 for x in texts], [open_block["first"]] * len(texts)
+        return [*(pa.array(x, pa.int64()) for x in (n_words + 1, known)), pa.array(base), *(pa.array(x, pa.int64()) for x in (n_bytes, first)), rare, times]
 
     named = ["n_known", "train_tokens", "base_score", "bits_per_byte"]
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in named])

@@ -211,3 +211,50 @@ def test_places_take_few_bytes_a_number_while_they_are_found():
     tracemalloc.stop()
     assert np.array_equal(places.of(numbers[::-7]), np.arange(len(numbers))[::-7])
     assert peak < 30 * len(numbers)
+
+
+def test_gamma_of_common_counts_is_looked_up(monkeypatch):
+    """Nodes have the same few counts over and over: only those beyond the table are worked out, and to the same numbers."""
+    from datelore.llm import contexttree
+
+    rng = np.random.default_rng(4)
+    zeros, ones = (rng.integers(0, contexttree.COUNTS, 30_000) // rng.integers(1, 2000, 30_000) * 1.0 for _ in range(2))
+    zeros[:9] *= 10_000
+    zeros[9:12], ones[9:12] = (contexttree.COUNTS - 1, contexttree.COUNTS, 0), (0, 0, contexttree.COUNTS)
+    plain, worked, many = contexttree.log_gamma, [], zeros + ones >= contexttree.COUNTS
+    wanted = plain(zeros + 0.5) + plain(ones + 0.5) - np.log(np.pi) - plain(zeros + ones + 1)
+    contexttree.log_block(zeros, ones)
+    monkeypatch.setattr(contexttree, "log_gamma", lambda x: worked.append(np.size(x)) or plain(x))
+    assert np.allclose(contexttree.log_block(zeros, ones), wanted, rtol=1e-13, atol=1e-13)
+    assert 0 < many.sum() < 100 and sum(worked) == 3 * many.sum()
+
+
+def test_grams_are_bytes_with_those_before():
+    texts = [b"abc", b"", b"\xc3\xa9t\xc3\xa9", b"a" * 20, b""]
+    for depth in range(8):
+        for some in (texts, texts[1:2], []):
+            wanted = []
+            for t in some:
+                padded = bytes([EDGE]) * depth + t + bytes([EDGE])
+                wanted += [int.from_bytes(padded[i : i + depth + 1], "big") for i in range(len(t) + 1)]
+            keys, sizes = grams(some, depth)
+            assert keys.dtype == np.int64 and keys.view(np.uint64).tolist() == wanted and sizes.tolist() == [len(t) + 1 for t in some]
+
+
+def test_words_of_a_batch_are_split_together():
+    """As bytes.split tells them, in any part of a batch."""
+    import pyarrow as pa
+
+    texts = ["The quick  Fox\x0b a\nb\tC\rd\x0ce", " lead and trail \n", None, "", "É Ünï\x1cx\x85y\x00", "\n\n", "a b c  a"] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for part in (batch, batch.slice(1, 900), batch.slice(1001), batch.slice(2, 2), batch.slice(0, 0)):
+        wanted = [x.split() for x in lmscore.lowered(part, "text")]
+        words, n = lmscore.split_words(part, "text")
+        assert words.cast(pa.binary()).to_pylist() == [w for ws in wanted for w in ws] and n.tolist() == [len(ws) for ws in wanted]
+
+
+def test_word_counts_do_not_depend_on_parts(odd, rows, monkeypatch):
+    wanted = Counter(w for r in rows for w in (r[1] or "").translate(LOWER).encode().split())
+    for held in (lmscore.HELD_WORDS, 5):
+        monkeypatch.setattr(lmscore, "HELD_WORDS", held)
+        assert {bytes(r["word"]): r["c"] for r in lmscore.word_counts(odd, "text").collect()} == wanted
